@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, lines, mixing, quality, simhash
 
-MODULES = [quality]
+MODULES = [mixing, simhash, lines, quality, bpe]
 
 
 def queries() -> dict:
