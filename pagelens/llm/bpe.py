@@ -1,8 +1,8 @@
 """Operator 10: byte-level BPE encoding and decoding, by a rank queue of hierarchical bitmaps.
 
 A pre-token's symbols are a linked list. Every adjacent pair that has a merge rank waits in the bucket of that rank,
-which holds list positions, leftmost first; bitmaps of 64-bit words, each level marking the non-empty words of the
-level below, give the least rank by find-first-set in a fixed number of steps. A merge pushes the two new pairs; an
+which holds list positions, leftmost first; a bitmap of the ranks in words, and above it a word that marks which of
+these aren't empty, give the least rank by two find-first-set steps. A merge pushes the two new pairs; an
 entry whose pair has changed meanwhile is stale, and skipped when it comes up. So a pre-token of n bytes takes
 O(n log n), however long. Documents are encoded in parallel; pre-tokens that come again in a worker are remembered,
 at most ``REMEMBERED`` of them.
@@ -19,6 +19,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import table
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 #: Characters of Unicode's White_Space, spelled out since regex engines differ about 1C to 1F.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -46,51 +47,53 @@ def splitter(pattern: str):
 
 
 class RankQueue:
-    """Positions by merge rank; pops the least rank's leftmost position."""
+    """Positions by merge rank; pops the least rank's leftmost position.
+
+    Two levels of bitmaps: words of 256 ranks, and one top word with a bit for each word that isn't empty. A bucket is
+    a position, or a heap of several.
+    """
+
+    BIT = [1 << i for i in range(256)]
 
     def __init__(self, ranks: int):
-        self.levels = []
-        n = ranks
-        while True:
-            n = (n + 63) >> 6
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
+        self.low = [0] * (ranks + 255 >> 8)
+        self.top = 0
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, at)
+        word, bit = rank >> 8, self.BIT[rank & 255]
+        if self.low[word] & bit:
+            held = self.buckets[rank]
+            if held.__class__ is list:
+                heapq.heappush(held, at)
+            else:
+                self.buckets[rank] = [held, at] if held < at else [at, held]
             return
-        self.buckets[rank] = [at]
-        i = rank
-        for level in self.levels:
-            word = level[i >> 6]
-            level[i >> 6] = word | 1 << (i & 63)
-            if word:
-                return
-            i >>= 6
+        self.buckets[rank] = at
+        if not self.low[word]:
+            self.top |= 1 << word
+        self.low[word] |= bit
 
     def pop(self) -> tuple[int, int] | None:
         """(rank, position), or None if it is empty."""
-        i = 0
-        for level in reversed(self.levels):
-            word = level[i]
-            if not word:
-                return None
-            i = i << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[i]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[i]
-            k = i
-            for level in self.levels:
-                level[k >> 6] &= ~(1 << (k & 63))
-                if level[k >> 6]:
-                    break
-                k >>= 6
-        return i, at
+        if not self.top:
+            return None
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.low[word]
+        bit = bits & -bits
+        rank = (word << 8) + bit.bit_length() - 1
+        held = self.buckets[rank]
+        if held.__class__ is list:
+            at = heapq.heappop(held)
+            if held:
+                return rank, at
+        else:
+            at = held
+        del self.buckets[rank]
+        self.low[word] = bits ^ bit
+        if bits == bit:
+            self.top &= self.top - 1
+        return rank, at
 
 
 class Bpe:
@@ -111,45 +114,92 @@ class Bpe:
 
         self.known = Known()
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Rank of the token that two tokens make: every way to cut each token in two. Two ids to a key."""
+        ranks, out = self.ranks, {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                    out[a << 32 | b] = rank
+        return out
+
     def encode_piece(self, piece: bytes) -> list[int]:
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
+        """The queue's steps for short pieces are those of RankQueue, written out since calls would take most of the time."""
+        if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        part = [piece[i : i + 1] for i in range(n)]
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        pair = [-1] * n  # the rank of the pair that starts here, -1 for none
-        push, pop = self.queue.push, self.queue.pop
-        for i in range(n - 1):
-            if (r := ranks.get(part[i] + part[i + 1])) is not None:
-                pair[i] = r
-                push(r, i)
-        while (best := pop()) is not None:
-            r, i = best
-            if pair[i] != r:
-                continue  # stale
+        n, rank_of, queue = len(piece), self.pairs.get, self.queue
+        byte_rank = self.byte_ranks
+        part = [byte_rank[c] for c in piece]
+        pair = [rank_of(a << 32 | b, -1) for a, b in zip(part, part[1:], strict=False)]  # of the pair that starts here, -1 for none
+        pair.append(-1)
+        left, right = list(range(-1, n)), list(range(1, n + 1))
+        low, bit_of, buckets, top = queue.low, queue.BIT, queue.buckets, 0
+        fresh = [(i, r) for i, r in enumerate(pair) if r >= 0]
+        while True:
+            for i, r in fresh:
+                w, bit = r >> 8, bit_of[r & 255]
+                bits = low[w]
+                if bits & bit:
+                    held = buckets[r]
+                    if held.__class__ is list:
+                        heapq.heappush(held, i)
+                    else:
+                        buckets[r] = [held, i] if held < i else [i, held]
+                else:
+                    buckets[r] = i
+                    low[w] = bits | bit
+                    if not bits:
+                        top |= 1 << w
+            while top:  # the least rank: find-first-set in the top word, then in the word that it names
+                first = top & -top
+                w = first.bit_length() - 1
+                bits = low[w]
+                bit = bits & -bits
+                r = (w << 8) + bit.bit_length() - 1
+                i = buckets[r]
+                if i.__class__ is list:
+                    held, i = i, heapq.heappop(i)
+                    if not held:
+                        del buckets[r]
+                        low[w] = bits ^ bit
+                        if bits == bit:
+                            top ^= first
+                else:
+                    del buckets[r]
+                    low[w] = bits ^ bit
+                    if bits == bit:
+                        top ^= first
+                if pair[i] == r:  # else it is stale
+                    break
+            else:
+                break
+            part[i] = r
             j = right[i]
-            part[i] = self.vocab[r]
             k = right[i] = right[j]
             pair[j] = -1
-            part[j] = b""
-            pair[i] = -1
+            fresh = []
             if k < n:
                 left[k] = i
-                if (x := ranks.get(part[i] + part[k])) is not None:
-                    pair[i] = x
-                    push(x, i)
+                pair[i] = x = rank_of(r << 32 | part[k], -1)
+                if x >= 0:
+                    fresh.append((i, x))
+            else:
+                pair[i] = -1
             if (h := left[i]) >= 0:
-                x = ranks.get(part[h] + part[i], -1)
-                pair[h] = x
+                pair[h] = x = rank_of(part[h] << 32 | r, -1)
                 if x >= 0:
-                    push(x, h)
+                    fresh.append((h, x))
         out, i = [], 0
         while i < n:
-            out.append(ranks[part[i]])
+            out.append(part[i])
             i = right[i]
         return out
 
+    @cached_property
+    def byte_ranks(self) -> list[int]:
+        return [self.ranks[bytes([c])] for c in range(256)]
+
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         known = self.known

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, licences, lines, mixing, quality, simhash
+from . import bpe, chat, embeddings, hmm, licences, lines, mixing, quality, simhash
 
-MODULES = [mixing, licences, simhash, embeddings, lines, chat, quality, bpe]
+MODULES = [mixing, licences, simhash, embeddings, lines, chat, hmm, quality, bpe]
 
 
 def queries() -> dict:
