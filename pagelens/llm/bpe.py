@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import table
 
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 #: Characters of Unicode's White_Space, spelled out since regex engines differ about 1C to 1F.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -108,11 +108,13 @@ class Bpe:
 
         class Known(dict):
             def __missing__(self, piece: str) -> bytes:
-                ids = outer.encode_piece(piece.encode("utf-8", "surrogatepass"))
-                self[piece] = packed = struct.pack(f"<{len(ids)}I", *ids)
+                if (packed := outer.older.get(piece)) is None:
+                    ids = outer.encode_piece(piece.encode("utf-8", "surrogatepass"))
+                    packed = struct.pack(f"<{len(ids)}I", *ids)
+                self[piece] = packed
                 return packed
 
-        self.known = Known()
+        self.new_known, self.known, self.older = Known, Known(), {}
 
     @cached_property
     def pairs(self) -> dict[int, int]:
@@ -202,10 +204,9 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        return b"".join(map(known.__getitem__, self.split(text)))
+        if len(self.known) > REMEMBERED // 2:  # pre-tokens not met in a generation are forgotten
+            self.older, self.known = self.known, self.new_known()
+        return b"".join(map(self.known.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
