@@ -44,8 +44,8 @@ class Repeats:
     length: int = 50
     anchor: int = 20
     #: bytes of text to a chunk, and bytes of the corpus to a bucket of names, about
-    chunk_bytes: int = 4 << 20
-    bucket_bytes: int = 8 << 20
+    chunk_bytes: int = 2 << 20
+    bucket_bytes: int = 4 << 20
 
 
 #: A long text is searched in slices of so many windows; an index into a slice has to fit the low bits of a key.
@@ -236,7 +236,7 @@ def _rank_windows(t: pa.Table, spec: Repeats) -> pa.Table:
     size, ids = np.concatenate(sizes), np.concatenate([np.frombuffer(x, np.int64) for x in t.column("c").to_pylist()])
     start = np.cumsum(size) - size
     width = np.arange(widest)
-    found, run, step = [], [], 20_000
+    found, run, step = [], [], 5_000
     padded = np.append(raw, np.zeros(widest, np.uint8))
     for i in range(0, len(size), step):
         h = names(padded[start[i : i + step, None] + width], spec.length)
