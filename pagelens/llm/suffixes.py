@@ -84,7 +84,9 @@ def runs(text: np.ndarray, spec: Repeats) -> tuple[np.ndarray, np.ndarray, np.nd
         at = (least & LOW).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         last = np.append(first[1:], len(at)) - 1
-        for o, x in zip(out, (h[at[first]], first + s, last + s), strict=True):
+        name = h[at[first]]  # the least of many: mixed anew, so that names spread evenly over ranges
+        name = (name ^ (name >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        for o, x in zip(out, (name ^ (name >> np.uint64(32)), first + s, last + s), strict=True):
             o.append(x)
     return tuple(np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, (np.uint64, np.int64, np.int64), strict=True))
 
