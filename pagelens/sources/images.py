@@ -7,6 +7,7 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def header_size(raw: bytes | None) -> tuple[int, int] | None:
@@ -39,7 +40,7 @@ def header_size(raw: bytes | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<w: double, h: double>")
+@F.pandas_udf(T.StructType([T.StructField("w", T.DoubleType()), T.StructField("h", T.DoubleType())]))
 def pixel_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([header_size(x) or (None, None) for x in content], columns=["w", "h"], dtype="float64")
 
