@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, shared_dir, table
+from .common import SPACE_CHARS, shared_dir, slices, table
 
 
 @dataclass(frozen=True)
@@ -47,15 +47,10 @@ def line_keys(text: str, min_chars: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], rules: LineRules) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 4096):
         hi, lo, ids, marks, at = [], [], [], [], []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if not text:
-                continue
-            mark = None
-            for i, key in line_keys(text, rules.min_chars):
-                if mark is None:
-                    mark = xxhash.xxh3_64_intdigest(text) - 2**63
+        for doc, text, mark in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for i, key in line_keys(text or "", rules.min_chars):
                 h = xxhash.xxh3_128_intdigest(key)
                 hi.append((h >> 64) - 2**63)
                 lo.append((h & (2**64 - 1)) - 2**63)
@@ -113,7 +108,7 @@ def keep_bitmaps(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    occ = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: _occurrences(it, rules), "hi bigint, lo bigint, id bigint, mark bigint, at int")
+    occ = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text")).mapInArrow(lambda it: _occurrences(it, rules), "hi bigint, lo bigint, id bigint, mark bigint, at int")
     order = [F.col("hi"), F.col("lo"), F.col("id").desc(), F.col("at"), F.col("mark")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = occ.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
@@ -135,7 +130,7 @@ def keep_bitmaps(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 
 def _apply(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         texts, counts, drops = [], [], []
         for text, bitmap in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             lines = (text or "").split("\n")
@@ -157,8 +152,7 @@ def drop_lines(docs: DataFrame, rules: LineRules = LineRules(), digest: bool = F
     digest: kept is the SHA-256 of that text instead, so that no text leaves the task.
     """
     marked = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if not digest or c == "doc_id"]).alias("doc"))
-    mark = F.pandas_udf(lambda s: s.map(lambda x: xxhash.xxh3_64_intdigest(x) - 2**63 if x else 0).astype("int64"), "bigint")
-    left = marked.select("text", "doc", F.coalesce(F.col("doc.doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), mark("text").alias("mark"))
+    left = marked.select("text", "doc", F.coalesce(F.col("doc.doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"))
     joined = left.join(keep_bitmaps(docs, rules), ["id", "mark"], "left").select("text", "bitmap", "doc")
     schema = T.StructType([joined.schema["doc"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(lambda it: _apply(it, digest), schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 from .components import components
 
 SEED, SHINGLE, REACH, PIVOTS = 42, 3, 3, 24
@@ -51,7 +51,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x) for x in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
 
 
