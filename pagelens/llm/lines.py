@@ -19,14 +19,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, shared_dir, slices, table
+from .common import SPACE_CHARS, materialize, shared_dir, slices, table
 
 
 @dataclass(frozen=True)
@@ -101,6 +100,16 @@ def _dropped(batches: Iterator[pa.RecordBatch], rules: LineRules, shared: dict)
     yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (ids, marks, at)], names=["id", "mark", "at"])
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 4096):
+        packed = []
+        for at in (x.values.to_numpy() for x in b.column(2)):
+            bits = np.ones(int(at.max()) // 8 * 8 + 8, np.uint8)
+            bits[at] = 0
+            packed.append(zlib.compress(np.packbits(bits).tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["id", "mark", "bitmap"])
+
+
 def keep_bitmaps(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """(id, mark, bitmap) of the documents that lose lines: zlib-compressed bits, 0 for a dropped line.
 
@@ -119,14 +128,8 @@ def keep_bitmaps(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         again = sum(a["bottom"] == b["top"] for a, b in zip(e["ends"], e["ends"][1:], strict=False))
         crossing[e["hi"], e["lo"]] = (e["docs"] - again, e["top"])
 
-    def bitmap(at: pd.Series) -> bytes:
-        bits = np.ones(int(at.max()) // 8 * 8 + 8, np.uint8)
-        bits[at.to_numpy()] = 0
-        return zlib.compress(np.packbits(bits).tobytes(), 1)
-
-    packed = F.pandas_udf(lambda s: s.map(lambda a: bitmap(pd.Series(a))), "binary")
     drops = ranged.mapInArrow(lambda it: _dropped(it, rules, crossing), "id bigint, mark bigint, at int")
-    return drops.groupBy("id", "mark").agg(F.collect_set("at").alias("at")).select("id", "mark", packed("at").alias("bitmap"))
+    return drops.groupBy("id", "mark").agg(F.collect_set("at").alias("at")).mapInArrow(_bitmaps, "id bigint, mark bigint, bitmap binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
@@ -153,7 +156,8 @@ def drop_lines(docs: DataFrame, rules: LineRules = LineRules(), digest: bool = F
     """
     marked = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if not digest or c == "doc_id"]).alias("doc"))
     left = marked.select("text", "doc", F.coalesce(F.col("doc.doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"))
-    joined = left.join(keep_bitmaps(docs, rules), ["id", "mark"], "left").select("text", "bitmap", "doc")
+    bitmaps = materialize(keep_bitmaps(docs, rules))  # also so that no task packs and applies in two Python workers at once
+    joined = left.join(bitmaps, ["id", "mark"], "left").select("text", "bitmap", "doc")
     schema = T.StructType([joined.schema["doc"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(lambda it: _apply(it, digest), schema)
 
