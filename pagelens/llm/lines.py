@@ -157,7 +157,8 @@ def drop_lines(docs: DataFrame, rules: LineRules = LineRules(), digest: bool = F
     marked = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if not digest or c == "doc_id"]).alias("doc"))
     left = marked.select("text", "doc", F.coalesce(F.col("doc.doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("mark"))
     bitmaps = materialize(keep_bitmaps(docs, rules))  # also so that no task packs and applies in two Python workers at once
-    joined = left.join(bitmaps, ["id", "mark"], "left").select("text", "bitmap", "doc")
+    # a merge join at every size: bitmaps grow with the documents
+    joined = left.join(bitmaps.hint("merge"), ["id", "mark"], "left").select("text", "bitmap", "doc")
     schema = T.StructType([joined.schema["doc"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(lambda it: _apply(it, digest), schema)
 
