@@ -59,12 +59,19 @@ def badge(url: Column, separator: str = " ") -> Column:
 
 
 def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
-    """Index in the grid, from 0, without one task for all: offsets of range partitions are added to positions in them."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    inside = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    sizes = inside.groupBy("__part").agg(F.count("*").alias("__n"))  # a row per partition
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(before.select("__part", "__before")), "__part").withColumn("idx", (F.col("__before") + F.col("__at") - 1).cast("bigint")).drop("__part", "__before", "__at")
+    """Index in the grid, from 0, without one task for all: offsets of blocks are added to positions in them.
+
+    Blocks are cut at quantiles of ``order``, a numeric column (nulls first). The bounds are values, a few per shuffle
+    partition, so both uses of the blocks agree; range partitions are sampled anew each time that they are computed.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = rows.agg(F.percentile_approx(order, [k / n for k in range(1, n)] or [0.5])).first()[0]
+    block = F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    blocks = rows.withColumn("__block", block)
+    inside = blocks.withColumn("__at", F.row_number().over(Window.partitionBy("__block").orderBy(order)))
+    sizes = blocks.groupBy("__block").agg(F.count("*").alias("__n"))  # a row per block
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(F.broadcast(before.select("__block", "__before")), "__block").withColumn("idx", (F.col("__before") + F.col("__at") - 1).cast("bigint")).drop("__block", "__before", "__at")
 
 
 def select_all(selected: DataFrame, shown: DataFrame) -> DataFrame:

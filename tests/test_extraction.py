@@ -109,6 +109,14 @@ def test_view_gates_and_tiers(spark):
     assert [r.idx for r in view.numbered(images.select("id")).orderBy("id").collect()] == list(range(7))
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 5000])
+def test_numbering(spark, n):
+    rows = spark.range(n).selectExpr("id * 7919 % 100003 - 40 AS id", "'x' AS url").repartition(5)
+    got = {r.id: r.idx for r in view.numbered(rows).collect()}
+    assert [got[i] for i in sorted(got)] == list(range(n))
+    assert {r.idx: r.id for r in view.numbered(rows.union(spark.sql("SELECT CAST(NULL AS BIGINT), 'y'"))).collect()}[0] is None
+
+
 def test_walk_stops(spark):
     rows = [(1, 1, s, 100 * s, "a" if s < 5 else "b") for s in range(1, 8)] + [(2, 1, s, 10 * s, "a") for s in range(1, 40)] + [(3, 1, s, 200 * s, "a") for s in range(1, 9)]
     kept = carousel.admitted(spark.createDataFrame(rows, "page_id bigint, pass_no int, step int, elapsed_ms int, identity string")).groupBy("page_id").count().collect()
