@@ -3,7 +3,8 @@
 A text is made canonical: lower case, copyright lines dropped, equivalent spellings unified, punctuation and white
 space collapsed. Its SHA-256 is hash-joined to the digests of known licence texts and notices, once for the whole
 text and once for each of its lines and paragraphs, so that a licence pasted into a longer document is found too.
-The known digests are a fixed list of under a hundred rows, so that side is broadcast. Texts are read once and never
+A licence of several paragraphs is found as a span of whole lines: only texts whose canonical form contains a known
+text are searched for spans. The whole text may start with a title line of its licence. The known digests are a fixed list of under a hundred rows, so that side is broadcast. Texts are read once and never
 shuffled: what is kept of them is the digests of parts that can match.
 
 Null and odd input: a null or empty text has no licence. Rows are judged one by one: repeated rows, ties, null ids
@@ -44,6 +45,14 @@ NOTICES = {
     ],
 }
 
+# Title lines of published licence files.
+TITLES = {
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+
 # Spellings that count as one.
 SPELLINGS = {"licence": "license", "licenced": "licensed", "sublicence": "sublicense", "non commercial": "noncommercial", "non infringement": "noninfringement", "acknowledgement": "acknowledgment", "copyright owner": "copyright holder", "organisation": "organization", "behaviour": "behavior", "favour": "favor", "fulfil": "fulfill", "https": "http", "share alike": "sharealike", "per cent": "percent"}
 
@@ -61,30 +70,57 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
-    """(digest, licence, n_chars of the canonical text), one licence a digest."""
+    """(digest, licence, c: the canonical text, n_chars of it), one licence a digest."""
     rows = spark.createDataFrame([(k, t) for k, texts in notices.items() for t in texts], "licence string, text string")
     c = canonical(F.col("text"))
-    return rows.select(F.sha2(c, 256).alias("digest"), "licence", F.length(c).alias("n_chars")).groupBy("digest", "n_chars").agg(F.min("licence").alias("licence"))
+    return rows.select(F.sha2(c, 256).alias("digest"), "licence", c.alias("c"), F.length(c).alias("n_chars")).groupBy("digest", "c", "n_chars").agg(F.min("licence").alias("licence"))
+
+
+def span_digests(text: Column, known: Column) -> Column:
+    """Digests of the spans of two or more lines that are a known text, without those that are a whole paragraph.
+
+    known: structs of (digest, c, first, last, n_words), of the known texts that the text may hold. Lines with no
+    canonical words, as blank and copyright lines, count for nothing; a span starts and ends with other lines.
+    """
+    worded = lambda x: F.filter(F.split(x, r"\n"), lambda line: canonical(line) != "")
+    paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")) & (F.size(worded(p)) > 1))
+
+    def spans(k: Column, x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(x["canon"])), lambda i: F.split_part(F.element_at(x["canon"], i), F.lit(" "), F.lit(1)) == k["first"])
+        # joined spellings make two words one, so that a span has twice the words at most, and each line has one
+        sizes = lambda i: F.filter(F.sequence(F.lit(1), F.least(k["n_words"] * 2, F.size(x["canon"]) - i + 1)), lambda n: (n > 1) & (F.split_part(F.element_at(x["canon"], i + n - 1), F.lit(" "), F.lit(-1)) == k["last"]))
+        held = F.flatten(F.transform(starts, lambda i: F.filter(sizes(i), lambda n: canonical(F.array_join(F.slice(x["lines"], i, n), "\n")) == k["c"])))
+        return F.array_repeat(k["digest"], (F.size(held) - F.size(F.filter(x["copied"], lambda p: p == k["c"]))).cast("int"))
+
+    one = F.array(F.struct(worded(text).alias("lines"), F.transform(worded(text), canonical).alias("canon"), F.transform(paragraphs, canonical).alias("copied")))
+    found = F.flatten(F.transform(one, lambda x: F.flatten(F.transform(known, lambda k: spans(k, x)))))
+    return F.when(F.size(known) > 0, found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, notices: dict[str, list[str]] = NOTICES) -> DataFrame:
     """(doc_id, whole_licence, licences, n_parts), a row per row of docs.
 
     whole_licence: of the entire text; licences: of its lines and paragraphs and itself, sorted, comma-joined, empty
-    for none; n_parts: lines and paragraphs that are known. Only digests of parts as long as a known text are looked
+    for none; n_parts: lines, paragraphs and other spans of lines that are known. Only digests of parts as long as a known text are looked
     up, which is a necessary condition and loses nothing.
     """
     known = materialize(known_digests(docs.sparkSession, notices).coalesce(1))
+    titled = known_digests(docs.sparkSession, {k: [f"{x}\n{t}" for x in TITLES.get(k, []) for t in ts] for k, ts in notices.items()})
+    bodies = [(r.digest, r.c, r.c.split(" ")) for r in known.collect()]
+    inner = lambda w: " ".join(w[1:-1])  # the ends may meet other words in the whole text
+    texts = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(c).alias("c"), F.lit(w[0]).alias("first"), F.lit(w[-1]).alias("last"), F.lit(len(w)).alias("n_words"), F.lit(inner(w)).alias("inner")) for d, c, w in bodies])
     lengths = F.array(*[F.lit(r.n_chars) for r in known.select("n_chars").distinct().collect()])  # as many as notices, at most
     t = F.col("t")
     paragraphs = F.filter(F.split(t, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
     parts = F.filter(F.transform(F.concat(F.split(t, r"\n"), paragraphs), canonical), lambda c: F.array_contains(lengths, F.length(c)))
     digested = materialize(
         docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
-        .select("doc_id", F.sha2(canonical(t), 256).alias("whole"), F.transform(parts, lambda c: F.sha2(c, 256)).alias("parts"))
+        .select("doc_id", "t", canonical(t).alias("c"))
+        .select("doc_id", "t", F.sha2("c", 256).alias("whole"), F.filter(texts, lambda k: F.contains(F.col("c"), k["inner"])).alias("may"))
+        .select("doc_id", "whole", F.concat(F.transform(parts, lambda c: F.sha2(c, 256)), span_digests(t, F.col("may"))).alias("parts"))
     )
     lookup = F.broadcast(known.select("digest", "licence"))  # a fixed list of notices
-    own = lookup.select(F.col("digest").alias("whole"), F.col("licence").alias("whole_licence"))
+    own = F.broadcast(known.select("digest", "licence").union(titled.select("digest", "licence")).groupBy(F.col("digest").alias("whole")).agg(F.min("licence").alias("whole_licence")))  # and with their titles
     found = digested.where(F.size("parts") > 0).select("doc_id", "whole", "parts").distinct().select("doc_id", "whole", F.explode("parts").alias("digest")).join(lookup, "digest").groupBy("doc_id", "whole").agg(F.collect_set("licence").alias("some"), F.count("*").alias("n_parts"))
     d, f = digested.join(own, "whole", "left").alias("d"), found.alias("f")
     every = F.array_sort(F.array_distinct(F.filter(F.concat(F.array("whole_licence"), F.coalesce("some", F.array().cast("array<string>"))), lambda x: x.isNotNull())))

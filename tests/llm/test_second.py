@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -66,6 +67,28 @@ def test_licences(spark):
     assert sorted((tuple(r) for r in got), key=str) == sorted([(1, "MIT", "MIT", 1), (2, None, "MIT", 1), (3, None, "", 0), (4, None, "", 0), (5, None, "", 0), (None, "CC-BY-NC-4.0", "CC-BY-NC-4.0", 1), (2, None, "MIT", 1), (7, None, "MIT", 1)], key=str)
 
 
+def published(name: str, title: str, cuts: tuple[str, ...], text: int = -1) -> str:
+    """A licence file: title, copyright line, and paragraphs of short lines; each cut starts a paragraph."""
+    body = licences.NOTICES[name][text]
+    for c in cuts:
+        assert body.count(c) == 1
+        body = body.replace(c, "\n\n" + c)
+    wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 70)) for p in body.split("\n\n"))
+    return f"{title}\n\nCopyright (c) 2020 Some One\n\n{wrapped}\n"
+
+
+def test_licences_of_several_paragraphs(spark):
+    mit = published("MIT", "MIT License", ("The above", "THE SOFTWARE IS"))
+    bsd = published("BSD-2-Clause", "BSD 2-Clause License", ("1. ", "2. ", "THIS SOFTWARE IS PROVIDED"))
+    isc = published("ISC", "ISC License", ("THE SOFTWARE IS",))
+    zlib_ = published("Zlib", "The zlib License", ("Permission is", "1. ", "2. ", "3. "))
+    apache = published("Apache-2.0", "", ("You may obtain", "http://", "Unless"), 1)
+    texts = [mit, bsd, isc, zlib_, apache, f"Some words first.\n{mit}\nand more", mit.replace("free of charge", "for a fee"), f"{mit}\n\n{isc}{isc}", mit.replace("\n\nThe above", " but not for you\n\nThe above"), "\n".join(f"# {x}" for x in apache.split("\n"))]
+    want = [("MIT", "MIT", 1), ("BSD-2-Clause",) * 2 + (1,), ("ISC", "ISC", 1), ("Zlib", "Zlib", 1), ("Apache-2.0",) * 2 + (1,), (None, "MIT", 1), (None, "", 0), (None, "ISC,MIT", 3), (None, "", 0), ("Apache-2.0",) * 2 + (1,)]
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(i, *w) for i, w in enumerate(want)]
+
+
 def test_embeddings_recall_and_precision(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((700, 64)).astype(np.float32)
