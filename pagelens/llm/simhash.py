@@ -52,7 +52,8 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x) for x in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"])
+        fps = pa.array([fingerprint(x) for x in b.column(1).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), fps, *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -172,9 +173,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without those that another document of their group represents: the smallest doc_id stays."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without the rows that another document of their group represents: the smallest doc_id stays.
+
+    Rows are judged by their own text, so groups are of fingerprints, not linked by doc_id: where a doc_id is repeated,
+    only its rows that are copies go.
+    """
+    own = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string"), own.alias("own"))
+    fps = materialize(rows.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, own bigint"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    groups = materialize(components(links(nodes.where("rep IS NOT NULL").select("fp", F.col("fp").alias("rep")), nodes.count())))
+    named = nodes.join(groups, nodes.fp == groups.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    least = named.groupBy("group").agg(F.min("rep").alias("component_id"))
+    gone = fps.join(named.join(least, "group").select("fp", "component_id"), "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("own").alias("__own"))
+    return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (own == gone["__own"]), "left_anti")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -115,6 +115,15 @@ def test_simhash(spark, docs):
     assert kept - {None} == set(groups.values())
 
 
+def test_a_row_of_its_own_stays_when_its_doc_id_is_also_on_a_copy(spark):
+    rng = random.Random(7)
+    one, two, three = (" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(3))
+    close = next(t for t in (" ".join([*one.split()[:-2], f"end{i}"]) for i in range(99)) if 0 < (naive_fingerprint(t) ^ naive_fingerprint(one)).bit_count() <= 3)
+    rows = [(1, one), (5, one), (5, two), (6, close), (6, three), (None, one), (8, ""), (9, None)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, one), (5, two), (6, three), (None, one), (8, "")], key=str)
+
+
 @pytest.mark.parametrize("tile", [40, 4096])
 def test_pivot_tables_find_every_component(spark, tile):
     rng = np.random.default_rng(3)
