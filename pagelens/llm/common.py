@@ -32,12 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Folders of written tables, by session; `discard` takes one out, `clear` all.
+_written: set[str] = set()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors, has known size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.add(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.discard(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this session has written; for use once the results of its queries are saved."""
+    for path in sorted(_written):
+        _delete(spark, path)
 
 
 def slices(batches, rows: int = 512):
