@@ -2,8 +2,9 @@
 
 Turns of a conversation are streamed in order. Prefix sums of turn tokens choose spans of whole turns: a window holds
 the conversation's first system turn, up to ``history`` turns repeated from before the span, and the longest span
-that still fits the budget. A turn larger than the budget has a window of its own, whole. Repeated turns are masked:
-each assistant text counts for the loss once, in the window where it is new.
+that still fits the budget. A turn larger than the budget has a window of its own, whole, after the system turn. A
+system turn that takes more than ``repeat_share`` of the budget stands in its own window only, and isn't repeated.
+Repeated turns are masked: each assistant text counts for the loss once, in the window where it is new.
 
 The template is ``<s>[ROLE] role [/ROLE]`` + text + ``</s>`` for every turn. ``\\`` and the control strings' first
 characters ``<`` and ``[`` are escaped by a ``\\`` inside roles and texts, so no text can forge a mark, and reading
@@ -83,7 +84,7 @@ class Windows:
         """System turn and history that go before a new span, within their share of the budget."""
         room = int(self.template.budget * self.template.repeat_share)
         self.before = []
-        if self.number and self.system is not None:
+        if self.number and self.system is not None and self.system[2] <= room:
             self.before.append(self.system)
             room -= self.system[2]
         tail: list = []
@@ -164,6 +165,10 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5], s[6])
 
     state = None
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())  # all null is typed too
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
     for b in batches:
         done = []
         for conv, shown, starts, ends, repeated in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -181,9 +186,9 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state[5] += len(shown)
             state[6] += 1
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*done, strict=True)], names=names)
+            yield batch(done)
     if state:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) if not isinstance(x, str) else pa.array([x]) for x in emit(state)], names=names)
+        yield batch([emit(state)])
 
 
 def digests(windows: DataFrame) -> DataFrame:
