@@ -1,20 +1,27 @@
 """Operator 5: near-duplicate vectors by a forest of random-projection trees with spill overlap.
 
 Each tree splits its nodes, one level at a time, at the median of the projections on a random direction; rows within
-``spill`` of the median go to both sides. The directions of a tree's levels are drawn once, so a row's projections
-are computed once and the growing of the trees is plain DataFrame work: medians are pre-aggregated, children are
-exploded. Nodes of up to ``leaf`` rows are leaves; so is a node that a split hardly divides (a tight cluster). Within
-leaves all pairs are compared by exact cosine; a leaf above ``tile`` rows is dealt as tiles that cover all its pairs.
-Pairs from all trees are united. The forest is fitted on all rows; recall is measured against brute force in the tests.
+``spill`` of the median go to both sides, at most ``max_spills`` times a tree. Projections are scaled by the root of
+the dimension, so that the overlap is the same share of a node at every dimension: some 8 of 100 rows. The directions
+of a tree's levels are drawn once, so a row's projections are computed once and the growing of the trees is plain
+DataFrame work: medians are pre-aggregated, children are exploded, and leaves leave the table that the next level
+rewrites. Nodes of up to ``leaf`` rows are leaves; so is a node that a split hardly divides (a tight cluster). The
+forest is fitted on all rows; recall is measured against brute force in the tests.
+
+Within leaves all pairs are compared by exact cosine; a leaf above ``tile`` rows is dealt as tiles that cover each of
+its pairs once. No pair leaves a task: rows carry the list of their leaves, a pair counts in the first leaf that both
+share, and a tile returns for each row the number of vectors that it links to and the least row that it is joined to.
 
 Equal vectors of a label are one node with a multiplicity, so copies never pair up; n_links counts them back in.
 Null and odd input: null labels, null, empty or zero vectors and vectors with null or non-finite components link
-with nothing. Vectors of different length never link. Rows with equal vec_id and vector are one vector. A null vec_id
-gets its group's component but represents none. An empty table gives an empty result.
+with nothing. Vectors of different length never link. Rows with equal vec_id and vector are one vector; rows with
+equal vec_id and other vectors are linked on their own. A null vec_id links like others and can join two groups, but
+names no component and isn't counted by n_links. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,21 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .components import components
+from .common import discard, materialize, table
+from .components import components, hang
 
 
 @dataclass(frozen=True)
 class Forest:
     cosine: float = 0.98
-    trees: int = 4
+    trees: int = 5
     leaf: int = 256
     tile: int = 2048
-    #: half width of the overlap, on unit vectors; two at the cosine limit differ by 0.2 in all, 0.025 in a direction of 64
-    spill: float = 0.03
+    #: half width of the overlap in units of 1 / sqrt(dimension); two unit vectors at the cosine limit differ by 0.2 such
+    #: units in a direction, as a standard deviation
+    spill: float = 0.1
+    #: how often a row may go to both sides in a tree: 8 leaves a tree at most
+    max_spills: int = 3
     max_levels: int = 40
-    #: a child with more than this share of its parent's rows is not split on
-    stuck: float = 0.9
+    #: a node is a leaf if more than this share of its rows would go to one side
+    stuck: float = 0.75
     seed: int = 11
 
 
@@ -47,136 +57,151 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
 
 
-def _project(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
-    """(node id, label, size, tree, projections by level) of every row and tree."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps tiny and huge components in range
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _project(batches: Iterator[pa.RecordBatch], forest: Forest, levels: int) -> Iterator[pa.RecordBatch]:
+    """(id, kind, tree, p: scaled projections by level) of every row and tree."""
     for b in batches:
         values, at = _matrix(b.column(2))
-        out = []
-        for size in np.unique(np.diff(at)):
+        for size in np.unique(np.diff(at)).tolist():
             pick = np.flatnonzero(np.diff(at) == size)
-            x = values[at[pick][:, None] + np.arange(size)]
-            x = x / np.abs(x).max(axis=1, keepdims=True)
-            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = _unit(values[at[pick][:, None] + np.arange(size)])
+            rows = pa.array(pick)
             for t in range(forest.trees):
-                r = np.random.default_rng([forest.seed, t, int(size)]).standard_normal((int(size), forest.max_levels))
-                p = (x @ (r / np.sqrt((r * r).sum(axis=0)))).astype(np.float32)
-                rows = pa.array(pick)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1, dtype=np.int32) * forest.max_levels), pa.array(p.ravel()))
-                out.append(pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.full(len(pick), size, np.int32)), pa.array(np.full(len(pick), t, np.int32)), lists], names=["id", "label", "size", "tree", "p"]))
-        yield from out
+                r = np.random.default_rng([forest.seed, t, size]).standard_normal((size, forest.max_levels))[:, :levels]
+                p = (x @ (r / np.sqrt((r * r).sum(axis=0))) * math.sqrt(size)).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pick) + 1, dtype=np.int32) * levels), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.full(len(pick), t, np.int32)), lists], names=["id", "kind", "tree", "p"])
 
 
-def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, embedding) of rows that can link."""
+def keyed(vectors: DataFrame) -> DataFrame:
+    """vectors with ``kind``, a key of label and length, and ``node``, a key of these and the vector; null if it can't link."""
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "embedding").where(F.col("label").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda v: v != 0))
-
-
-def grow(projected: DataFrame, forest: Forest) -> DataFrame:
-    """(id, node) of all leaves: the node is (tree, label, size, path)."""
-    rows = projected.select("id", F.col("p"), F.concat_ws("/", "tree", "label", "size").alias("node"))
-    leaves = []
-    rows = materialize(rows)
-    for level in range(forest.max_levels):
-        x = F.get("p", F.lit(level))
-        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.percentile_approx(x, 0.5, 1000).alias("cut"))
-        # what a split would leave: nodes that it hardly divides are leaves too
-        stats = materialize(stats)
-        split = stats.where(F.col("n") > forest.leaf)
-        marked = rows.join(split, "node", "left")
-        sides = F.when(F.col("cut").isNull(), F.array(F.lit(""))).otherwise(F.filter(F.array(F.when(x <= F.col("cut") + forest.spill, "l"), F.when(x >= F.col("cut") - forest.spill, "r")), lambda s: s.isNotNull()))
-        children = marked.select("id", "p", "node", "n", F.explode(sides).alias("side"))
-        children = materialize(children)
-        sizes = children.where("n IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.count_if(F.col("side") == "l").alias("l"), F.count_if(F.col("side") == "r").alias("r"))
-        stuck = materialize(sizes.where(F.greatest("l", "r") > F.col("n") * forest.stuck).select("node"))
-        leaves.append(children.where("n IS NULL").select("id", "node"))
-        leaves.append(children.where("n IS NOT NULL").join(stuck, "node", "left_semi").select("id", "node").distinct())
-        rows = children.where("n IS NOT NULL").join(stuck, "node", "left_anti").select("id", "p", F.concat("node", F.lit("/"), "side").alias("node"))
+    valid = F.coalesce(F.col("label").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda v: v != 0), F.lit(False))
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "embedding")
+    return rows.select("vec_id", "embedding", F.when(valid, F.xxhash64("label", F.size(e))).alias("kind"), F.when(valid, F.xxhash64(F.xxhash64(F.lit(1), e), F.xxhash64(F.lit(2), e), "label")).alias("node"))
+
+
+def grow(rows: DataFrame, forest: Forest, levels: int) -> DataFrame:
+    """rows: (id, kind, tree, p). Returns (id, kind, leaf) of all leaves, a long that is one leaf within its kind."""
+    rows = materialize(rows.select("id", "kind", F.xxhash64("kind", "tree").alias("at"), F.lit(0).alias("spills"), "p"))
+    leaves, wide, x = [], F.lit(forest.spill), F.get("p", F.lit(0))
+    for _ in range(levels):
+        stats = materialize(rows.groupBy("kind", "at").agg(F.count("*").alias("n"), F.percentile_approx(x, [1 - forest.stuck, 0.5, forest.stuck], 1000).alias("q")))
+        low, cut, high = (F.get("q", F.lit(i)) for i in range(3))
+        split = stats.where((F.col("n") > forest.leaf) & (high > cut + wide) & (low < cut - wide)).select("kind", "at", cut.alias("cut"))
         if not split.limit(1).count():
-            rows = None
             break
-    if rows is not None:
-        leaves.append(rows.select("id", "node"))
-    out = leaves[0]
-    for more in leaves[1:]:
+        both = (x <= F.col("cut") + wide) & (x >= F.col("cut") - wide) & (F.col("spills") < forest.max_spills)
+        side = lambda s, more: F.struct(F.lit(s).alias("s"), (F.col("spills") + more).alias("spills"))
+        sides = F.when(both, F.array(side(0, 1), side(1, 1))).when(x <= F.col("cut"), F.array(side(0, 0))).otherwise(F.array(side(1, 0)))
+        moved = rows.join(split, ["kind", "at"], "left").select("id", "kind", "at", "cut", "p", F.explode(F.when(F.col("cut").isNull(), F.array(side(0, 0))).otherwise(sides)).alias("to"))
+        done = F.col("cut").isNull()
+        children = materialize(moved.select("id", "kind", F.when(done, F.col("at")).otherwise(F.xxhash64("at", "to.s")).alias("at"), "to.spills", F.when(~done, F.slice("p", 2, levels)).alias("p"), done.alias("done")))
+        leaves.append(children.where("done").select("id", "kind", F.col("at").alias("leaf")))
+        discard(stats)
+        rows = children.where("NOT done").drop("done")
+    out = rows.select("id", "kind", F.col("at").alias("leaf"))
+    for more in leaves:
         out = out.union(more)
     return out
 
 
+def _first_common(a: np.ndarray, b: np.ndarray, lists: np.ndarray, leaf: int, step: int = 1 << 15) -> np.ndarray:
+    """Whether no leaf below this one is on both rows' lists. lists: padded with the largest long."""
+    early = np.where(lists < leaf, lists, np.iinfo(np.int64).max)
+    early.sort(axis=1)
+    early = early[:, : int((early < leaf).sum(axis=1).max(initial=0))]
+    other = np.where(early < leaf, early, np.iinfo(np.int64).min)  # padding never meets padding
+    return np.concatenate([~(early[a[i : i + step], :, None] == other[b[i : i + step], None, :]).any(axis=(1, 2)) for i in range(0, len(a), step)] or [np.zeros(0, bool)])
+
+
 def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) inside each (node, tile) of a partition sorted by it, at the cosine or above."""
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        ids = t.column("id").to_numpy()
-        values, at = _matrix(t.column("embedding"))
-        x = values.reshape(len(ids), -1)
-        x = x / np.abs(x).max(axis=1, keepdims=True)  # keeps tiny and huge components in range
-        norm = np.sqrt((x * x).sum(axis=1))
-        out_a, out_b = [], []
-        for i in range(0, len(ids), 512):
-            c = (x[i : i + 512] @ x[i:].T) / (norm[i : i + 512, None] * norm[None, i:])
-            a, b = np.nonzero(np.triu(c >= cosine, 1))
-            out_a.append(ids[a + i])
-            out_b.append(ids[b + i])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        keep = a != b
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+    """(id, n, root) of the linked rows of each tile of a partition sorted by kind, leaf and tile."""
+
+    def solve(t: pa.Table, leaf: int) -> pa.RecordBatch:
+        ids, copies, part = (t.column(c).to_numpy() for c in ("id", "copies", "part"))
+        values, _ = _matrix(t.column("embedding"))
+        x = _unit(values.reshape(len(ids), -1))
+        flat, at = t.column("leaves").combine_chunks(), np.append(0, np.cumsum(t.column("leaves").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)))
+        size = np.diff(at)
+        lists = np.full((len(ids), int(size.max())), np.iinfo(np.int64).max)
+        lists[np.repeat(np.arange(len(ids)), size), np.arange(at[-1]) - np.repeat(at[:-1], size)] = flat.flatten().to_numpy()
+        n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        cross = t.column("cross")[0].as_py()
+        left = np.flatnonzero(part == part.min()) if cross else np.arange(len(ids))
+        right = np.flatnonzero(part != part.min()) if cross else left
+        for i in range(0, len(left), 256):
+            to = right if cross else right[i:]
+            c = x[left[i : i + 256]] @ x[to].T >= cosine
+            a, b = np.nonzero(c if cross else np.triu(c, 1))
+            a, b = left[i + a], to[b]
+            hang(label, a, b)
+            mine = _first_common(a, b, lists, leaf)
+            a, b = a[mine], b[mine]
+            n += np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64) + np.bincount(b, weights=copies[a], minlength=len(ids)).astype(np.int64)
+        out = np.flatnonzero((n > 0) | (label != np.arange(len(ids))))
+        return pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(n[out]), pa.array(ids[label[out]])], names=["id", "n", "root"])
 
     rest, key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        names, tiles = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-        cuts = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (tiles[1:] != tiles[:-1])))
+        cols = [batch.column(i).to_numpy() for i in range(3)]
+        cuts = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in cols], axis=0)))
         for i, j in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
-            now = (names[i], tiles[i])
+            now = tuple(int(c[i]) for c in cols)
             if now != key and rest:
-                yield pairs(pa.Table.from_batches(rest))
+                yield solve(pa.Table.from_batches(rest), key[1])
                 rest = []
             key = now
             rest.append(batch.slice(i, j - i))
     if rest:
-        yield pairs(pa.Table.from_batches(rest))
-
-
-def close_pairs(nodes: DataFrame, forest: Forest) -> DataFrame:
-    """nodes: (id, label, embedding), distinct. Distinct pairs (a, b) at the cosine or above."""
-    import pyspark.sql.types as T
-
-    label = nodes.schema["label"].dataType
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", label), T.StructField("size", T.IntegerType()), T.StructField("tree", T.IntegerType()), T.StructField("p", T.ArrayType(T.FloatType()))])
-    leaves = materialize(grow(nodes.select("id", "label", "embedding").mapInArrow(lambda it: _project(it, forest), schema), forest))
-    large = materialize(leaves.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > forest.tile).select("node", F.ceil(F.col("n") / forest.tile).cast("int").alias("parts")))
-    dealt = leaves.join(large, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    tiles = dealt.select("node", "id", "parts", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-    tiles = tiles.select("node", (F.least("own", "o") * F.col("parts") + F.greatest("own", "o")).alias("tile"), "id")
+        yield solve(pa.Table.from_batches(rest), key[1])
+
+
+def leaf_table(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """nodes: (id, kind, embedding), distinct. (id, kind, leaf) of every node in every tree."""
+    largest = nodes.groupBy("kind").count().agg(F.max("count")).first()[0] or 0
+    levels = min(forest.max_levels, 8 + max(0, math.ceil(math.log2(max(1, largest / forest.leaf)))))
+    element = "id bigint, kind bigint, tree int, p array<float>"
+    return materialize(grow(nodes.select("id", "kind", "embedding").mapInArrow(lambda it: _project(it, forest, levels), element), forest, levels))
+
+
+def linked_rows(nodes: DataFrame, forest: Forest) -> DataFrame:
+    """nodes: (id, kind, embedding, copies), distinct. (id, n: copies linked to, root), some rows for each linked node."""
+    leaves = leaf_table(nodes, forest)
+    large = materialize(leaves.groupBy("kind", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > forest.tile).select("kind", "leaf", F.ceil(F.col("n") / forest.tile).cast("int").alias("parts")))
+    own = leaves.groupBy("id").agg(F.sort_array(F.collect_set("leaf")).alias("leaves"))  # a few for each tree
+    rows = nodes.join(own, "id").select("*", F.explode("leaves").alias("leaf")).join(large, ["kind", "leaf"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    dealt = dealt.select("kind", "leaf", (F.least("part", "o") * F.col("parts") + F.greatest("part", "o")).alias("tile"), "part", (F.col("part") != F.col("o")).alias("cross"), "id", "copies", "leaves", "embedding")
+    # by spark.sql.shuffle.partitions: set it so that a partition holds some hundred megabytes of vectors
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filled = tiles.join(nodes.select("id", "embedding"), "id").select("node", "tile", "id", "embedding")
-    found = filled.repartition(n, "node", "tile").sortWithinPartitions("node", "tile", "id").mapInArrow(lambda it: _compare(it, forest.cosine), "a bigint, b bigint")
-    return found.distinct()
+    found = dealt.repartition(n, "kind", "leaf", "tile").sortWithinPartitions("kind", "leaf", "tile", "part").mapInArrow(lambda it: _compare(it, forest.cosine), "id bigint, n bigint, root bigint")
+    return materialize(found)
 
 
 def near_duplicates(vectors: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row per row of vectors."""
-    valid = valid_vectors(vectors)
-    nodes = materialize(valid.where("vec_id IS NOT NULL").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies")))
-    pairs = materialize(close_pairs(nodes, forest))
-    groups = components(pairs)
-    copies = nodes.select("id", "copies")
-    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    beyond = ends.join(copies, ends.b == copies.id).groupBy("a").agg(F.sum("copies").alias("beyond"))
-    named = (
-        nodes.join(groups, nodes.id == groups.node, "left")
-        .join(beyond, nodes.id == beyond.a, "left")
-        .select("label", "embedding", (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "embedding").alias("v")
-    m = named.alias("m")
-    joined = v.join(m, (F.col("v.label") == F.col("m.label")) & (F.col("v.embedding") == F.col("m.embedding")), "left")
-    component = F.coalesce("m.component_id", "v.vec_id")
-    return joined.select("v.vec_id", F.coalesce("m.n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("v.vec_id") == component, F.lit(False)).alias("kept"))
+    rows = keyed(vectors)
+    valid = rows.where("node IS NOT NULL")
+    ids = valid.select("node", "vec_id").distinct().groupBy(F.col("node").alias("id")).agg(F.min("vec_id").alias("low"), F.count("vec_id").alias("copies"))
+    nodes = materialize(valid.select(F.col("node").alias("id"), "kind", "embedding").dropDuplicates(["id"]).join(ids, "id"))
+    found = linked_rows(nodes.drop("low"), forest)
+    groups = materialize(components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    low = nodes.select("id", "low").join(groups, nodes.id == groups.node).select("id", "component", "low")
+    least = low.join(low.groupBy("component").agg(F.min("low").alias("least")), "component").select("id", "least")
+    beyond = found.groupBy("id").agg(F.sum("n").alias("beyond"))
+    named = nodes.select("id", "low", "copies").join(least, "id", "left").join(beyond, "id", "left").select("id", F.coalesce("least", "low").alias("component"), "copies", F.coalesce("beyond", F.lit(0)).alias("beyond"))
+    out = rows.drop("embedding").join(named, rows.node == named.id, "left")
+    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    links = F.coalesce(F.col("copies") - F.col("vec_id").isNotNull().cast("int") + F.col("beyond"), F.lit(0))
+    return out.select("vec_id", links.cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
