@@ -1,11 +1,14 @@
 """Operator 10: byte-level BPE encoding and decoding, by a rank queue of hierarchical bitmaps.
 
-A pre-token's symbols are a linked list. Every adjacent pair that has a merge rank waits in the bucket of that rank,
-which holds list positions, leftmost first; a bitmap of the ranks in words, and above it a word that marks which of
-these aren't empty, give the least rank by two find-first-set steps. A merge pushes the two new pairs; an
-entry whose pair has changed meanwhile is stale, and skipped when it comes up. So a pre-token of n bytes takes
-O(n log n), however long. Documents are encoded in parallel; pre-tokens that come again in a worker are remembered,
-at most ``REMEMBERED`` of them.
+Symbols are a linked list. Every adjacent pair that has a merge rank waits in the bucket of that rank, which holds list
+positions, leftmost first; a bitmap of the ranks in words, and above it a word that marks which of these aren't empty,
+give the least rank by two find-first-set steps. A merge pushes the two new pairs; an entry whose pair has changed
+meanwhile is stale, and skipped when it comes up. So a pre-token of n bytes takes O(n log n), however long.
+
+All pre-tokens of a batch that the worker doesn't know yet share one list, cut between them, and one queue: what the
+queue picks for one pre-token never depends on another, so each merges as it would alone, and a bucket is emptied in
+one go, up to a merge that makes a pair of lower rank. Documents are encoded in parallel; pre-tokens that come again in
+a worker are remembered, at most ``REMEMBERED`` of them and those of one batch.
 
 Null and odd input: a null text is empty and has no tokens. Rows are encoded one by one, so repeated rows, ties, null
 ids and extra columns (carried in a struct) change nothing. An empty table gives an empty result.
@@ -15,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -47,10 +49,9 @@ def splitter(pattern: str):
 
 
 class RankQueue:
-    """Positions by merge rank; pops the least rank's leftmost position.
+    """Positions by merge rank; gives the least rank's positions, leftmost first.
 
-    Two levels of bitmaps: words of 256 ranks, and one top word with a bit for each word that isn't empty. A bucket is
-    a position, or a heap of several.
+    Two levels of bitmaps: words of 256 ranks, and one top word with a bit for each word that isn't empty.
     """
 
     BIT = [1 << i for i in range(256)]
@@ -58,41 +59,40 @@ class RankQueue:
     def __init__(self, ranks: int):
         self.low = [0] * (ranks + 255 >> 8)
         self.top = 0
-        self.buckets: dict[int, int | list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        word, bit = rank >> 8, self.BIT[rank & 255]
-        if self.low[word] & bit:
-            held = self.buckets[rank]
-            if held.__class__ is list:
-                heapq.heappush(held, at)
-            else:
-                self.buckets[rank] = [held, at] if held < at else [at, held]
+        self.buckets: dict[int, list[int]] = {}
+
+    def push(self, rank: int, *at: int) -> None:
+        if (held := self.buckets.get(rank)) is not None:
+            held.extend(at)
             return
-        self.buckets[rank] = at
+        self.buckets[rank] = list(at)
+        word = rank >> 8
         if not self.low[word]:
             self.top |= 1 << word
-        self.low[word] |= bit
+        self.low[word] |= self.BIT[rank & 255]
 
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position), or None if it is empty."""
+    def take(self) -> tuple[int, list[int]] | None:
+        """The least rank and all its positions, leftmost first; None if the queue is empty."""
         if not self.top:
             return None
         word = (self.top & -self.top).bit_length() - 1
         bits = self.low[word]
         bit = bits & -bits
-        rank = (word << 8) + bit.bit_length() - 1
-        held = self.buckets[rank]
-        if held.__class__ is list:
-            at = heapq.heappop(held)
-            if held:
-                return rank, at
-        else:
-            at = held
-        del self.buckets[rank]
         self.low[word] = bits ^ bit
         if bits == bit:
             self.top &= self.top - 1
+        rank = (word << 8) + bit.bit_length() - 1
+        held = self.buckets.pop(rank)
+        held.sort()
+        return rank, held
+
+    def pop(self) -> tuple[int, int] | None:
+        """The least rank and its leftmost position."""
+        if (least := self.take()) is None:
+            return None
+        rank, (at, *rest) = least
+        if rest:
+            self.push(rank, *rest)
         return rank, at
 
 
@@ -104,17 +104,8 @@ class Bpe:
             self.vocab[rank] = token
         self.queue = RankQueue(len(self.vocab))
         self.split = splitter(pattern)
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if (packed := outer.older.get(piece)) is None:
-                    ids = outer.encode_piece(piece.encode("utf-8", "surrogatepass"))
-                    packed = struct.pack(f"<{len(ids)}I", *ids)
-                self[piece] = packed
-                return packed
-
-        self.new_known, self.known, self.older = Known, Known(), {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @cached_property
     def pairs(self) -> dict[int, int]:
@@ -126,87 +117,91 @@ class Bpe:
                     out[a << 32 | b] = rank
         return out
 
+    @cached_property
+    def bytes_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of single bytes, and of the tokens that two bytes make, -1 for none."""
+        one = np.array([self.ranks[bytes([c])] for c in range(256)], np.int64)
+        return one, np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Token ids of each pre-token."""
+        whole = list(map(self.ranks.get, pieces))
+        cut = [p for p, w in zip(pieces, whole, strict=True) if w is None and p]
+        merged = iter(self._merge(cut) if cut else ())
+        return [next(merged) if w is None and p else [] if w is None else [w] for p, w in zip(pieces, whole, strict=True)]
+
     def encode_piece(self, piece: bytes) -> list[int]:
-        """The queue's steps for short pieces are those of RankQueue, written out since calls would take most of the time."""
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
-        n, rank_of, queue = len(piece), self.pairs.get, self.queue
-        byte_rank = self.byte_ranks
-        part = [byte_rank[c] for c in piece]
-        pair = [rank_of(a << 32 | b, -1) for a, b in zip(part, part[1:], strict=False)]  # of the pair that starts here, -1 for none
-        pair.append(-1)
-        left, right = list(range(-1, n)), list(range(1, n + 1))
-        low, bit_of, buckets, top = queue.low, queue.BIT, queue.buckets, 0
-        fresh = [(i, r) for i, r in enumerate(pair) if r >= 0]
-        while True:
-            for i, r in fresh:
-                w, bit = r >> 8, bit_of[r & 255]
-                bits = low[w]
-                if bits & bit:
-                    held = buckets[r]
-                    if held.__class__ is list:
-                        heapq.heappush(held, i)
-                    else:
-                        buckets[r] = [held, i] if held < i else [i, held]
+        return self.encode_pieces([piece])[0]
+
+    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        n, ends = len(raw), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        one, two = self.bytes_table
+        first = np.full(n, -1)
+        first[:-1] = two[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+        first[ends - 1] = -1  # no pair reaches over the end of a pre-token
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends[:-1]] = -1
+        part, pair, right, left = one[raw].tolist(), first.tolist(), after.tolist(), before.tolist()
+        queue, rank_of = self.queue, self.pairs.get
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        for at in np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else []:
+            queue.push(int(first[at[0]]), *at.tolist())
+        push, get = queue.push, queue.buckets.get
+        while (least := queue.take()) is not None:
+            r, held = least
+            for k, i in enumerate(held):
+                if pair[i] != r:
+                    continue  # stale
+                part[i] = r
+                j = right[i]
+                part[j] = pair[j] = -1
+                lower = False
+                e = right[i] = right[j]
+                if e >= 0:
+                    left[e] = i
+                    pair[i] = x = rank_of(r << 32 | part[e], -1)
+                    if x >= 0:
+                        if (b := get(x)) is not None:
+                            b.append(i)
+                        else:
+                            push(x, i)
+                            lower = x < r
                 else:
-                    buckets[r] = i
-                    low[w] = bits | bit
-                    if not bits:
-                        top |= 1 << w
-            while top:  # the least rank: find-first-set in the top word, then in the word that it names
-                first = top & -top
-                w = first.bit_length() - 1
-                bits = low[w]
-                bit = bits & -bits
-                r = (w << 8) + bit.bit_length() - 1
-                i = buckets[r]
-                if i.__class__ is list:
-                    held, i = i, heapq.heappop(i)
-                    if not held:
-                        del buckets[r]
-                        low[w] = bits ^ bit
-                        if bits == bit:
-                            top ^= first
-                else:
-                    del buckets[r]
-                    low[w] = bits ^ bit
-                    if bits == bit:
-                        top ^= first
-                if pair[i] == r:  # else it is stale
+                    pair[i] = -1
+                if (h := left[i]) >= 0:
+                    pair[h] = x = rank_of(part[h] << 32 | r, -1)
+                    if x >= 0:
+                        if (b := get(x)) is not None:
+                            b.append(h)
+                        else:
+                            push(x, h)
+                            lower |= x < r
+                if lower:  # goes before what is left of this bucket
+                    if k + 1 < len(held):
+                        push(r, *held[k + 1 :])
                     break
-            else:
-                break
-            part[i] = r
-            j = right[i]
-            k = right[i] = right[j]
-            pair[j] = -1
-            fresh = []
-            if k < n:
-                left[k] = i
-                pair[i] = x = rank_of(r << 32 | part[k], -1)
-                if x >= 0:
-                    fresh.append((i, x))
-            else:
-                pair[i] = -1
-            if (h := left[i]) >= 0:
-                pair[h] = x = rank_of(part[h] << 32 | r, -1)
-                if x >= 0:
-                    fresh.append((h, x))
-        out, i = [], 0
-        while i < n:
-            out.append(part[i])
-            i = right[i]
+        out, at = [], 0
+        for end in ends.tolist():
+            out.append([p for p in part[at:end] if p >= 0])
+            at = end
         return out
 
-    @cached_property
-    def byte_ranks(self) -> list[int]:
-        return [self.ranks[bytes([c])] for c in range(256)]
-
-    def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED // 2:  # pre-tokens not met in a generation are forgotten
-            self.older, self.known = self.known, self.new_known()
-        return b"".join(map(self.known.__getitem__, self.split(text)))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text, as little-endian unsigned 32-bit integers."""
+        known, older = self.known, self.older
+        split = list(map(self.split, texts))
+        fresh = set().union(*split).difference(known)
+        again = [p for p in fresh if p in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = list(fresh.difference(again))
+        known.update(zip(new, (struct.pack(f"<{len(ids)}I", *ids) for ids in self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new])), strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        if len(known) > REMEMBERED // 2:  # pre-tokens not met in a generation are forgotten
+            self.older, self.known = known, {}
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -237,7 +232,7 @@ def encode(docs: DataFrame, held) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(held)
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(x or "") for x in b.column(1).to_pylist()], pa.binary())], names=["doc", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bpe.encode([x or "" for x in b.column(1).to_pylist()]), pa.binary())], names=["doc", "ids"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("ids", T.BinaryType())]))
@@ -261,7 +256,7 @@ def round_trip(docs: DataFrame, held) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(held)
         for b in slices(batches):
-            ids = [bpe.encode(x or "") for x in b.column(1).to_pylist()]
+            ids = bpe.encode([x or "" for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], names=["doc", "ids", "decoded"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), F.col("text").cast("string").alias("text"))

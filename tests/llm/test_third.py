@@ -166,3 +166,23 @@ def test_odd_corpus_through_the_similar_stage(spark):
     groups = similar_groups(sorted({r[0]: r[1] for r in rows if r[0] is not None}.items()))
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, simhash.Similar()).collect()}
     assert kept - {None} == set(groups.values())
+
+
+def test_pieces_of_a_batch_merge_as_each_alone():
+    """One list and queue for many pre-tokens, against tiktoken; with merges whose new pair has a lower rank."""
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from pagelens.llm import bpe
+
+    tokens = [bytes([c]) for c in range(256)] + [b"ab", b"abc", b"de", b"bc", b"cde", b"aa", b"aaa", b"abcde", b"aaaa"]
+    own = b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens))
+    for raw, alphabet in ((own, "abcdex"), (open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read(), "abcdefghinortsu éü漢")):
+        b = bpe.Bpe(raw, P.PATTERN)
+        enc = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=b.ranks, special_tokens={})
+        rng = random.Random(5)
+        pieces = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 5, 9, 40]))) for _ in range(3000)] + ["a" * 50_000, "abcde" * 9_001]
+        assert b.encode_pieces([p.encode() for p in pieces]) == [enc.encode_ordinary(p) for p in pieces]
+        assert not b.queue.top and not any(b.queue.low) and not b.queue.buckets
