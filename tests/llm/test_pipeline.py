@@ -10,7 +10,8 @@ import __spark_entry__
 import corpus_pipeline
 from pagelens.llm import bpe, lines, mixing, quality
 
-from .test_first import brute_groups, brute_lines, corpus, naive_fingerprint
+from .test_first import brute_lines, corpus
+from .test_third import similar_groups
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -27,7 +28,7 @@ def test_stages_follow_one_another(spark, tmp_path):
     for d, _, dropped, text in brute_lines([(d, r[1]) for d, r in left.items()]):
         if dropped:
             left[d][1], left[d][4] = text, len(text)
-    groups = brute_groups(sorted((d, naive_fingerprint(r[1])) for d, r in left.items()))
+    groups = similar_groups(sorted((d, r[1]) for d, r in left.items()))
     left = {d: r for d, r in left.items() if groups[d] == d}
 
     words = {d: len((r[1] or "").encode().split()) for d, r in left.items()}
@@ -55,21 +56,31 @@ def brute_rake(words: dict, cell: dict, mix: mixing.Mix) -> dict:
     tokens: dict = {}
     for d, c in cell.items():
         tokens[c] = tokens.get(c, 0) + words[d]
-    total, dims = sum(tokens.values()) * mix.rate, list(mix.powers.items())
-    share = []
+    dims, share = list(mix.powers.items()), []
+    wanted = sum(tokens.values()) * mix.rate
     for k, (_, power) in enumerate(dims):
         by: dict = {}
         for c, n in tokens.items():
             by[c[k]] = by.get(c[k], 0) + n
         raised = {key: n**power for key, n in by.items()}
         share.append({key: x / sum(raised.values()) for key, x in raised.items()})
-    w = {c: n * mix.rate for c, n in tokens.items()}
-    for _ in range(mix.rounds):
-        for k in range(len(dims)):
-            margin: dict = {}
-            for c, x in w.items():
-                margin[c[k]] = margin.get(c[k], 0.0) + x
-            w = {c: min(x * share[k][c[k]] * total / margin[c[k]], tokens[c]) if margin[c[k]] > 0 else 0.0 for c, x in w.items()}
+        wanted = min([wanted, *(mix.slack * by[key] / x for key, x in share[k].items() if x)])
+    w = {c: n * wanted / sum(tokens.values()) for c, n in tokens.items()}
+
+    def margins(k):
+        out: dict = {}
+        for c, x in w.items():
+            out[c[k]] = out.get(c[k], 0.0) + x
+        return out
+
+    for check in range(1, mix.lowered * mix.patience + 1):
+        for _ in range(mix.rounds):
+            for k in range(len(dims)):
+                margin = margins(k)
+                w = {c: min(x * share[k][c[k]] * wanted / margin[c[k]], tokens[c]) if margin[c[k]] > 0 else 0.0 for c, x in w.items()}
+        if all(abs(x / wanted - share[k][key]) <= mix.tolerance for k in range(len(dims)) for key, x in margins(k).items()):
+            break
+        wanted *= 1.0 if check % mix.patience else 0.9
     return {c: min(1.0, w[c] / tokens[c]) if tokens[c] else 0.0 for c in tokens}
 
 

@@ -186,3 +186,31 @@ def test_pieces_of_a_batch_merge_as_each_alone():
         pieces = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 5, 9, 40]))) for _ in range(3000)] + ["a" * 50_000, "abcde" * 9_001]
         assert b.encode_pieces([p.encode() for p in pieces]) == [enc.encode_ordinary(p) for p in pieces]
         assert not b.queue.top and not any(b.queue.low) and not b.queue.buckets
+
+
+def test_default_mix_meets_its_targets(spark):
+    """Shares of the weights and the rate of the drawn tokens, with the parameters of the query, on the given tables."""
+    from pagelens.llm import mixing
+
+    mix = mixing.Mix()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cells = mixing.count_tokens(docs, ["doc_id"]).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
+    out = mixing.rake(cells, mix).toPandas()
+    assert (out.weight <= out.tokens * (1 + 1e-9)).all() and out.residual.max() <= mix.tolerance and out.wanted[0] > 0.5 * out.tokens.sum()
+    for d, p in mix.powers.items():
+        by = out.groupby(d, dropna=False)[["tokens", "weight"]].sum()
+        assert (by.weight / out.weight.sum() - by.tokens**p / (by.tokens**p).sum()).abs().max() < 0.002
+
+
+def test_given_targets_and_keys_that_they_leave_out(spark):
+    from pagelens.llm import mixing
+
+    rows = [(s, lang, topic, n * (3 if lang else 1) * (2 if topic == "prose" else 1)) for s, n in (("a", 100), ("b", 50), (None, 20), ("c", 10), ("z", 0)) for lang in ("en", None) for topic in ("prose", "list")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens bigint")
+    target = spark.createDataFrame([("b", 0.3), (None, 0.1), ("nowhere", 0.5)], "key string, share double")
+    shares = {r.key: r.share for r in mixing.target_shares(cells, "source", mixing.Mix(), target).collect()}
+    assert shares == pytest.approx({"b": 0.3, None: 0.1, "a": 0.6 * 10 / 11, "c": 0.6 / 11, "z": 0.0})
+    out = mixing.rake(cells, mixing.Mix(), {"source": target}).toPandas()
+    got = out.fillna("-").groupby("source").weight.sum() / out.weight.sum()
+    assert out.residual.max() <= 0.001 and abs(got["b"] - 0.3) < 0.002 and abs(got["-"] - 0.1) < 0.002
+    assert mixing.rake(cells.limit(0)).count() == 0
