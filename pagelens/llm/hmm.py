@@ -3,13 +3,16 @@
 A token's probability is its class's under the latent state times its own within the class:
 P(w | z) = B[z, class(w)] * (c(w) + 1) / (N_class + V_class + 1). Classes are a fixed number of hash buckets of words,
 so the trained tables have a fixed size, while the word counts c cover every training token and stay distributed.
-Baum-Welch: tasks add up expected transitions and emissions over their documents; Spark sums them; K*K + K*C numbers
-come to the driver. The exact likelihood of a whole text is the scaled forward recursion, with long texts cut into
-segments whose transfer matrices multiply to the same value.
+Baum-Welch: tasks add up expected transitions, emissions and states before the first token over their documents; Spark
+sums them; K*K + K*C + K numbers come to the driver. Texts count as they are, from the first token to the last. Long
+ones are cut into segments for both training and scoring, whose scaled transfer matrices carry the state over: what
+comes before and after a segment is exact, so that cutting changes nothing but the order of sums. The exact likelihood
+of a whole text is the scaled forward recursion.
 
 Counting words without sending every token: a block of documents (8 MB of text) is tokenized once into local word
-numbers; only its distinct words go to the bucket of their hash, are added up there, and the totals come back to the
-block. Blocks are written to the shared folder, so their numbering survives retries.
+numbers; a row for each of its distinct words is summed up by the word's hash, with Spark's own aggregation and join,
+so that a word of every block is pre-aggregated and its rows can be split; the totals come back to the block. Blocks
+are written to the shared folder, so their numbering survives retries.
 
 Null and odd input: a null or empty text is one end token. A null doc_id counts as the empty text for crc32, and so
 trains. Repeated rows train twice and score alike. Extra columns are left out. An empty table gives an empty result.
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 
 @dataclass(frozen=True)
@@ -38,7 +41,8 @@ class Hmm:
     states: int = 6
     classes: int = 4096
     rounds: int = 4
-    #: texts are cut into segments of so many tokens; training takes each by itself
+    #: texts above so many tokens are trained on in segments, which carry their state over
+    whole: int = 1024
     segment: int = 256
     #: chance of staying in a state before training
     stay: float = 0.95
@@ -48,8 +52,8 @@ class Hmm:
     held_out_modulus: int = 7
     held_out_remainder: int = 2
     block_bytes: int = 8 << 20
-    #: distinct words of blocks in one bucket, about
-    bucket_words: int = 400_000
+    #: padded tokens that a task trains on at a time
+    batch_tokens: int = 1 << 18
 
 
 #: The end of a text, which no word can be.
@@ -60,8 +64,8 @@ def is_held_out(doc_id: int | None, model: Hmm) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % model.held_out_modulus == model.held_out_remainder
 
 
-_BLOCK = pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64())])
-_BLOCK_SQL = "block string, ids array<bigint>, lengths binary, tokens binary, words binary, counts binary, n_words bigint"
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary())])
+_BLOCK_SQL = "block bigint, ids array<bigint>, lengths binary, tokens binary, words binary, counts binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], model: Hmm) -> Iterator[pa.RecordBatch]:
@@ -75,8 +79,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], model: Hmm) -> Iterator[pa.Record
         counts = np.bincount(tokens[~np.repeat(held, lengths)], minlength=len(number)).astype(np.int32)
         digest = xxhash.xxh3_64_intdigest
         words = np.fromiter((digest(w) for w in number), np.uint64, len(number))
-        # names is by a random word: a retried task's blocks are other rows, but only one try's rows are written
-        row = [uuid.uuid4().hex, ids, lengths.tobytes(), tokens.tobytes(), words.tobytes(), counts.tobytes(), len(number)]
+        # the name is a random word: a retried task's blocks are other rows, but only one try's rows are written
+        row = [uuid.uuid4().int >> 65, ids, lengths.tobytes(), tokens.tobytes(), words.tobytes(), counts.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
     fresh = lambda: ([], [], defaultdict(count().__next__), 0)
@@ -96,29 +100,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], model: Hmm) -> Iterator[pa.Record
         yield flush(ids, parts, number)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A block's distinct words by bucket: (bucket, block, local numbers, hashes, counts)."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of a block: (block, local number, hash, count)."""
     for b in batches:
         for block, words, counts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            h, n = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int32)
-            where = (h % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
-                yield pa.RecordBatch.from_arrays([pa.array([int(where[part[0]])], pa.int32()), pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in (part.astype(np.int32), h[part], n[part]))], names=["bucket", "block", "local", "words", "counts"])
-
-
-def _add_up(t: pa.Table, classes: int) -> pa.Table:
-    """Totals of a bucket's words, sent back by block; and its words and tokens by class, in a row without a block."""
-    hashes = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.int32) for x in t.column("counts").to_pylist()])
-    every, where = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(where, weights=counts, minlength=len(every)).astype(np.int64)
-    cls = class_of(every, classes)
-    seen = total > 0
-    tokens = np.bincount(cls, weights=total, minlength=classes).astype(np.int64)
-    types = np.bincount(cls[seen], minlength=classes).astype(np.int64)
-    back = np.split(total[where], np.cumsum([len(h) for h in hashes])[:-1])
-    return pa.table({"block": pa.array([*t.column("block").to_pylist(), None], pa.string()), "local": pa.array([*t.column("local").to_pylist(), None], pa.binary()), "totals": pa.array([*(x.tobytes() for x in back), None], pa.binary()), "tokens": pa.array([*[None] * len(back), tokens.tolist()], pa.list_(pa.int64())), "types": pa.array([*[None] * len(back), types.tolist()], pa.list_(pa.int64()))})
+            h, n = np.frombuffer(words, np.int64), np.frombuffer(counts, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h), pa.array(n.astype(np.int64))], names=["block", "local", "h", "n"])
 
 
 def class_of(hashes: np.ndarray, classes: int) -> np.ndarray:
@@ -135,8 +122,7 @@ def _numbered(blocks: pa.Table, totals: pa.Table, model: Hmm, tokens: np.ndarray
     for ids, lengths, numbers, words in zip(*(blocks.column(c).to_pylist() for c in ("ids", "lengths", "tokens", "words")), strict=True):
         h = np.frombuffer(words, np.uint64)
         c = np.zeros(len(h), np.int64)
-        for local, total in zip(totals.column("local").to_pylist(), totals.column("totals").to_pylist(), strict=True):
-            c[np.frombuffer(local, np.int32)] = np.frombuffer(total, np.int64)
+        c[totals.column("local").to_numpy()] = totals.column("total").to_numpy()
         cls = class_of(h, model.classes)
         base = np.log10((c + 1) / (n + (v + 1)))
         within = np.log10((c + 1) / (tokens[cls] + types[cls] + 1))
@@ -168,9 +154,13 @@ def _segments(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
     return out, size, np.array([i for i, _ in cut])
 
 
-def expected_counts(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expected transitions (K, K) and emissions (K, C) over segments, longest first, and their log-likelihood."""
-    k, (s, length) = len(first), codes.shape
+def expected_counts(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, first: np.ndarray, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Expected transitions (K, K) and emissions (K, C) over segments, longest first; their log-likelihood; and the
+    expected state before each.
+
+    first: the state before all segments or each; after: what follows each, as a likelihood by its last state.
+    """
+    k, (s, length) = a.shape[0], codes.shape
     active = np.searchsorted(-size, -np.arange(length), side="left")  # segments longer than t
     e = b.T[codes]
     alpha, scale = np.zeros((length + 1, s, k)), np.ones((length + 1, s))
@@ -182,7 +172,7 @@ def expected_counts(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.nd
         scale[t + 1, :n] = z
         alpha[t + 1, :n] = x / z[:, None]
     moves, gamma = np.zeros((k, k)), np.zeros((s, length, k))
-    beta = np.ones((s, k))
+    beta = np.ones((s, k)) if after is None else after / (alpha[size, np.arange(s)] * after).sum(axis=1, keepdims=True)
     for t in range(length - 1, -1, -1):
         n = active[t]
         right = e[:n, t] * beta[:n] / scale[t + 1, :n, None]
@@ -192,27 +182,28 @@ def expected_counts(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.nd
     mask = np.arange(length) < size[:, None]
     flat = codes[mask]
     emit = np.stack([np.bincount(flat, weights=gamma[..., j][mask], minlength=b.shape[1]) for j in range(k)])
-    return moves * a, emit, float(np.log(scale).sum())
+    return moves * a, emit, float(np.log(scale).sum()), alpha[0] * beta
 
 
-def log10_likelihoods(texts: list[bytes], a: np.ndarray, b: np.ndarray, first: np.ndarray, length: int, batch: int = 1000) -> np.ndarray:
-    """Exact, of each whole text: a segment is a scaled matrix, and a text the product of its segments."""
-    out = np.zeros(len(texts))
-    seqs = [np.frombuffer(x, np.uint16) for x in texts]
-    cut = [(i, a0) for i, s in enumerate(seqs) for a0 in range(0, len(s), length)]
-    order = sorted(range(len(cut)), key=lambda j: -min(length, len(seqs[cut[j][0]]) - cut[j][1]))
-    k = len(first)
-    matrices, logs = np.empty((len(cut), k, k)), np.zeros(len(cut))
+def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of codes, and their lengths. parts: longest first."""
+    size = np.array([len(p) for p in parts])
+    codes = np.zeros((len(parts), size[0]), np.int64)
+    for r, p in enumerate(parts):
+        codes[r, : len(p)] = p
+    return codes, size
+
+
+def transfer(parts: list[np.ndarray], a: np.ndarray, b: np.ndarray, batch: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix from the state before each segment to the state at its end, scaled, and log10 of the scales."""
+    k, bt = len(a), b.T
+    matrices, logs = np.empty((len(parts), k, k)), np.zeros(len(parts))
+    order = sorted(range(len(parts)), key=lambda j: -len(parts[j]))
     for g in range(0, len(order), batch):
         own = order[g : g + batch]
-        parts = [seqs[cut[j][0]][cut[j][1] : cut[j][1] + length] for j in own]
-        size = np.array([len(p) for p in parts])
-        codes = np.zeros((len(own), size[0]), np.int64)
-        for r, p in enumerate(parts):
-            codes[r, : len(p)] = p
+        codes, size = _padded([parts[j] for j in own])
         m, log = np.repeat(np.eye(k)[None], len(own), axis=0), np.zeros(len(own))
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")
-        bt = b.T
         for t in range(size[0]):
             n = active[t]
             x = (m[:n].reshape(-1, k) @ a).reshape(n, k, k) * bt[codes[:n, t]][:, None, :]
@@ -220,6 +211,14 @@ def log10_likelihoods(texts: list[bytes], a: np.ndarray, b: np.ndarray, first: n
             m[:n] = x / z[:, None, None]
             log[:n] += np.log10(z)
         matrices[own], logs[own] = m, log
+    return matrices, logs
+
+
+def log10_likelihoods(texts: list[bytes], a: np.ndarray, b: np.ndarray, first: np.ndarray, length: int, batch: int = 1000) -> np.ndarray:
+    """Exact, of each whole text: a segment is a scaled matrix, and a text the product of its segments."""
+    out = np.zeros(len(texts))
+    cut = [(i, p) for i, x in enumerate(texts) for p in _cut(np.frombuffer(x, np.uint16), length)]
+    matrices, logs = transfer([p for _, p in cut], a, b, batch)
     v, at = None, -1
     for j, (i, _) in enumerate(cut):
         if i != at:
@@ -231,16 +230,46 @@ def log10_likelihoods(texts: list[bytes], a: np.ndarray, b: np.ndarray, first: n
     return out
 
 
+def _cut(seq: np.ndarray, length: int) -> list[np.ndarray]:
+    return [seq[i : i + length] for i in range(0, len(seq), length)]
+
+
+def text_counts(texts: list[bytes], model: Hmm, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """expected_counts of whole texts, and the expected state before a text: long ones by segments with their context."""
+    k, parts, before, after, begins = len(a), [], [], [], []
+    for x in texts:
+        seq = np.frombuffer(x, np.uint16)
+        own = _cut(seq, model.segment) if len(seq) > model.whole else [seq]
+        left, right = [first], [np.ones(k)]
+        if len(own) > 1:
+            matrices, _ = transfer(own, a, b)
+            for m in matrices[:-1]:
+                v = left[-1] @ m
+                left.append(v / v.sum())
+            for m in matrices[:0:-1]:
+                v = m @ right[-1]
+                right.append(v / v.sum())
+        parts += own
+        before += left
+        after += right[::-1]
+        begins += [True, *[False] * (len(own) - 1)]
+    moves, emit, log, start = np.zeros_like(a), np.zeros_like(b), 0.0, np.zeros(k)
+    order, i = sorted(range(len(parts)), key=lambda j: -len(parts[j])), 0
+    while i < len(order):
+        own = order[i : i + max(1, model.batch_tokens // len(parts[order[i]]))]
+        codes, size = _padded([parts[j] for j in own])
+        m, e, x, g = expected_counts(codes, size, a, b, np.array([before[j] for j in own]), np.array([after[j] for j in own]))
+        moves, emit, log, start = moves + m, emit + e, log + x, start + g[[begins[j] for j in own]].sum(axis=0)
+        i += len(own)
+    return moves, emit, log, start
+
+
 def _count_task(batches: Iterator[pa.RecordBatch], model: Hmm, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-    moves, emit, log = np.zeros_like(a), np.zeros_like(b), 0.0
+    flat = np.zeros(a.size + b.size + 1 + len(first))
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for i in range(0, len(texts), 500):
-            codes, size, _ = _segments(texts[i : i + 500], model.segment)
-            for j in range(0, len(size), 1000):
-                m, e, x = expected_counts(codes[j : j + 1000, : size[j]], size[j : j + 1000], a, b, first)
-                moves, emit, log = moves + m, emit + e, log + x
-    flat = np.concatenate([moves.ravel(), emit.ravel(), [log]])
+        for part in slices([batch], 500):
+            moves, emit, log, start = text_counts(part.column(0).to_pylist(), model, a, b, first)
+            flat += np.concatenate([moves.ravel(), emit.ravel(), [log], start])
     some = np.flatnonzero(flat)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], names=["i", "x"])
 
@@ -256,13 +285,13 @@ def train(docs: DataFrame, model: Hmm, tokens: np.ndarray, types: np.ndarray) ->
     first = np.full(k, 1 / k)
     rows = docs.where("NOT held_out").select("classes")
     for _ in range(model.rounds):
-        held = (a, b)
-        sums = rows.mapInArrow(lambda it, held=held: _count_task(it, model, *held, first), "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x"))
-        flat = np.zeros(k * k + k * c + 1)
-        for r in sums.collect():  # K*K + K*C + 1 numbers, whatever the input
+        held = (a, b, first)
+        sums = rows.mapInArrow(lambda it, held=held: _count_task(it, model, *held), "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x"))
+        flat = np.zeros(k * k + k * c + 1 + k)
+        for r in sums.collect():  # K*K + K*C + 1 + K numbers, whatever the input
             flat[r.i] = r.x
-        moves, emit = flat[: k * k].reshape(k, k) + 1, flat[k * k : -1].reshape(k, c) + model.prior * share
-        a, b = moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True)
+        moves, emit, start = flat[: k * k].reshape(k, k) + 1, flat[k * k : k * k + k * c].reshape(k, c) + model.prior * share, flat[-k:] + 1
+        a, b, first = moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True), start / start.sum()
     return a, b, first
 
 
@@ -277,15 +306,12 @@ def _score_task(batches: Iterator[pa.RecordBatch], model: Hmm, a: np.ndarray, b:
 def score(docs: DataFrame, model: Hmm = Hmm()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     blocks = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _blocks(it, model), _BLOCK_SQL))
-    distinct = blocks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(16, -(-distinct // model.bucket_words))
-    dealt = blocks.select("block", "words", "counts").mapInArrow(lambda it: _deal(it, buckets), "bucket int, block string, local binary, words binary, counts binary")
-    totals = materialize(dealt.groupBy("bucket").applyInArrow(lambda t: _add_up(t, model.classes), "block string, local binary, totals binary, tokens array<bigint>, types array<bigint>"))
+    words = blocks.select("block", "words", "counts").mapInArrow(_words, "block bigint, local int, h bigint, n bigint")
+    totals = materialize(words.where("n > 0").groupBy("h").agg(F.sum("n").alias("total")))
     tokens, types = np.zeros(model.classes, np.int64), np.zeros(model.classes, np.int64)
-    by_class = totals.where("block IS NULL").select(F.posexplode(F.arrays_zip("tokens", "types")).alias("c", "x")).groupBy("c").agg(F.sum("x.tokens").alias("tokens"), F.sum("x.types").alias("types"))
-    for r in by_class.collect():  # a row per class
+    for r in totals.groupBy(F.expr(f"shiftrightunsigned(h, 40) % {model.classes}").alias("c")).agg(F.sum("total").alias("tokens"), F.count("*").alias("types")).collect():  # a row per class
         tokens[r.c], types[r.c] = r.tokens, r.types
-    back = totals.where("block IS NOT NULL").select("block", "local", "totals")
+    back = words.join(totals.hint("merge"), "h").select("block", "local", "total")  # at every size: both sides grow with the corpus
     numbered = blocks.select("block", "ids", "lengths", "tokens", "words").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda x, y: _numbered(x, y, model, tokens, types), _DOC_SQL)
     rows = materialize(numbered)
     a, b, first = train(rows, model, tokens, types)

@@ -137,7 +137,7 @@ def test_chat_windows_read_back(spark, template):
 
 
 def test_hmm_counts_and_exact_likelihood(spark, docs):
-    model = hmm.Hmm(states=3, classes=64, rounds=2, segment=16, block_bytes=4000, bucket_words=100)
+    model = hmm.Hmm(states=3, classes=64, rounds=2, segment=16, whole=40, block_bytes=4000)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = hmm.score(docs, model).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b"\n"]

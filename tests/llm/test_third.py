@@ -214,3 +214,18 @@ def test_given_targets_and_keys_that_they_leave_out(spark):
     got = out.fillna("-").groupby("source").weight.sum() / out.weight.sum()
     assert out.residual.max() <= 0.001 and abs(got["b"] - 0.3) < 0.002 and abs(got["-"] - 0.1) < 0.002
     assert mixing.rake(cells.limit(0)).count() == 0
+
+
+def test_training_carries_the_state_over_segments():
+    """Counts of long texts cut into segments are those of the whole texts."""
+    from pagelens.llm import hmm
+
+    rng = np.random.default_rng(9)
+    a, b = rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(7), 3)
+    first = rng.dirichlet(np.ones(3))
+    texts = [rng.integers(0, 7, n).astype(np.uint16).tobytes() for n in (1, 5, 64, 65, 300, 7, 129)]
+    whole = hmm.text_counts(texts, hmm.Hmm(whole=10_000), a, b, first)
+    for batch in (1 << 18, 100):
+        cut = hmm.text_counts(texts, hmm.Hmm(whole=20, segment=16, batch_tokens=batch), a, b, first)
+        assert all(np.allclose(x, y) for x, y in zip(whole, cut, strict=True))
+    assert np.isclose(whole[3].sum(), len(texts)) and np.isclose(whole[1].sum(), sum(len(t) // 2 for t in texts))
