@@ -2,7 +2,8 @@
 
 Four shape measures of each text are sketched per (lang, source) and judged against Tukey fences read from the
 sketches. A sketch is a histogram of buckets of at most 1/64 relative width: counts add up, so sketches merge across
-partitions, and the sketches of a language's sources merge into the language's, those of all into the corpus's. The
+partitions, and the sketches of a language's sources merge into the language's, those of all into the corpus's. A
+quartile is blended with that of the level above, by the group's size, so that a small group leans on its language. The
 sketches are exact in their counts and independent of row order, so results are reproducible. Only DataFrame functions.
 
 Null and odd input: a null text has no words. Null lang or source is a group of its own. Rows are judged one by one,
@@ -24,8 +25,8 @@ from .common import SPACE, materialize, table, words
 class QualityRules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: a group with fewer measured texts uses its language's sketch, a language with fewer the corpus's
-    min_group: int = 100
+    #: texts that a parent's quartile counts for: a source's is blended with its language's, that with the corpus's
+    prior: int = 100
     #: fence = quartile -/+ reach * max(interquartile range, least spread of the measure)
     reach: int = 3
     #: least spread by measure: tenths of a character a word; symbols, repeated lines, repeated words in a thousand
@@ -42,16 +43,24 @@ def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Counts of each text. carry: columns of docs to keep, in a struct ``doc``.
 
     Repeated 3-word windows: each window's 64-bit hash is packed with its index into one long, the longs are sorted,
-    and equal neighbours (compared by whole hashes) give the indexes of windows found twice or more. That is
-    O(n log n) in one row, with no explode or shuffle.
+    and equal neighbours (compared by whole hashes) give the indexes of windows found twice or more. In a text where
+    packing brings two different hashes together, pairs of hash and index are sorted instead. That is O(n log n) in one
+    row, with no explode or shuffle.
     """
     n = F.size("w")
     at = lambda a, i: F.get(a, i)
     hashed = F.transform("w", lambda w: F.xxhash64(w))
     windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(F.col("h"), i), at(F.col("h"), i + 1), at(F.col("h"), i + 2)))).otherwise(F.array().cast("array<bigint>"))
     packed = F.sort_array(F.transform("v", lambda x, i: F.call_function("shiftleft", x, F.col("bits")).bitwiseOR(i.cast("bigint"))))
-    index = lambda j: at(F.col("p"), j).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits")) - 1).cast("int")
-    same = lambda j: at(F.col("v"), index(j)) == at(F.col("v"), index(j - 1))
+    low = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bits")) - 1).cast("int")
+    high = lambda j: F.call_function("shiftright", at(F.col("p"), j), F.col("bits"))
+    hash_at = lambda j: at(F.col("v"), index(j))
+    packed_at = lambda j: at(F.col("v"), low(at(F.col("p"), j)))
+    clash = (F.size("p") >= 2) & F.exists(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), lambda j: (high(j) == high(j - 1)) & (packed_at(j) != packed_at(j - 1)))
+    pairs = F.transform(F.array_sort(F.transform("v", lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda s: s["i"])
+    places = F.when(clash, pairs).otherwise(F.transform("p", low))
+    index = lambda j: at(F.col("p"), j)
+    same = lambda j: hash_at(j) == hash_at(j - 1)
     twice = F.when(F.size("p") >= 2, F.filter(F.sequence(F.lit(1), F.size("p") - 1), same)).otherwise(F.array().cast("array<int>"))
     spans = F.flatten(F.transform("q", lambda j: F.array(index(j), index(j) + 1, index(j) + 2, index(j - 1), index(j - 1) + 1, index(j - 1) + 2)))
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))
@@ -62,6 +71,7 @@ def measures(docs: DataFrame, carry: list[str]) -> DataFrame:
         .withColumn("bits", F.length(F.bin(n.cast("bigint"))))
         .withColumn("v", windows)
         .withColumn("p", packed)
+        .withColumn("p", places)
         .withColumn("q", twice)
         .withColumn("l", lines)
         .select(
@@ -109,6 +119,11 @@ def _quartiles(cells: DataFrame, keys: list[str]) -> DataFrame:
     return run.groupBy(*keys, "measure").agg(F.max("all").alias("n"), least(1).alias("q1"), least(3).alias("q3"))
 
 
+def _blend(own: str, n: str, parent: str, rules: QualityRules, div: str) -> str:
+    """A group's quartile and its parent's, weighted by the group's size and the prior: no step at any size. As SQL."""
+    return f"(({own} * {n} + ({parent}) * {rules.prior}) {div} ({n} + {rules.prior}))"
+
+
 def thresholds(cells: DataFrame, rules: QualityRules) -> DataFrame:
     """One row per (lang, source) of the sketches, with the fences of each measure."""
     own, by_lang, every = _quartiles(cells, ["lang", "source"]), _quartiles(cells, ["lang"]), _quartiles(cells, [])
@@ -120,7 +135,7 @@ def thresholds(cells: DataFrame, rules: QualityRules) -> DataFrame:
             "o.lang",
             "o.source",
             "o.measure",
-            *[F.when(F.col("o.n") >= rules.min_group, F.col(f"o.{q}")).when(F.col("g.n") >= rules.min_group, F.col(f"g.{q}")).otherwise(F.col(f"e.{q}")).alias(q) for q in ("q1", "q3")],
+            *[F.expr(_blend(f"o.{q}", "o.n", _blend(f"g.{q}", "g.n", f"e.{q}", rules, "div"), rules, "div")).alias(q) for q in ("q1", "q3")],
         )
     )
     spread = F.create_map(*[y for m in MEASURES for y in (F.lit(m), F.lit(getattr(rules, f"spread_{m}")).cast("bigint"))])[F.col("measure")]
@@ -181,8 +196,7 @@ b AS (SELECT *, n_words < {rules.min_words} OR n_repeat_words * 100 > n_words *
 v AS (SELECT lang, source, unnest(['length', 'symbols', 'lines', 'repeats']) AS measure, unnest([length, symbols, lines, repeats]) AS x FROM b WHERE NOT base_failed),
 cells AS (SELECT lang, source, measure, {bucket} AS bucket, count(*) AS n FROM v GROUP BY ALL),
 o AS ({level('lang, source,')}), g AS ({level('lang,')}), e AS ({level('')}),
-f AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= {rules.min_group} THEN o.q1 WHEN g.n >= {rules.min_group} THEN g.q1 ELSE e.q1 END AS q1,
-        CASE WHEN o.n >= {rules.min_group} THEN o.q3 WHEN g.n >= {rules.min_group} THEN g.q3 ELSE e.q3 END AS q3
+f AS (SELECT o.lang, o.source, o.measure, {', '.join(f"{_blend(f'o.{q}', 'o.n', _blend(f'g.{q}', 'g.n', f'e.{q}', rules, '//'), rules, '//')} AS {q}" for q in ('q1', 'q3'))}
       FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang AND o.measure = g.measure JOIN e ON o.measure = e.measure),
 r AS (SELECT *, {rules.reach} * greatest(q3 - q1, CASE measure {spread} END) AS reach FROM f),
 t AS (SELECT lang, source, max(q1 - reach) FILTER (measure = 'length') AS length_low, {', '.join(f"max(q3 + reach) FILTER (measure = '{m}') AS {m}_high" for m in MEASURES)} FROM r GROUP BY lang, source)
