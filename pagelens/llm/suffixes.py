@@ -12,10 +12,13 @@ positions of the corpus at once would be some twenty times the input in every ro
    ``length`` (the last pair overlaps), are sorted, and each string gets the least document that holds it. A window is
    removed if that is a smaller one than its own.
 
-Names at the last length are 64-bit hashes inside a bucket that other hash bits chose. A chunk of documents sends a
-run of windows that many of its documents share once, with the least of them, so a passage that a third of all
-documents hold is pre-aggregated before the shuffle. Texts are dealt to chunks once; each step recomputes the chunk's
-anchors rather than shuffle them.
+Names only bring windows together: before a window is removed its bytes are compared with those of the least document's,
+and strings whose names are equal by chance are told apart. Whole texts are compared by 128 bits. A chunk of documents
+sends a run of windows that many of its documents share once, with the least of them, so a passage that a third of all
+documents hold is pre-aggregated before the shuffle. An anchor with more than ``hot`` such runs in all would fill a
+bucket by itself, as a phrase of 20 bytes in ever other surroundings does: its windows go one by one, by 128 bits of
+name, to the bucket of their own name, so that no bucket grows with the corpus. Texts are dealt to chunks once; each
+step recomputes the chunk's anchors rather than shuffle them.
 
 Null and odd input: a null text has no bytes. Rows with equal doc_id are one document and never remove each other's
 bytes. A null doc_id counts as smaller than every other. Texts below ``length`` bytes stay whole. An empty table gives
@@ -46,23 +49,25 @@ class Repeats:
     #: bytes of text to a chunk, and bytes of the corpus to a bucket of names, about
     chunk_bytes: int = 2 << 20
     bucket_bytes: int = 4 << 20
+    #: runs of an anchor above which its windows are dealt by their own names
+    hot: int = 20_000
 
 
 #: A long text is searched in slices of so many windows; an index into a slice has to fit the low bits of a key.
 SLICE, LOW = 1 << 19, np.uint64((1 << 20) - 1)
 _rng = np.random.default_rng(20)
-_BYTE = _rng.integers(1, 2**63, 256, np.uint64)
-_STEP = {h: np.uint64(_rng.integers(1, 2**62, dtype=np.uint64) * 2 + 1) for h in (1, 2, 4, 8, 16, 32)}
+_FAMILIES = [(_rng.integers(1, 2**63, 256, np.uint64), {h: np.uint64(_rng.integers(1, 2**62, dtype=np.uint64) * 2 + 1) for h in (1, 2, 4, 8, 16, 32)}) for _ in range(2)]
 
 
-def names(text: np.ndarray, length: int) -> np.ndarray:
+def names(text: np.ndarray, length: int, family: int = 0) -> np.ndarray:
     """Names of all strings of so many bytes along the last axis, doubled up from single bytes; 2 <= length <= 64."""
-    h, x = 1, _BYTE[text]
+    of_byte, step = _FAMILIES[family]
+    h, x = 1, of_byte[text]
     while h * 2 <= length:
-        x = x[..., :-h] * _STEP[h] + x[..., h:]
+        x = x[..., :-h] * step[h] + x[..., h:]
         h *= 2
     if h < length:  # the last pair overlaps
-        x = x[..., : x.shape[-1] - (length - h)] * _STEP[h] + x[..., length - h :]
+        x = x[..., : x.shape[-1] - (length - h)] * step[h] + x[..., length - h :]
     x = x ^ (x >> np.uint64(31))
     x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
@@ -113,8 +118,9 @@ class Chunk:
         self.name, self.first, self.last = cat(0, np.uint64), cat(1, np.int64), cat(2, np.int64)
         self.of = np.repeat(np.array(self.long, np.int64), self.size)
         self.every, self.where = np.unique(self.name, return_inverse=True)
-        self.digest = np.array([xxhash.xxh3_64_intdigest(self.raw[i]) for i in self.long], np.uint64)
-        self.digest_order = np.argsort(self.digest, kind="stable")
+        whole = [xxhash.xxh3_128_intdigest(self.raw[i]) for i in self.long]
+        self.digest, self.digest_low = np.array([x >> 64 for x in whole], np.uint64), np.array([x & (1 << 64) - 1 for x in whole], np.uint64)
+        self.digest_order = np.lexsort((self.digest_low, self.digest))
 
     def shared_inside(self) -> np.ndarray:
         """Whether a name is in more than one document of this chunk."""
@@ -124,11 +130,12 @@ class Chunk:
         np.maximum.at(high, self.where, ids)
         return low < high
 
-    def pieces(self, flags: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, bytes, np.ndarray]]]:
-        """flags: (bucket, which names survive, which texts are copies), for all buckets.
+    def pieces(self, flags: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[tuple], "Hot"]:
+        """flags: (bucket, which names survive, which texts are copies, which names are hot), for all buckets.
 
-        Returns the documents that are copies; the runs that go on; and by bucket (bucket, runs that stand for all
-        equal ones, their bytes, their lengths). Equal runs of a chunk are sent once, by the least document.
+        Returns the documents that are copies; the runs that go on and the runs that stand for them, equal ones of a
+        chunk being sent once, by the least document; by bucket (bucket, runs, their bytes, their lengths); and the
+        windows of the runs of hot names.
         """
         flags = sorted(flags)
         bits = lambda k, n: np.concatenate([np.unpackbits(np.frombuffer(f[k], np.uint8))[:m] for f, m in zip(flags, n, strict=True)]).astype(bool) if flags else np.zeros(0, bool)
@@ -138,38 +145,71 @@ class Chunk:
         count = lambda u, n: [dict(zip(u.tolist(), n.tolist(), strict=True)).get(f[0], 0) for f in flags]
         alive, copied = bits(1, count(used, n_names)), np.zeros(len(self.raw), bool)
         copied[np.array(self.long, np.int64)[self.digest_order]] = bits(2, count(used2, n_texts))
+        hot = bits(3, count(used, n_names))
         go = np.flatnonzero(alive[self.where] & ~copied[self.of]) if len(alive) else np.zeros(0, np.int64)
         whole = [self.raw[d][a : b + self.spec.length] for d, a, b in zip(self.of[go].tolist(), self.first[go].tolist(), self.last[go].tolist(), strict=True)]
         seen: dict[bytes, int] = {}
         lead = np.array([seen.setdefault(x, i) for i, x in enumerate(whole)], np.int64)  # documents are in order: the first is the least
         out = []
         heads = np.flatnonzero(lead == np.arange(len(lead)))
+        is_hot = hot[self.where[go[heads]]] if len(heads) else np.zeros(0, bool)
+        singles = Hot(heads[is_hot], [whole[i] for i in heads[is_hot].tolist()], np.array(self.ids, np.int64)[self.of[go[heads[is_hot]]]], self.spec)
+        heads = heads[~is_hot]
         bucket = _bucket(self.name[go[heads]], self.buckets)
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             own = heads[part]
             out.append((int(bucket[part[0]]), own, b"".join(whole[i] for i in own.tolist()), np.array([len(whole[i]) for i in own.tolist()], np.uint8)))
-        return copied, np.stack([go, lead]) if len(go) else np.zeros((2, 0), np.int64), out
+        return copied, np.stack([go, lead]) if len(go) else np.zeros((2, 0), np.int64), out, singles
 
     buckets = 1
 
 
+class Hot:
+    """The windows of a chunk's runs of hot names: each string once, by two names, with the least document that holds it."""
+
+    def __init__(self, heads: np.ndarray, whole: list[bytes], ids: np.ndarray, spec: Repeats):
+        self.heads, self.ids = heads, ids
+        h = [[names(np.frombuffer(x, np.uint8), spec.length, family) for x in whole] for family in (0, 1)]
+        self.run = np.repeat(np.arange(len(whole)), [len(x) for x in h[0]])
+        pair = np.stack([np.concatenate(x) if x else np.zeros(0, np.uint64) for x in h], axis=1)
+        self.pair, self.where = np.unique(pair, axis=0, return_inverse=True) if len(pair) else (pair, np.zeros(0, np.int64))
+        self.where = self.where.ravel()
+        self.least = np.full(len(self.pair), 2**63 - 1)
+        np.minimum.at(self.least, self.where, ids[self.run])
+
+    def sent(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(bucket, the strings in it, by number)."""
+        bucket = _bucket(self.pair[:, 0], buckets)
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            yield int(bucket[part[0]]), part
+
+    def masks(self, earlier: np.ndarray) -> np.ndarray:
+        """For each run, a bit for each window that a smaller document holds. earlier: strings held outside by one smaller still."""
+        gone = earlier[self.where] | (self.least[self.where] < self.ids[self.run])
+        offset = np.arange(len(self.run)) - np.searchsorted(self.run, self.run)
+        out = np.zeros(len(self.heads), np.uint64)
+        np.bitwise_or.at(out, self.run[gone], np.uint64(1) << offset[gone].astype(np.uint64))
+        return out
+
+
 def _chunk(t: pa.Table, spec: Repeats, buckets: int) -> Chunk:
     c = Chunk(t, spec)
     c.buckets = buckets
     return c
 
 
-_SENT = "bucket int, chunk bigint, a binary, b binary, c binary, d binary"
+_SENT = "bucket int, chunk bigint, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
 def _rows(rows: list[tuple], kinds: tuple, columns: list[str]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=columns)
 
 
-_SENT_KINDS = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
-_BACK = "chunk bigint, kind int, bucket int, a binary, b binary"
-_BACK_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+_SENT_KINDS, _SENT_NAMES = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6), ["bucket", "chunk", "kind", *"abcdef"]
+_BACK = "chunk bigint, kind int, bucket int, a binary, b binary, c binary"
+_BACK_KINDS, _BACK_NAMES = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3), ["chunk", "kind", "bucket", *"abc"]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -187,51 +227,76 @@ def _from_planes(raw: bytes) -> np.ndarray:
 def _send_names(t: pa.Table, spec: Repeats, buckets: int) -> pa.Table:
     c = _chunk(t, spec, buckets)
     chunk, ids = t.column("chunk")[0].as_py(), np.array(c.ids, np.int64)
-    shared, digest = c.shared_inside(), c.digest[c.digest_order]
+    shared, digest, low = c.shared_inside(), c.digest[c.digest_order], c.digest_low[c.digest_order]
     owner = ids[np.array(c.long, np.int64)][c.digest_order] if c.long else np.zeros(0, np.int64)
+    n_runs = np.minimum(np.bincount(c.where, minlength=len(c.every)), 255).astype(np.uint8)
     of_name, of_text = _bucket(c.every, buckets), _bucket(digest, buckets)
     out = []
     for b in np.union1d(of_name, of_text).tolist():
         i, j = np.searchsorted(of_name, [b, b + 1])
         k, m = np.searchsorted(of_text, [b, b + 1])
-        out.append((b, chunk, _planes(c.every[i:j]), np.packbits(shared[i:j]).tobytes(), digest[k:m].tobytes(), owner[k:m].tobytes()))
-    return _rows(out, _SENT_KINDS, ["bucket", "chunk", "a", "b", "c", "d"])
+        out.append((b, chunk, 0, _planes(c.every[i:j]), np.packbits(shared[i:j]).tobytes(), digest[k:m].tobytes(), owner[k:m].tobytes(), n_runs[i:j].tobytes(), low[k:m].tobytes()))
+    return _rows(out, _SENT_KINDS, _SENT_NAMES)
 
 
-def _rank_names(t: pa.Table) -> pa.Table:
-    """Which names of a bucket are in two documents or more, and which texts are copies of an earlier document's."""
+def _rank_names(t: pa.Table, spec: Repeats) -> pa.Table:
+    """Which names of a bucket are in two documents or more, which are hot, and which texts are copies of an earlier document's."""
     sent = [_from_planes(x) for x in t.column("a").to_pylist()]
     inside = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(s)] for x, s in zip(t.column("b").to_pylist(), sent, strict=True)]
     _, where, n = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
     n = n + np.bincount(where, weights=np.concatenate(inside), minlength=len(n))
-    alive = np.split(n[where] > 1, np.cumsum([len(s) for s in sent])[:-1])
-    digests, owners = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in (("c", np.uint64), ("d", np.int64)))
-    every, where = np.unique(np.concatenate(digests), return_inverse=True)
-    least = np.full(len(every), 2**63 - 1)
-    owner = np.concatenate(owners)
+    n_runs = np.bincount(where, weights=np.frombuffer(b"".join(t.column("e").to_pylist()), np.uint8), minlength=len(n))
+    cuts = np.cumsum([len(s) for s in sent])[:-1]
+    alive, hot = np.split(n[where] > 1, cuts), np.split(n_runs[where] > spec.hot, cuts)
+    high, owners, low = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in (("c", np.uint64), ("d", np.int64), ("f", np.uint64)))
+    _, where = np.unique(np.stack([np.concatenate(high), np.concatenate(low)], axis=1), axis=0, return_inverse=True)
+    where, owner = where.ravel(), np.concatenate(owners)
+    least = np.full(where.max(initial=-1) + 1, 2**63 - 1)
     np.minimum.at(least, where, owner)
-    copies = np.split(owner > least[where], np.cumsum([len(s) for s in digests])[:-1])
+    copies = np.split(owner > least[where], np.cumsum([len(s) for s in high])[:-1])
     pack = lambda x: np.packbits(x).tobytes()
-    rows = [(c, 0, b, pack(x), pack(y)) for c, b, x, y in zip(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), alive, copies, strict=True)]
-    return _rows(rows, _BACK_KINDS, ["chunk", "kind", "bucket", "a", "b"])
+    rows = [(c, 0, b, pack(x), pack(y), pack(z)) for c, b, x, y, z in zip(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), alive, copies, hot, strict=True)]
+    return _rows(rows, _BACK_KINDS, _BACK_NAMES)
 
 
-def _flags(t: pa.Table, kind: int) -> list[tuple[int, bytes, bytes]]:
-    return [(b, x, y) for k, b, x, y in zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", "a", "b")), strict=True) if k == kind]
+def _flags(t: pa.Table, kind: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    return [(b, x, y, z) for k, b, x, y, z in zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "c")), strict=True) if k == kind]
 
 
 def _send_windows(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int) -> pa.Table:
+    """Kind 1: runs of windows with their bytes, by anchor. Kind 2: windows of hot anchors, by their own names."""
     out = []
     if docs.num_rows:
         c, chunk = _chunk(docs, spec, buckets), docs.column("chunk")[0].as_py()
-        _, (go, _), parts = c.pieces(_flags(back, 0))
+        _, (go, _), parts, hot = c.pieces(_flags(back, 0))
         ids = np.array(c.ids, np.int64)
-        out = [(b, chunk, raw, size.tobytes(), ids[c.of[go[own]]].tobytes(), b"") for b, own, raw, size in parts]
-    return _rows(out, _SENT_KINDS, ["bucket", "chunk", "a", "b", "c", "d"])
+        out = [(b, chunk, 1, raw, size.tobytes(), ids[c.of[go[own]]].tobytes(), b"", b"", b"") for b, own, raw, size in parts]
+        out += [(b, chunk, 2, hot.pair[own, 0].tobytes(), hot.pair[own, 1].tobytes(), hot.least[own].tobytes(), b"", b"", b"") for b, own in hot.sent(buckets)]
+    return _rows(out, _SENT_KINDS, _SENT_NAMES)
 
 
 def _rank_windows(t: pa.Table, spec: Repeats) -> pa.Table:
-    """For each run of a bucket, a bit for each window that a smaller document holds too."""
+    """For each run of a bucket, a bit for each window that a smaller document holds too; for each window of a hot anchor, the same."""
+    kinds, rows = np.array(t.column("kind").to_pylist()), []
+    for kind, rank in ((1, _rank_runs), (2, _rank_hot)):
+        own = t.filter(pa.array(kinds == kind))
+        if own.num_rows:
+            rows += [(c, kind, b, x, b"", b"") for c, b, x in zip(own.column("chunk").to_pylist(), own.column("bucket").to_pylist(), rank(own, spec), strict=True)]
+    return _rows(rows, _BACK_KINDS, _BACK_NAMES)
+
+
+def _rank_hot(t: pa.Table, spec: Repeats) -> list[bytes]:
+    a, b, ids = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
+    h, low, own = np.concatenate(a), np.concatenate(b), np.concatenate(ids)
+    order = np.lexsort((low, h))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (low[order][1:] != low[order][:-1]))
+    least = np.minimum.reduceat(own[order], np.flatnonzero(new))
+    hit = np.zeros(len(h), bool)
+    hit[order] = own[order] > least[np.cumsum(new) - 1]
+    return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum([len(x) for x in a])[:-1])]
+
+
+def _rank_runs(t: pa.Table, spec: Repeats) -> list[bytes]:
     widest = 2 * spec.length - spec.anchor
     sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in t.column("b").to_pylist()]
     raw = np.frombuffer(b"".join(t.column("a").to_pylist()), np.uint8)
@@ -246,16 +311,29 @@ def _rank_windows(t: pa.Table, spec: Repeats) -> pa.Table:
         found.append(h[ok])
         run.append(np.nonzero(ok)[0] + i)
     h, run = np.concatenate(found), np.concatenate(run)
-    order = np.argsort(h, kind="stable")
+    offset = np.arange(len(run)) - np.append(0, np.cumsum(size - spec.length + 1))[run]
+    owner, at = ids[run], start[run] + offset
+    order = np.lexsort((owner, h))  # the first of a name is the least document's
     new = np.append(True, h[order][1:] != h[order][:-1])
-    least = np.minimum.reduceat(ids[run[order]], np.flatnonzero(new))
+    group, lead = np.cumsum(new) - 1, order[np.flatnonzero(new)]
     hit = np.zeros(len(h), bool)
-    hit[order] = ids[run[order]] > least[np.cumsum(new) - 1]
-    offset = np.arange(len(run)) - np.append(0, np.cumsum(size - spec.length + 1))[run]
+    hit[order] = owner[order] > owner[lead[group]]
+    # bytes decide: strings that differ from the least document's are looked at one by one
+    of = np.zeros(len(h), np.int64)
+    of[order] = group
+    check, bytes_of, differ = np.flatnonzero(hit), np.arange(spec.length), set()
+    for i in range(0, len(check), 20_000):
+        x = check[i : i + 20_000]
+        same = (padded[at[x][:, None] + bytes_of] == padded[at[lead[of[x]]][:, None] + bytes_of]).all(axis=1)
+        differ.update(of[x[~same]].tolist())
+    for g in differ:
+        members = order[np.searchsorted(group, g) : np.searchsorted(group, g + 1)]  # by document
+        least: dict[bytes, int] = {}
+        for m in members.tolist():
+            hit[m] = owner[m] > least.setdefault(padded[at[m] : at[m] + spec.length].tobytes(), owner[m])
     masks = np.zeros(len(size), np.uint64)
     np.bitwise_or.at(masks, run[hit], np.uint64(1) << offset[hit].astype(np.uint64))
-    back = np.split(masks, np.cumsum([len(s) for s in sizes])[:-1])
-    return _rows([(c, 1, b, x.tobytes(), b"") for c, b, x in zip(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), back, strict=True)], _BACK_KINDS, ["chunk", "kind", "bucket", "a", "b"])
+    return [x.tobytes() for x in np.split(masks, np.cumsum([len(s) for s in sizes])[:-1])]
 
 
 _OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
@@ -264,11 +342,15 @@ _OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: b
 def _finish(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
     """(doc_id, text, starts, stops) of each document's removed spans."""
     c = _chunk(docs, spec, buckets)
-    copied, (go, lead), parts = c.pieces(_flags(back, 0))
-    masks = {b: np.frombuffer(x, np.uint64) for b, x, _ in _flags(back, 1)}
+    copied, (go, lead), parts, hot = c.pieces(_flags(back, 0))
+    masks, bits = ({b: x for b, x, _, _ in _flags(back, kind)} for kind in (1, 2))
     of_head = np.zeros(len(go), np.uint64)
     for b, own, _, _ in parts:
-        of_head[own] = masks[b]
+        of_head[own] = np.frombuffer(masks[b], np.uint64)
+    earlier = np.zeros(len(hot.pair), bool)
+    for b, own in hot.sent(buckets):
+        earlier[own] = np.unpackbits(np.frombuffer(bits[b], np.uint8))[: len(own)]
+    of_head[hot.heads] = hot.masks(earlier)
     ids = np.array(c.ids, np.int64)
     hit = of_head[lead]
     later = ids[c.of[go]] > ids[c.of[go[lead]]]  # a smaller document of this chunk holds the same run
@@ -314,7 +396,7 @@ def remove_repeats(docs: DataFrame, spec: Repeats = Repeats(), digest: bool = Fa
     # the text is in the key only to deal rows without doc_id; equal rows share a chunk either way
     dealt = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).alias("chunk"), "doc_id", "text")
     named = dealt.groupBy("chunk").applyInArrow(lambda t: _send_names(t, spec, buckets), _SENT)
-    flags = named.groupBy("bucket").applyInArrow(_rank_names, _BACK)
+    flags = named.groupBy("bucket").applyInArrow(lambda t: _rank_names(t, spec), _BACK)
     windows = dealt.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(lambda x, y: _send_windows(x, y, spec, buckets), _SENT)
     masks = windows.groupBy("bucket").applyInArrow(lambda t: _rank_windows(t, spec), _BACK)
     back = flags.union(masks)

@@ -39,7 +39,7 @@ def brute_repeats(rows, n=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("spec", [suffixes.Repeats(), suffixes.Repeats(chunk_bytes=3000, bucket_bytes=5000)])
+@pytest.mark.parametrize("spec", [suffixes.Repeats(), suffixes.Repeats(chunk_bytes=3000, bucket_bytes=5000), suffixes.Repeats(chunk_bytes=9000, bucket_bytes=5000, hot=3)])
 def test_repeats(spark, docs, spec):
     rng = random.Random(8)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

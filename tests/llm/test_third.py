@@ -229,3 +229,25 @@ def test_training_carries_the_state_over_segments():
         cut = hmm.text_counts(texts, hmm.Hmm(whole=20, segment=16, batch_tokens=batch), a, b, first)
         assert all(np.allclose(x, y) for x, y in zip(whole, cut, strict=True))
     assert np.isclose(whole[3].sum(), len(texts)) and np.isclose(whole[1].sum(), sum(len(t) // 2 for t in texts))
+
+
+def test_equal_names_of_different_strings_remove_nothing(monkeypatch):
+    """All windows of a bucket get one name: bytes still tell them apart."""
+    import pyarrow as pa
+
+    from pagelens.llm import suffixes
+
+    spec, rng = suffixes.Repeats(), random.Random(4)
+    texts = [rng.randbytes(rng.randint(50, 80)) for _ in range(40)]
+    texts += [texts[3], texts[5][:50] + b"x", b"y" + texts[7][-50:]]
+    ids = [rng.randrange(20) for _ in texts]
+    table = lambda: pa.table({"bucket": [0], "chunk": [0], "kind": [1], "a": [b"".join(texts)], "b": [bytes(map(len, texts))], "c": [np.array(ids, np.int64).tobytes()]})
+    want = suffixes._rank_runs(table(), spec)
+    least = {}
+    for i, t in zip(ids, texts, strict=True):
+        for k in range(len(t) - 49):
+            least[t[k : k + 50]] = min(least.get(t[k : k + 50], 99), i)
+    brute = [sum(1 << k for k in range(len(t) - 49) if least[t[k : k + 50]] < i) for i, t in zip(ids, texts, strict=True)]
+    assert np.frombuffer(want[0], np.uint64).tolist() == brute and any(brute)
+    monkeypatch.setattr(suffixes, "names", lambda x, length, family=0: np.zeros((*x.shape[:-1], x.shape[-1] - length + 1), np.uint64))
+    assert suffixes._rank_runs(table(), spec) == want
