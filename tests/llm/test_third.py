@@ -251,3 +251,26 @@ def test_equal_names_of_different_strings_remove_nothing(monkeypatch):
     assert np.frombuffer(want[0], np.uint64).tolist() == brute and any(brute)
     monkeypatch.setattr(suffixes, "names", lambda x, length, family=0: np.zeros((*x.shape[:-1], x.shape[-1] - length + 1), np.uint64))
     assert suffixes._rank_runs(table(), spec) == want
+
+
+def test_licence_rows_are_judged_by_themselves(spark, tmp_path):
+    from pagelens.llm import licences
+
+    rows = [(2, "Licensed under the MIT License.\nfoo"), (2, "Licensed under the MIT License. foo"), (None, "licensed under the MIT license\nx"), (None, "licensed under the mit license x"), (3, "Licence licence non-commercial non commercial")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in licences.scan(docs).collect()), key=str)
+    assert got == sorted([(2, None, "MIT", 1), (2, None, "", 0), (None, None, "MIT", 1), (None, None, "", 0), (3, None, "", 0)], key=str)
+    assert docs.where("doc_id = 3").select(licences.canonical(F.col("text"))).first()[0] == "license license noncommercial noncommercial"
+
+
+def test_known_whole_texts(spark):
+    """Each known text as a whole document; a long licence by the digest of its canonical form alone."""
+    from pagelens.llm import licences
+
+    rows = [(i, k, t) for i, (k, t) in enumerate((k, t) for k, ts in licences.NOTICES.items() for t in ts)]
+    long = "Section 1.\n\nA licence of its own, with organisation.\n"
+    digest = spark.createDataFrame([(long.upper(),)], "t string").select(F.sha2(licences.canonical(F.col("t")), 256)).first()[0]
+    docs = spark.createDataFrame([(i, "(c) 2001 A. Body\n" + t.upper().replace(", ", ",\n")) for i, _, t in rows] + [(-1, long)], "doc_id bigint, text string")
+    got = {r.doc_id: r.whole_licence for r in licences.scan(docs, digests={"Own-1.0": [digest]}).collect()}
+    assert got == {i: k for i, k, _ in rows} | {-1: "Own-1.0"}
+    assert all(len(d) == 64 for ds in licences.DIGESTS.values() for d in ds) and len(licences.DIGESTS) >= 13
