@@ -65,6 +65,27 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+#: A key with more than 1 of so many rows is hot; there are fewer such keys than this number, so a list of them is small.
+HOT_SHARE = 1000
+
+
+def join_spread(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """rows left-joined with lookup, which has one row a key, such that no task gets all rows of a hot key.
+
+    counts: (key, n), the rows of each key, written before. Rows of a hot key are dealt over the shuffle partitions, and
+    its row of lookup goes to each of them. The list of hot keys, under HOT_SHARE rows of one long, is broadcast.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where((F.col("n") > 1) & (F.col("n") * HOT_SHARE > total)).select(F.col(key).alias("__key"), F.lit(True).alias("__hot")))
+    mark = lambda df: df.join(hot, df[key] == F.col("__key"), "left").drop("__key")
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    left = mark(rows).withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(0)).drop("__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    right = mark(lookup).withColumn("__salt", F.explode(every)).drop("__hot")
+    return left.join(right, [key, "__salt"], "left").drop("__salt")
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches cut into short ones, so that Python objects of few texts are held at a time."""
     for b in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, join_spread, materialize, table
 from .components import components, hang
 
 
@@ -198,7 +198,8 @@ def near_duplicates(vectors: DataFrame, forest: Forest = Forest()) -> DataFrame:
     least = low.join(low.groupBy("component").agg(F.min("low").alias("least")), "component").select("id", "least")
     beyond = found.groupBy("id").agg(F.sum("n").alias("beyond"))
     named = nodes.select("id", "low", "copies").join(least, "id", "left").join(beyond, "id", "left").select("id", F.coalesce("least", "low").alias("component"), "copies", F.coalesce("beyond", F.lit(0)).alias("beyond"))
-    out = rows.drop("embedding").join(named, rows.node == named.id, "left")
+    counts = materialize(valid.groupBy("node").agg(F.count("*").alias("n")))
+    out = join_spread(rows.drop("embedding"), named.withColumnRenamed("id", "node"), "node", counts)
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     links = F.coalesce(F.col("copies") - F.col("vec_id").isNotNull().cast("int") + F.col("beyond"), F.lit(0))
     return out.select("vec_id", links.cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

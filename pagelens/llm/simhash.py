@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, table
+from .common import discard, join_spread, materialize, slices, table
 from .components import components, hang
 
 SEED, SHINGLE, REACH, PIVOTS = 42, 3, 3, 24
@@ -227,11 +227,11 @@ def links(nodes: DataFrame, n_nodes: int, tile: int = 4096) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs. Nodes are fingerprints; those of one doc_id are linked too."""
     fps = materialize(fingerprints(docs))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     several = fps.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
     one_id = fps.join(several, "doc_id").select("a", F.col("fp").alias("b"))
     groups = materialize(components(links(nodes.select("fp", F.col("fp").alias("rep")), nodes.count()).union(one_id)))
-    return fps.join(_named(nodes, groups), "fp").select("doc_id", "fp", "component_id")
+    return join_spread(fps, _named(nodes, groups), "fp", nodes).select("doc_id", "fp", "component_id")
 
 
 def _named(nodes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -303,10 +303,10 @@ def drop_near_duplicates(docs: DataFrame, spec: Similar | None = None) -> DataFr
         fps = materialize(texts.mapInArrow(lambda it: _sketches(it, spec), "doc_id bigint, own bigint, fp bigint, sim bigint, keys array<bigint>"))
     else:
         fps = materialize(texts.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, own bigint"))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     found = _similar_links(texts, fps, spec) if spec else links(nodes.select("fp", F.col("fp").alias("rep")), nodes.count())
     groups = materialize(components(found))
-    gone = fps.join(_named(nodes, groups), "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("own").alias("__own"))
+    gone = join_spread(fps, _named(nodes, groups), "fp", nodes).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("own").alias("__own"))
     return docs.join(gone, (docs["doc_id"] == gone["__gone"]) & (own == gone["__own"]), "left_anti")
 
 
