@@ -9,7 +9,7 @@ ones are cut into segments for both training and scoring, whose scaled transfer
 comes before and after a segment is exact, so that cutting changes nothing but the order of sums. The exact likelihood
 of a whole text is the scaled forward recursion.
 
-Counting words without sending every token: a block of documents (8 MB of text) is tokenized once into local word
+Counting words without sending every token: a block of documents (16 MB of text) is tokenized once into local word
 numbers; a row for each of its distinct words is summed up by the word's hash, with Spark's own aggregation and join,
 so that a word of every block is pre-aggregated and its rows can be split; the totals come back to the block. Blocks
 are written to the shared folder, so their numbering survives retries.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import discard, materialize, slices, table
 
 
 @dataclass(frozen=True)
@@ -51,9 +51,10 @@ class Hmm:
     seed: int = 17
     held_out_modulus: int = 7
     held_out_remainder: int = 2
-    block_bytes: int = 8 << 20
-    #: padded tokens that a task trains on at a time
-    batch_tokens: int = 1 << 18
+    block_bytes: int = 16 << 20
+    #: texts that are put in order of length together, and padded tokens of them that are trained on at a time
+    batch_texts: int = 4000
+    batch_tokens: int = 1 << 19
 
 
 #: The end of a text, which no word can be.
@@ -267,7 +268,7 @@ def text_counts(texts: list[bytes], model: Hmm, a: np.ndarray, b: np.ndarray, fi
 def _count_task(batches: Iterator[pa.RecordBatch], model: Hmm, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
     flat = np.zeros(a.size + b.size + 1 + len(first))
     for batch in batches:
-        for part in slices([batch], 500):
+        for part in slices([batch], model.batch_texts):
             moves, emit, log, start = text_counts(part.column(0).to_pylist(), model, a, b, first)
             flat += np.concatenate([moves.ravel(), emit.ravel(), [log], start])
     some = np.flatnonzero(flat)
@@ -311,9 +312,11 @@ def score(docs: DataFrame, model: Hmm = Hmm()) -> DataFrame:
     tokens, types = np.zeros(model.classes, np.int64), np.zeros(model.classes, np.int64)
     for r in totals.groupBy(F.expr(f"shiftrightunsigned(h, 40) % {model.classes}").alias("c")).agg(F.sum("total").alias("tokens"), F.count("*").alias("types")).collect():  # a row per class
         tokens[r.c], types[r.c] = r.tokens, r.types
-    back = words.join(totals.hint("merge"), "h").select("block", "local", "total")  # at every size: both sides grow with the corpus
+    # a merge join at every size: both sides grow with the corpus
+    back = words.select("block", "local", "h").join(totals.hint("merge"), "h").select("block", "local", "total")
     numbered = blocks.select("block", "ids", "lengths", "tokens", "words").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda x, y: _numbered(x, y, model, tokens, types), _DOC_SQL)
     rows = materialize(numbered)
+    discard(blocks, totals)
     a, b, first = train(rows, model, tokens, types)
     n = int(tokens.sum())
     return rows.mapInArrow(lambda it: _score_task(it, model, a, b, first, n), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
