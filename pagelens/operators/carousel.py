@@ -10,11 +10,14 @@ from ..functions import columns as C
 
 
 def admitted(snapshots: DataFrame, config: ExtractConfig = DEFAULT) -> DataFrame:
-    """Snapshots before the walk stops: by steps of a pass, time in all, or a change of page identity."""
+    """Snapshots before the walk stops: by steps of a pass, time in all, or a change of page identity.
+
+    Any of these ends the whole walk: later steps and passes don't come up, whatever they hold.
+    """
     walk = Window.partitionBy("page_id").orderBy("pass_no", "step")
-    out = snapshots.where((F.col("step") <= config.max_steps) & (F.col("elapsed_ms") <= config.budget_ms))
-    start = F.first("identity").over(walk)
-    return out.withColumn("__start", start).withColumn("__gone", F.max((F.col("identity") != F.col("__start")).cast("int")).over(walk)).where("__gone = 0").drop("__start", "__gone")
+    over = (F.col("step") > config.max_steps) | (F.col("elapsed_ms") > config.budget_ms) | (F.col("identity") != F.first("identity").over(walk))
+    marked = snapshots.withColumn("__over", F.coalesce(over, F.lit(False)).cast("int"))
+    return marked.withColumn("__ended", F.max("__over").over(walk)).where("__ended = 0").drop("__over", "__ended")
 
 
 def first_seen(found: DataFrame) -> DataFrame:

@@ -32,9 +32,16 @@ def recentre(segments: DataFrame, scale: float, by: list[str]) -> DataFrame:
 
 
 def coverage(segments: Column, x: Column, y: Column, size: int, stroke: float) -> Column:
-    """Alpha of a pixel: falls off over about a pixel at the stroke's edge. Half goes to even."""
-    least = F.array_min(F.transform(segments, lambda s: segment_distance((x + 0.5) / size, (y + 0.5) / size, s)))
-    return F.greatest(F.lit(0), F.least(F.lit(255), F.bround(((stroke / 2 - least) * size + 0.5) * 255).cast("int")))
+    """Alpha of a pixel: falls off over about a pixel at the stroke's edge. Half goes to even.
+
+    Only segments count whose box, widened by half the stroke, holds the pixel's middle; without one it is empty.
+    """
+    px, py, half = (x + 0.5) / size, (y + 0.5) / size, stroke / 2
+    inside = lambda v, a, b: (v >= F.least(a, b) - half) & (v <= F.greatest(a, b) + half)
+    near = F.filter(segments, lambda s: inside(px, s["ax"], s["bx"]) & inside(py, s["ay"], s["by"]))
+    least = F.array_min(F.transform(near, lambda s: segment_distance(px, py, s)))
+    alpha = F.greatest(F.lit(0), F.least(F.lit(255), F.bround(((half - least) * size + 0.5) * 255).cast("int")))
+    return F.when(F.size(near) > 0, alpha).otherwise(0)
 
 
 def downsample(pixels: DataFrame, size: int, target: int, by: list[str]) -> DataFrame:

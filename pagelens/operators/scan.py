@@ -30,11 +30,29 @@ def source_scan(pages: DataFrame, config: ExtractConfig = DEFAULT) -> DataFrame:
 def extract_images(pages: DataFrame, config: ExtractConfig = DEFAULT) -> DataFrame:
     """Image rows of every page: (page_id, order, url, width, height, origin, sweep).
 
-    ``order`` counts the images of a page from 0; it can be told from positions alone, in the row's own task.
+    ``order`` counts the images of a page from 0, in the row's own task: no shuffle.
     """
-    found = candidates(pages, config).where("first")
-    per_page = found.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "origin", "sweep"))).alias("rows"))
-    return per_page.select("page_id", F.posexplode("rows").alias("order", "r")).select("page_id", "order", "r.url", F.lit(0).alias("width"), F.lit(0).alias("height"), "r.origin", "r.sweep")
+    return candidates(pages, config).where("order IS NOT NULL").select("page_id", "order", "url", F.lit(0).alias("width"), F.lit(0).alias("height"), "origin", "sweep")
+
+
+def rendered_names(images: DataFrame, most: int = 12, least_chars: int = 12, shown_chars: int = 30) -> DataFrame:
+    """One row per page with images of its own: the first distinct file names with their folders, long ones shortened.
+
+    Images that the page itself shows (origin dom) count, in order; a name seen before is passed over.
+    """
+    path = F.split(F.split_part("url", F.lit("?"), F.lit(1)), "/")
+    named = images.where("origin = 'dom'").select("page_id", "order", F.element_at(path, -1).alias("name"), F.coalesce(F.try_element_at(path, F.lit(-2)), F.lit("")).alias("folder"))
+    first = named.where(F.length("name") >= least_chars).groupBy("page_id", "name").agg(F.min(F.struct("order", "folder")).alias("at"))
+    shown = F.when(F.length("name") > shown_chars, F.concat(F.left("name", F.lit(shown_chars)), F.lit("…"))).otherwise(F.col("name"))
+    ranked = first.select("page_id", "at.order", F.concat("at.folder", F.lit("/"), shown).alias("shown"))
+    rows = ranked.groupBy("page_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "shown"))), 1, most).alias("rows"))
+    return rows.select("page_id", F.size("rows").cast("bigint").alias("n_names"), F.array_join(F.transform("rows", lambda r: r["shown"]), " / ").alias("names"))
+
+
+def largest(images: DataFrame) -> DataFrame:
+    """The image with the largest area of each page; ties keep the first."""
+    area = F.col("width").cast("bigint") * F.col("height")
+    return images.groupBy("page_id").agg(F.max_by(F.struct("order", "url", area.alias("area")), F.struct(area.alias("area"), (-F.col("order")).alias("at"))).alias("m")).select("page_id", "m.order", "m.url", "m.area")
 
 
 def payload(images: DataFrame, pages: DataFrame, title: Column | None = None) -> DataFrame:

@@ -130,7 +130,19 @@ def origin_counts(spark, d):
 
 
 def links_elsewhere(spark, d):
-    return _extracted(spark, d).where("url LIKE 'https://other.%'").select("page_id", "url", (F.col("origin") == "other").alias("elsewhere"))
+    return _extracted(spark, d).select("page_id", "url", (F.col("origin") == "other").alias("elsewhere"))
+
+
+def rendered_names(spark, d):
+    """File names of a page's own images, as lazily loaded ones with long names are added to each page."""
+    more = " || '<img src=\"https://cdn.example.com/t51.2885-15/' || repeat('n', 8 + CAST(page_id % 40 AS INT)) || '.jpg?x=/y\"><img src=\"https://cdn.example.com/t51.2885-19/' || repeat('n', 8 + CAST(page_id % 40 AS INT)) || '.jpg\">'"
+    return scan.rendered_names(scan.extract_images(_pages(spark, d).selectExpr("page_id", "url", f"html{more} AS html")))
+
+
+def largest_image(spark, d):
+    """Of the anchors' targets of each page, with sizes told from their length and place."""
+    a = H.anchors(_pages(spark, d)).select("page_id", F.col("pos").cast("bigint").alias("order"), F.col("href").alias("url"), F.length("href").alias("width"), (F.col("pos") % 3 + 1).alias("height"))
+    return scan.largest(a)
 
 
 def sweep_counts(spark, d):
@@ -191,12 +203,12 @@ def carousel_dedup(spark, d):
 
 
 def slide_change_points(spark, d):
-    turns = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", "array(role, substring(text, 1, 40), CAST(turn div 2 AS STRING)) AS shown")
+    turns = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", "array(role, text, CAST(turn div 2 AS STRING)) AS shown")
     return carousel.change_points(turns, "conv_id", ["turn"], "shown").select("conv_id", "turn", "signature", "changed")
 
 
 def run_log_lines(spark, d):
-    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id AS run_id", "CASE role WHEN 'system' THEN 'extraction' WHEN 'user' THEN 'current' ELSE 'previous' END AS section", "turn AS seq", "substring(text, 1, 30) AS text", "turn % 4 = 2 AS is_error")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id AS run_id", "CASE role WHEN 'system' THEN 'extraction' WHEN 'user' THEN 'current' ELSE 'previous' END AS section", "turn AS seq", "text", "turn % 4 = 2 AS is_error")
     return runlog.log_lines(rows)
 
 
@@ -209,4 +221,4 @@ def raster_downsample(spark, d):
     return raster.downsample(p.select("page_id", "y", "x", raster.coverage(segments, F.col("x"), F.col("y"), 16, 0.1).alias("alpha")), 16, 5, ["page_id"]).select("page_id", "ty", "tx", "alpha")
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, sweep_counts, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_change_points, run_log_lines, raster_downsample)}
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_change_points, run_log_lines, raster_downsample)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .queries import IMAGES, INJECTED, MANY, PIXELS, POSTED, SRCSETS
 
+# Patterns that results depend on.
 RX = r"""(?i)https?://[^\s"''`<>{}\[\]]+?\.(?:jpe?g|png|gif|webp|heic|heif|bmp|svg|avif)(?:\?[^\s"''`<>{}\[\]]*)?"""
 UI = r"(?i)/rsrc\.php/|static\.cdninstagram\.com|/static\.xx\.fbcdn\.net/"
 MATCHES = f"list_slice(regexp_extract_all(replace(replace(replace(html, chr(92) || 'u002F', '/'), chr(92) || 'u002f', '/'), chr(92) || '/', '/'), '{RX}'), 1, 800)"
@@ -44,7 +45,11 @@ SQL = {
     "css_background_urls": f"SELECT page_id, pos::INT AS pos, CASE pos WHEN 0 THEN 'https://bg.example.com/' || {N} || '.png' ELSE '/two.gif' END AS url FROM pages, (VALUES (0), (1)) t(pos) WHERE NOT ((page_id * 7) % 90 < 60 AND (page_id * 11) % 90 < 60)",
     "extract_images": f"WITH {EXPECTED} SELECT page_id, url, 0 AS width, 0 AS height, origin FROM e",
     "origin_counts": f"WITH {EXPECTED} SELECT origin, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM e GROUP BY origin",
-    "links_elsewhere": f"SELECT page_id, 'https://other.example.com/' || {N} || '.png' AS url, page_id % 3 = 1 AS elsewhere FROM pages WHERE page_id % 4 = 2",
+    "links_elsewhere": f"WITH {EXPECTED} SELECT page_id, url, origin = 'other' AS elsewhere FROM e",
+    "rendered_names": "SELECT page_id, 1::BIGINT AS n_names, 't51.2885-15/' || CASE WHEN 12 + page_id % 40 > 30 THEN repeat('n', least(30, 8 + page_id % 40)::INT) || left('.jpg', greatest(0, 22 - page_id % 40)::INT) || '…' ELSE repeat('n', 8 + (page_id % 40)::INT) || '.jpg' END AS names FROM pages",
+    "largest_image": """WITH a AS (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) AS l FROM pages)),
+ s AS (SELECT page_id, pos::BIGINT AS "order", url, length(url) * (pos % 3 + 1) AS area FROM a)
+ SELECT page_id, "order", url, area::BIGINT AS area FROM s QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area DESC, "order") = 1""",
     "sweep_counts": f"WITH {EXPECTED} SELECT sweep, count(*) AS n_new FROM e GROUP BY sweep",
     "payload_sizes": f"WITH {EXPECTED} SELECT page_id, {POSTED} AS page_url, CASE WHEN page_id % 10 = 0 THEN 0 ELSE (SELECT count(*) FROM e WHERE e.page_id = pages.page_id) END::BIGINT AS n_images FROM pages",
     "visible_images": f"WITH {VISIBLE} SELECT id, url, longest_side, row_number() OVER (ORDER BY id) - 1 AS idx FROM shown",
@@ -59,13 +64,13 @@ SQL = {
     "carousel_dedup": f"""WITH {SNAPSHOTS}, f AS (SELECT page_id, step, backward, 0 AS n, 'https://slide/' || role AS url FROM s UNION ALL SELECT page_id, step, backward, 1, 'https://slide/' || (turn % 4) FROM s),
  k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY step, n) = 1)
  SELECT page_id, url, step, CASE WHEN backward THEN -(step * 1000) + row_number() OVER (PARTITION BY page_id, step ORDER BY n) - 1 ELSE row_number() OVER (PARTITION BY page_id ORDER BY step, n) - 1 END::BIGINT AS "order" FROM k""",
-    "slide_change_points": "WITH s AS (SELECT conv_id, turn, '3:' || right(role, 24) || ',' || right(substr(text, 1, 40), 24) || ',' || (turn // 2) || ',' AS signature FROM conversations) SELECT conv_id, turn, signature, lag(signature) OVER w IS NULL OR lag(signature) OVER w <> signature AS changed FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-    "run_log_lines": """WITH r AS (SELECT conv_id AS run_id, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS k, turn AS seq, CASE WHEN role = 'user' AND turn % 4 = 2 THEN '[ERR] ' ELSE '' END || substr(text, 1, 30) AS line FROM conversations),
+    "slide_change_points": "WITH s AS (SELECT conv_id, turn, '3:' || right(role, 24) || ',' || right(text, 24) || ',' || (turn // 2) || ',' AS signature FROM conversations) SELECT conv_id, turn, signature, lag(signature) OVER w IS NULL OR lag(signature) OVER w <> signature AS changed FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    "run_log_lines": """WITH r AS (SELECT conv_id AS run_id, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS k, turn AS seq, CASE WHEN role = 'user' AND turn % 4 = 2 THEN '[ERR] ' ELSE '' END || text AS line FROM conversations),
  a AS (SELECT * FROM r UNION ALL SELECT DISTINCT run_id, k, -1, ['=== 読み込み ===', '=== 今回の保存 ===', '=== 前回の記録 ==='][k + 1] FROM r)
  SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY k, seq)::INT AS line_no, line FROM a""",
     "raster_downsample": f"""WITH p AS (SELECT page_id, y, x, (x + 0.5) / 16 AS px, (y + 0.5) / 16 AS py, 0.25::DOUBLE AS ax, {D(3)}::DOUBLE AS ay, {D(5)}::DOUBLE - 0.25 AS dx, 0.75 - {D(3)}::DOUBLE AS dy FROM pages, range(16) a(y), range(16) b(x)),
  t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM p),
- c AS (SELECT page_id, y, x, greatest(0, least(255, round_even(((0.05 - sqrt(pow(px - (ax + dx * t), 2) + pow(py - (ay + dy * t), 2))) * 16 + 0.5) * 255, 0)))::INT AS alpha FROM t),
+ c AS (SELECT page_id, y, x, CASE WHEN px BETWEEN least(ax, ax + dx) - 0.05 AND greatest(ax, ax + dx) + 0.05 AND py BETWEEN least(ay, ay + dy) - 0.05 AND greatest(ay, ay + dy) + 0.05 THEN greatest(0, least(255, round_even(((0.05 - sqrt(pow(px - (ax + dx * t), 2) + pow(py - (ay + dy * t), 2))) * 16 + 0.5) * 255, 0))) ELSE 0 END::INT AS alpha FROM t),
  g AS (SELECT page_id, least(y // 3, 4) AS ty0, * EXCLUDE (page_id) FROM c)
  SELECT page_id, ty::INT AS ty, tx::INT AS tx, round_even(avg(alpha), 0)::INT AS alpha FROM (SELECT page_id, alpha, CASE WHEN y < 3 THEN 0 WHEN y < 6 THEN 1 WHEN y < 9 THEN 2 WHEN y < 12 THEN 3 ELSE 4 END AS ty, CASE WHEN x < 3 THEN 0 WHEN x < 6 THEN 1 WHEN x < 9 THEN 2 WHEN x < 12 THEN 3 ELSE 4 END AS tx FROM c) GROUP BY ALL""",
 }

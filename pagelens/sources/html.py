@@ -173,8 +173,8 @@ class _Page:
                 yield "poster", nodes[i][1]["poster"], "video"
         for i in own:
             tag, a = nodes[i][:2]
-            rel = (a.get("rel") or "").split()
-            if tag == "link" and ("preload" in rel and (a.get("as") or "").lower() == "image" or "image_src" in rel or "apple-touch-icon" in rel):
+            rel = (a.get("rel") or "").lower().split()  # selectors take rel in any case, as in its own
+            if tag == "link" and ("preload" in rel and a.get("as") == "image" or "image_src" in rel or "apple-touch-icon" in rel):
                 for u in (a.get("href"), best_of(a.get("imagesrcset"))):
                     yield "link/meta", u, "meta" if self.carousel else "dom"
         for i in own:
@@ -211,29 +211,34 @@ class _Page:
                 yield "raw source", full, "source"
 
 
-CANDIDATES = "page_id bigint, pos int, sweep string, url string, origin string, ui_asset boolean, first boolean"
+CANDIDATES = "page_id bigint, pos int, sweep string, url string, origin string, ui_asset boolean, order bigint"
+_CANDIDATE_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+#: Pages parsed between two batches of rows.
+_PAGES = 64
 
 
 def candidates(pages: DataFrame, config: ExtractConfig = DEFAULT) -> DataFrame:
-    """A row per candidate of each page (page_id, url, html), in order; ``first``: kept by first-wins deduplication.
+    """A row per candidate of each page (page_id, url, html); ``order``: its number among those that first-wins
+    deduplication keeps, null for the others.
 
-    A page is one row, so what must be seen page by page (order, the first of a URL) needs no shuffle.
-    A null html has no candidates.
+    A page is one row, so what must be seen page by page (order, the first of a URL) needs no shuffle. Rows that repeat
+    a page_id are pages of their own. A null html has no candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ui = re.compile(config.ui_asset)
-        for b in batches:
+        for b in (x.slice(i, _PAGES) for x in batches for i in range(0, x.num_rows, _PAGES)):
             out: tuple[list, ...] = tuple([] for _ in range(7))
             for page_id, url, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 seen: set = set()
                 for pos, (sweep, full, origin) in enumerate(_Page(url or "", html or "", config).candidates()):
                     asset = bool(ui.search(full))
-                    for o, x in zip(out, (page_id, pos, sweep, full, origin, asset, not asset and full not in seen), strict=True):
+                    order = None if asset or full in seen else len(seen)
+                    for o, x in zip(out, (page_id, pos, sweep, full, origin, asset, order), strict=True):
                         o.append(x)
                     if not asset:
                         seen.add(full)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()), strict=True)], names=["page_id", "pos", "sweep", "url", "origin", "ui_asset", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, _CANDIDATE_TYPES, strict=True)], names=["page_id", "pos", "sweep", "url", "origin", "ui_asset", "order"])
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, CANDIDATES)
 

@@ -45,9 +45,10 @@ def pixel_size(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([header_size(x) or (None, None) for x in content], columns=["w", "h"], dtype="float64")
 
 
-def fit(width: int, height: int, longest: int) -> tuple[int, int]:
-    """Size of a picture scaled so that its longest side is ``longest``; only ever down."""
-    scale = min(1.0, longest / max(width, height, 1))
+def fit(width: int, height: int, longest: int, drawing: bool = False) -> tuple[int, int]:
+    """Size of a picture scaled so that its longest side is ``longest``: only ever down, but for a drawing (SVG)."""
+    scale = longest / max(width, height, 1)
+    scale = scale if drawing else min(1.0, scale)
     return max(1, round(width * scale)), max(1, round(height * scale))
 
 

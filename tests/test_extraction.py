@@ -121,6 +121,29 @@ def test_walk_stops(spark):
     rows = [(1, 1, s, 100 * s, "a" if s < 5 else "b") for s in range(1, 8)] + [(2, 1, s, 10 * s, "a") for s in range(1, 40)] + [(3, 1, s, 200 * s, "a") for s in range(1, 9)]
     kept = carousel.admitted(spark.createDataFrame(rows, "page_id bigint, pass_no int, step int, elapsed_ms int, identity string")).groupBy("page_id").count().collect()
     assert {r.page_id: r["count"] for r in kept} == {1: 4, 2: 30, 3: 4}
+    two = [(1, 1, s, s, "a") for s in range(1, 33)] + [(1, 2, s, 40 + s, "a") for s in range(1, 4)]
+    assert carousel.admitted(spark.createDataFrame(two, "page_id bigint, pass_no int, step int, elapsed_ms int, identity string")).count() == 30
+
+
+def test_selectors_repeated_pages_and_drawings(spark):
+    assert [u for u, *_ in extract(spark, '<link rel=PRELOAD as=image href=a.png><link rel=preload as=IMAGE href=b.png>')] == ["a.png"]
+    pages = spark.createDataFrame([(1, "https://h.example/", "<img src=a.png><img src=b.png>")] * 2, "page_id bigint, url string, html string")
+    images = scan.extract_images(pages)
+    assert sorted((r.order, r.url[-5:]) for r in images.collect()) == [(0, "a.png"), (0, "a.png"), (1, "b.png"), (1, "b.png")]
+    assert "Exchange" not in images._jdf.queryExecution().toString()
+    assert I.fit(10, 5, 2048, drawing=True) == (2048, 1024) and I.fit(10, 5, 2048) == (10, 5)
+
+
+def test_pixels_outside_a_widened_box_are_empty(spark):
+    """A horizontal segment reaches half its stroke beyond its ends and sides, no further."""
+    seg = F.array(F.struct(*[F.lit(v).alias(k) for k, v in zip(("ax", "ay", "bx", "by"), (0.25, 0.5, 0.75, 0.5), strict=True)]))
+    grid = spark.range(256).selectExpr("id div 16 AS y", "id % 16 AS x")
+    got = {(r.y, r.x): r.a for r in grid.select("y", "x", raster.coverage(seg, F.col("x"), F.col("y"), 16, 0.1).alias("a")).collect()}
+    for (y, x), a in got.items():
+        px, py = (x + 0.5) / 16, (y + 0.5) / 16
+        if not (0.2 <= px <= 0.8 and 0.45 <= py <= 0.55):
+            assert a == 0
+    assert got[7, 8] == 204 and sum(a > 0 for a in got.values()) == 20  # (0.05 - 1 / 32) * 16 + 0.5 of 255
 
 
 def test_log_store(spark, tmp_path):
