@@ -163,26 +163,27 @@ def expected_counts(codes: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.nd
     """
     k, (s, length) = a.shape[0], codes.shape
     active = np.searchsorted(-size, -np.arange(length), side="left")  # segments longer than t
-    e = b.T[codes]
+    codes = np.ascontiguousarray(codes.T)  # by time, so that a step reads and writes neighbours
+    e = np.ascontiguousarray(b.T)[codes]
     alpha, scale = np.zeros((length + 1, s, k)), np.ones((length + 1, s))
     alpha[0] = first
     for t in range(length):
         n = active[t]
-        x = (alpha[t, :n] @ a) * e[:n, t]
+        x = (alpha[t, :n] @ a) * e[t, :n]
         z = x.sum(axis=1)
         scale[t + 1, :n] = z
         alpha[t + 1, :n] = x / z[:, None]
-    moves, gamma = np.zeros((k, k)), np.zeros((s, length, k))
+    moves, gamma = np.zeros((k, k)), np.zeros((length, s, k))
     beta = np.ones((s, k)) if after is None else after / (alpha[size, np.arange(s)] * after).sum(axis=1, keepdims=True)
     for t in range(length - 1, -1, -1):
         n = active[t]
-        right = e[:n, t] * beta[:n] / scale[t + 1, :n, None]
-        gamma[:n, t] = alpha[t + 1, :n] * beta[:n]
+        right = e[t, :n] * beta[:n] / scale[t + 1, :n, None]
+        gamma[t, :n] = alpha[t + 1, :n] * beta[:n]
         moves += alpha[t, :n].T @ right
         beta[:n] = right @ a.T
-    mask = np.arange(length) < size[:, None]
-    flat = codes[mask]
-    emit = np.stack([np.bincount(flat, weights=gamma[..., j][mask], minlength=b.shape[1]) for j in range(k)])
+    mask = np.arange(length)[:, None] < size
+    flat, shares = codes[mask], gamma[mask]
+    emit = np.stack([np.bincount(flat, weights=shares[:, j], minlength=b.shape[1]) for j in range(k)])
     return moves * a, emit, float(np.log(scale).sum()), alpha[0] * beta
 
 
@@ -197,17 +198,18 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def transfer(parts: list[np.ndarray], a: np.ndarray, b: np.ndarray, batch: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """The matrix from the state before each segment to the state at its end, scaled, and log10 of the scales."""
-    k, bt = len(a), b.T
+    k, bt = len(a), np.ascontiguousarray(b.T)
     matrices, logs = np.empty((len(parts), k, k)), np.zeros(len(parts))
     order = sorted(range(len(parts)), key=lambda j: -len(parts[j]))
     for g in range(0, len(order), batch):
         own = order[g : g + batch]
         codes, size = _padded([parts[j] for j in own])
+        codes = np.ascontiguousarray(codes.T)
         m, log = np.repeat(np.eye(k)[None], len(own), axis=0), np.zeros(len(own))
         active = np.searchsorted(-size, -np.arange(size[0]), side="left")
         for t in range(size[0]):
             n = active[t]
-            x = (m[:n].reshape(-1, k) @ a).reshape(n, k, k) * bt[codes[:n, t]][:, None, :]
+            x = (m[:n].reshape(-1, k) @ a).reshape(n, k, k) * bt[codes[t, :n]][:, None, :]
             z = x.max(axis=(1, 2))
             m[:n] = x / z[:, None, None]
             log[:n] += np.log10(z)
@@ -238,16 +240,17 @@ def _cut(seq: np.ndarray, length: int) -> list[np.ndarray]:
 def text_counts(texts: list[bytes], model: Hmm, a: np.ndarray, b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """expected_counts of whole texts, and the expected state before a text: long ones by segments with their context."""
     k, parts, before, after, begins = len(a), [], [], [], []
-    for x in texts:
-        seq = np.frombuffer(x, np.uint16)
-        own = _cut(seq, model.segment) if len(seq) > model.whole else [seq]
+    seqs = [np.frombuffer(x, np.uint16) for x in texts]
+    cut = [_cut(x, model.segment) if len(x) > model.whole else [x] for x in seqs]
+    matrices, at = transfer([p for own in cut if len(own) > 1 for p in own], a, b)[0], 0  # all at once: a step takes many
+    for own in cut:
         left, right = [first], [np.ones(k)]
         if len(own) > 1:
-            matrices, _ = transfer(own, a, b)
-            for m in matrices[:-1]:
+            through, at = matrices[at : at + len(own)], at + len(own)
+            for m in through[:-1]:
                 v = left[-1] @ m
                 left.append(v / v.sum())
-            for m in matrices[:0:-1]:
+            for m in through[:0:-1]:
                 v = m @ right[-1]
                 right.append(v / v.sum())
         parts += own
