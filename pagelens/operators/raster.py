@@ -25,8 +25,8 @@ def arc(cx: Column, cy: Column, r: Column, start: Column, stop: Column, steps: i
     return F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: F.struct((cx + r * F.cos(angle(i))).alias("x"), (cy + r * F.sin(angle(i))).alias("y")))
 
 
-def recentre(segments: DataFrame, scale: float, by: list[str]) -> DataFrame:
-    """segments: (by..., ax, ay, bx, by_). Scaled about the middle of each drawing's box and put in the canvas centre."""
+def recentre(segments: DataFrame, scale: float | Column, by: list[str]) -> DataFrame:
+    """segments: (by..., ax, ay, bx, by); a scale may be a column of ``by``. Scaled about the middle of each drawing's box and put in the canvas centre."""
     box = segments.groupBy(*by).agg(*[((F.min(F.least(f"a{c}", f"b{c}")) + F.max(F.greatest(f"a{c}", f"b{c}"))) / 2).alias(f"c{c}") for c in "xy"])
     return segments.join(box, by).select(*by, *[(F.lit(0.5) + (F.col(f"{e}{c}") - F.col(f"c{c}")) * scale).alias(f"{e}{c}") for e in "ab" for c in "xy"])
 

@@ -50,9 +50,9 @@ def rendered_names(images: DataFrame, most: int = 12, least_chars: int = 12, sho
 
 
 def largest(images: DataFrame) -> DataFrame:
-    """The image with the largest area of each page; ties keep the first."""
+    """The image with the largest area of each page; ties keep the first, and none without an area counts."""
     area = F.col("width").cast("bigint") * F.col("height")
-    return images.groupBy("page_id").agg(F.max_by(F.struct("order", "url", area.alias("area")), F.struct(area.alias("area"), (-F.col("order")).alias("at"))).alias("m")).select("page_id", "m.order", "m.url", "m.area")
+    return images.where(area > 0).groupBy("page_id").agg(F.max_by(F.struct("order", "url", area.alias("area")), F.struct(area.alias("area"), (-F.col("order")).alias("at"))).alias("m")).select("page_id", "m.order", "m.url", "m.area")
 
 
 def payload(images: DataFrame, pages: DataFrame, title: Column | None = None) -> DataFrame:
@@ -63,13 +63,6 @@ def payload(images: DataFrame, pages: DataFrame, title: Column | None = None) ->
     return pages.select("page_id", F.col("url").alias("page_url"), found.alias("page_title")).join(nested, "page_id", "left").withColumn("images", F.coalesce("images", empty))
 
 
-def typed(images: DataFrame) -> DataFrame:
-    """Rows as the view takes them: missing sizes are 0, a missing origin is the page's own."""
-    origin = F.coalesce(F.col("origin"), F.lit("dom"))
-    flags = {"from_source": "source", "video_poster": "video", "page_meta": "meta", "other_post": "other"}
-    return images.select("*", *[(origin == v).alias(f"is_{k}") for k, v in flags.items()]).withColumns({"width": F.coalesce("width", F.lit(0)), "height": F.coalesce("height", F.lit(0))})
-
-
 def sweep_counts(images: DataFrame) -> DataFrame:
     """New images by sweep."""
     return images.groupBy("sweep").agg(F.count("*").alias("n_new"))

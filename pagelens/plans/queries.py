@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import carousel, raster, runlog, scan, view
+from ..operators import carousel, controls, handoff, icons, raster, runlog, saving, scan, view
 from ..sources import html as H
 
 ID = "CAST(page_id AS STRING)"
@@ -221,4 +221,95 @@ def raster_downsample(spark, d):
     return raster.downsample(p.select("page_id", "y", "x", raster.coverage(segments, F.col("x"), F.col("y"), 16, 0.1).alias("alpha")), 16, 5, ["page_id"]).select("page_id", "ty", "tx", "alpha")
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_change_points, run_log_lines, raster_downsample)}
+CONTROLS = f"""html || CASE WHEN page_id % 7 = 0 THEN '<a href="/x"><button aria-label="Next">x</button></a><button aria-label="Next" style="color: red; display: none">y</button>' ELSE '' END
+ || '<section><img src="a.png" width="10" height="20">' || CASE WHEN page_id % 2 = 0 THEN '<button aria-label=" Next ">n</button>' ELSE '' END || '</section>'
+ || '<article><img src="b.png" width="' || CAST(page_id % 30 AS STRING) || '" height="10"><div role="Button" aria-label="戻る">p</div></article>'"""
+
+
+def page_controls(spark, d):
+    """The next and previous controls of each page and the gallery they belong to; two of four pages step forward first."""
+    pages = _injected(spark, d, CONTROLS).withColumn("forward_first", F.col("page_id") % 4 < 2)
+    found = controls.controls(H.elements(pages))
+    at = F.filter("elements", lambda e: (e["tag"] == "img") & (e["container"] == F.col("scope")))
+    return found.select("page_id", F.trim("next.label").alias("next_label"), F.col("previous.label").alias("previous_label"), F.get(at, F.lit(0))["height"].alias("picture_height"))
+
+
+def attachments_received(spark, d):
+    """Each conversation as a share of attachments: its turns, in two items, of types by role."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet")
+    kind = "CASE role WHEN 'user' THEN 'com.apple.property-list' WHEN 'assistant' THEN 'public.url' ELSE 'public.image' END"
+    return handoff.received(turns.selectExpr("conv_id AS run_id", "CASE WHEN conv_id % 5 = 0 THEN turn + 1 WHEN conv_id % 7 = 3 THEN turn % 2 ELSE 0 END AS item", f"{kind} AS type", "turn AS seq", "CASE WHEN turn % 4 <> 2 THEN text END AS payload"))
+
+
+ORIGINS = "CASE page_id % 5 WHEN 0 THEN 'source' WHEN 1 THEN 'video' WHEN 2 THEN 'meta' WHEN 3 THEN 'other' END"
+
+
+def typed_rows(spark, d):
+    """Three images of each page, one of which has no readable URL on some."""
+    pages = _pages(spark, d).selectExpr("page_id", f"""array(struct(url, CAST(page_id % 9 AS INT) AS width, CAST(NULL AS INT) AS height, {ORIGINS} AS origin),
+     struct(CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'https://h.example.com:port/a.png' ELSE 'https://[::1/a.png' END AS url, 1 AS width, 1 AS height, 'dom' AS origin), struct('/rel.png' AS url, NULL AS width, 7 AS height, 'odd' AS origin)) AS images""")
+    return handoff.typed_rows(pages, ["page_id"])
+
+
+def trace_lines(spark, d):
+    """What the extraction says of each page, with the interface artwork of its markup."""
+    pages = _pages(spark, d).selectExpr("page_id", f"{POSTED} AS url", f"{INJECTED} AS html")
+    counted = pages.withColumns({"n_assets": F.size(F.filter(scan.source_matches(F.col("html")), lambda u: C.is_ui_asset(u))), "n_sprites": (F.col("page_id") % 3).cast("int"), "elapsed_ms": F.col("page_id").cast("int")})
+    return handoff.trace(scan.extract_images(pages), counted).select("page_id", F.array_join("lines", "\n").alias("lines"))
+
+
+def _fetched(spark, d):
+    """A fetched row for most images: headers of PNG files of a size by page, other bytes, or drawings."""
+    size = lambda c: f"lpad(hex(CAST({c} AS BIGINT)), 8, '0')"
+    body = f"""CASE WHEN id % 7 = 3 THEN encode('<html>', 'UTF-8') WHEN id % 6 = 5 THEN encode('<?xml version="1.0"?><svg/>', 'UTF-8') ELSE unhex('89504E470D0A1A0A0000000D49484452' || {size('id * 31 % 900 + 1')} || {size('id * 17 % 700 + 1')} || '08060000') END"""
+    return _images(spark, d)[0].where("id % 5 <> 4").selectExpr("url", "CASE WHEN id % 8 = 2 THEN 404 ELSE 200 END AS status", f"{body} AS content")
+
+
+def saved_files(spark, d):
+    images, _, _, selected = _images(spark, d)
+    return saving.saved(images.join(selected, "id", "left_semi"), _fetched(spark, d)).select("id", "seq", "ok", "error", "name", F.coalesce(F.length("content"), F.lit(0)).cast("bigint").alias("n_bytes"))
+
+
+def thumbnail_states(spark, d):
+    """What each cell shows and whether its thumbnail is still to fetch, when every third image has been asked for."""
+    images = _images(spark, d)[0]
+    made = saving.thumbnails(images.where("id % 3 = 0"), _fetched(spark, d))
+    ready, failed = made.where("NOT failed"), made.where("failed")
+    ask = saving.pending(images, ready, images.where("id % 10 = 1"), failed).select("id", F.lit(True).alias("to_fetch"))
+    cells = saving.shown(images, ready, failed, images.where("id % 12 = 0")).join(ready.drop("failed"), "id", "left").join(ask, "id", "left")
+    return cells.select("id", "shows", F.coalesce("to_fetch", F.lit(False)).alias("to_fetch"), "w", "h", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("thumb_w", "thumb_h")])
+
+
+def status_texts(spark, d):
+    rows = _images(spark, d)[0].withColumns({"state": F.element_at(F.array(*map(F.lit, ("idle", "saving", "finished"))), (F.col("id") % 3 + 1).cast("int")), "code": F.when(F.col("id") % 4 == 0, "denied").when(F.col("id") % 4 == 1, "limited").otherwise("new")})
+    return rows.select("id", saving.status_text(F.col("state"), F.col("id"), F.col("id") + 5).alias("status"), saving.permission_text(F.col("code")).alias("permission"))
+
+
+def run_log_text(spark, d):
+    """Each page's run: a label that opens the log, and a line for two pages of three."""
+    pages = _pages(spark, d)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 61)
+    version = F.when(F.col("page_id") % 4 != 0, runlog.version_text(F.lit("1.2"), F.when(F.col("page_id") % 2 == 1, F.lit("7"))))
+    labels = pages.select(F.col("page_id").alias("run_id"), runlog.run_label(F.when(F.col("page_id") > 3, F.col("page_id")), at, version).alias("label"))
+    entries = pages.where("page_id % 3 <> 0").selectExpr("page_id AS run_id", "'current' AS section", "0 AS seq", "url AS text", "page_id % 3 = 1 AS is_error")
+    return runlog.log_lines(entries, labels)
+
+
+def icon_manifest(spark, d):
+    """An icon set for each page, its slots at two scales of sizes by page."""
+    slots = _pages(spark, d).select("page_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("slot")).withColumn("px", ((F.col("page_id") % 5 + 1) * 20 * F.greatest("slot", F.lit(1))).cast("int"))
+    size = (F.col("page_id") % 5 + 1) * 20
+    slots = slots.select("page_id", "slot", "px", F.lit("iphone").alias("idiom"), F.format_string("%dx%d", size, size).alias("size"), F.format_string("%dx", F.greatest("slot", F.lit(1))).alias("scale"))
+    drawn = icons.sizes(slots, ["page_id"]).groupBy("page_id").agg(F.count("*").alias("n_sizes"))
+    return icons.manifest(slots, ["page_id"]).join(drawn, "page_id")
+
+
+def glyph_bounds(spark, d):
+    """The icon's drawing, recentred at a scale by page: its segments and its box."""
+    segments = _pages(spark, d).select("page_id", F.explode(icons.glyph()).alias("s")).select("page_id", "s.*")
+    out = raster.recentre(segments, (F.col("page_id") % 4 + 1) / 4, ["page_id"])
+    box = lambda f, g, c: F.round(f(g(f"a{c}", f"b{c}")), 9)
+    return out.groupBy("page_id").agg(F.count("*").alias("n_segments"), *[box(f, g, c).alias(f"{n}_{c}") for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest)) for c in "xy"])
+
+
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_change_points, run_log_lines, raster_downsample, page_controls, attachments_received, typed_rows, trace_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}

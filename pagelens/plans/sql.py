@@ -73,4 +73,27 @@ SQL = {
  c AS (SELECT page_id, y, x, CASE WHEN px BETWEEN least(ax, ax + dx) - 0.05 AND greatest(ax, ax + dx) + 0.05 AND py BETWEEN least(ay, ay + dy) - 0.05 AND greatest(ay, ay + dy) + 0.05 THEN greatest(0, least(255, round_even(((0.05 - sqrt(pow(px - (ax + dx * t), 2) + pow(py - (ay + dy * t), 2))) * 16 + 0.5) * 255, 0))) ELSE 0 END::INT AS alpha FROM t),
  g AS (SELECT page_id, least(y // 3, 4) AS ty0, * EXCLUDE (page_id) FROM c)
  SELECT page_id, ty::INT AS ty, tx::INT AS tx, round_even(avg(alpha), 0)::INT AS alpha FROM (SELECT page_id, alpha, CASE WHEN y < 3 THEN 0 WHEN y < 6 THEN 1 WHEN y < 9 THEN 2 WHEN y < 12 THEN 3 ELSE 4 END AS ty, CASE WHEN x < 3 THEN 0 WHEN x < 6 THEN 1 WHEN x < 9 THEN 2 WHEN x < 12 THEN 3 ELSE 4 END AS tx FROM c) GROUP BY ALL""",
+    "page_controls": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Next' END AS next_label, CASE WHEN NOT (page_id % 4 = 0 OR page_id % 30 <= 20) THEN '戻る' END AS previous_label, CASE WHEN page_id % 4 = 0 OR page_id % 30 <= 20 THEN 20 ELSE 10 END::DOUBLE AS picture_height FROM pages",
+    "attachments_received": """WITH a AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN FALSE WHEN conv_id % 7 = 3 THEN turn % 2 = 0 ELSE TRUE END AS mine FROM conversations)
+ SELECT conv_id AS run_id, count(*) FILTER (mine) AS n_attachments, count(*) FILTER (mine AND role = 'user') AS n_providers, max_by(text, turn) FILTER (mine AND role = 'user' AND turn % 4 <> 2) AS payload,
+ CASE WHEN NOT bool_or(mine) THEN '[ERR] 共有元からデータを受け取れませんでした' WHEN NOT bool_or(mine AND role = 'user') THEN '[ERR] property list 型の添付がありません' END AS failure FROM a GROUP BY conv_id""",
+    "typed_rows": """SELECT page_id, 0 AS id, url, (page_id % 9)::INT AS width, 0 AS height, page_id % 5 = 0 AS is_from_source, page_id % 5 = 1 AS is_video_poster, page_id % 5 = 2 AS is_page_meta, page_id % 5 = 3 AS is_other_post FROM pages WHERE url <> ''
+ UNION ALL SELECT page_id, 2, '/rel.png', 0, 7, FALSE, FALSE, FALSE, FALSE FROM pages""",
+    "trace_lines": f"""WITH {EXPECTED}, s AS (SELECT page_id, sweep, count(*) AS n, count(*) FILTER (origin = 'meta') AS meta, count(*) FILTER (origin = 'video') AS video, count(*) FILTER (origin = 'other') AS other,
+ list_position(['video', 'img', 'source', 'poster', 'link/meta', 'svg', 'css', 'raw source'], sweep) AS k FROM e GROUP BY ALL),
+ t AS (SELECT page_id, string_agg(sweep || ' ' || n, ' / ' ORDER BY k) AS sweeps, sum(n)::BIGINT AS n, sum(meta)::BIGINT AS meta, sum(video)::BIGINT AS video, sum(other)::BIGINT AS other FROM s GROUP BY page_id)
+ SELECT page_id, concat_ws(chr(10), CASE WHEN meta > 0 THEN 'OGP画像: ' || meta || '件' END, CASE WHEN video > 0 THEN '動画サムネイル: ' || video || '件' END, CASE WHEN page_id % 3 > 0 THEN 'アイコン枠の背景画像を除外: ' || (page_id % 3) || '件' END,
+ CASE WHEN page_id % 3 = 0 THEN 'UI部品の画像を除外: 2件' END, CASE WHEN page_id % 3 = 1 THEN '別の投稿へのリンク内の画像: ' || other || '件' END, '取得元の内訳: ' || sweeps, '合計 ' || n || '件 / 所要 ' || page_id || 'ms') AS lines FROM t""",
+    "saved_files": f"""WITH {I}, r AS (SELECT id, url, {EXT} AS ext, CASE WHEN id % 5 = 4 THEN '保存が中断されました' WHEN id % 8 = 2 THEN 'ダウンロード失敗 (HTTP 404)' WHEN id % 7 = 3 THEN '画像を読み込めませんでした' END AS error, md5(id || ' ' || url) AS m FROM i WHERE id % 4 = 0)
+ SELECT id, id AS seq, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN 'image-' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '.' || CASE WHEN id % 6 = 5 THEN 'png' WHEN ext = '' THEN 'jpg' ELSE ext END END AS name, CASE WHEN error IS NULL AND id % 6 <> 5 THEN 28 ELSE 0 END::BIGINT AS n_bytes FROM r""",
+    "thumbnail_states": f"""WITH {I}, p AS (SELECT id, id % 3 = 0 AND id % 5 <> 4 AS fetched, id % 7 <> 3 AND id % 6 <> 5 AS sized, (id * 31 % 900 + 1)::DOUBLE AS pw, (id * 17 % 700 + 1)::DOUBLE AS ph FROM i),
+ c AS (SELECT *, least(1.0::DOUBLE, 300.0::DOUBLE / greatest(pw, ph)) AS z FROM p)
+ SELECT id, CASE WHEN id % 12 = 0 THEN 'full' WHEN fetched AND sized THEN 'thumbnail' WHEN fetched THEN 'failed' ELSE 'waiting' END AS shows, NOT fetched AND id % 10 <> 1 AS to_fetch,
+ CASE WHEN fetched AND sized THEN pw END AS w, CASE WHEN fetched AND sized THEN ph END AS h, CASE WHEN fetched AND sized THEN greatest(1, round_even(pw * z, 0)) ELSE 0 END::INT AS thumb_w, CASE WHEN fetched AND sized THEN greatest(1, round_even(ph * z, 0)) ELSE 0 END::INT AS thumb_h FROM c""",
+    "status_texts": "SELECT page_id::BIGINT AS id, CASE page_id % 3 WHEN 0 THEN '待機中' WHEN 1 THEN '保存中 ' || page_id || '/' || (page_id + 5) ELSE '完了 成功' || page_id || ' 失敗' || (page_id + 5) END AS status, CASE page_id % 4 WHEN 0 THEN '拒否' WHEN 1 THEN '一部のみ許可' ELSE '不明' END AS permission FROM pages",
+    "run_log_text": """WITH l AS (SELECT page_id AS run_id, 1 AS k, '実行 #' || CASE WHEN page_id > 3 THEN page_id + 1 ELSE 1 END || '  ' || strftime(make_timestamp((1700000000 + page_id * 61) * 1000000), '%m/%d %H:%M:%S') || '  ' || CASE WHEN page_id % 4 = 0 THEN '?' WHEN page_id % 2 = 1 THEN 'v1.2 (7)' ELSE 'v1.2 (?)' END AS line FROM pages
+ UNION ALL SELECT page_id, 2, '=== 今回の保存 ===' FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 3, CASE WHEN page_id % 3 = 1 THEN '[ERR] ' ELSE '' END || url FROM pages WHERE page_id % 3 <> 0) SELECT run_id, k AS line_no, line FROM l""",
+    "icon_manifest": """WITH s AS (SELECT page_id, (page_id % 5 + 1) * 20 AS n FROM pages), e AS (SELECT page_id, n, '{"filename":"icon-' || n || '.png","idiom":"iphone","scale":"1x","size":"' || n || 'x' || n || '"}' AS one, '{"filename":"icon-' || n * 2 || '.png","idiom":"iphone","scale":"2x","size":"' || n || 'x' || n || '"}' AS two FROM s)
+ SELECT page_id, '{"images":[' || one || ',' || one || ',' || two || '],"info":{"author":"xcode","version":1}}' AS contents, 2::BIGINT AS n_sizes FROM e""",
+    "glyph_bounds": "SELECT page_id, 22::BIGINT AS n_segments, round(0.5 - 0.345 * (page_id % 4 + 1) / 4, 9)::DOUBLE AS low_x, round(0.5 - 0.3975 * (page_id % 4 + 1) / 4, 9)::DOUBLE AS low_y, round(0.5 + 0.345 * (page_id % 4 + 1) / 4, 9)::DOUBLE AS high_x, round(0.5 + 0.3975 * (page_id % 4 + 1) / 4, 9)::DOUBLE AS high_y FROM pages",
 }

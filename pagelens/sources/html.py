@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,3 +254,42 @@ def anchors(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["page_id", "pos", "href", "url"])
 
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, pos int, href string, url string")
+
+
+ELEMENTS = "array<struct<pos:int,tag:string,label:string,role:string,in_link:boolean,laid_out:boolean,width:double,height:double,container:int,ancestors:array<int>>>"
+_CONTAINERS = frozenset(("article", "main", "section"))
+_HIDDEN = re.compile(r"(?i)(?:^|;)\s*display\s*:\s*none")
+#: How far up the container is where no element around is one by name.
+_UP = 6
+
+
+def _number(text: str | None) -> float:
+    m = re.match(r"\s*(\d+(?:\.\d+)?)", text or "")
+    return float(m[1]) if m else 0.0
+
+
+def _elements(html: str) -> list[dict]:
+    """Pictures and labelled elements. Boxes are what width and height attributes say; hidden or display: none, here or
+    around, is not laid out."""
+    nodes, out = tree(html), []
+    for i, (tag, a, _, shadow) in enumerate(nodes):
+        if shadow >= 0 or tag != "img" and "aria-label" not in a:
+            continue
+        around, p = [], nodes[i][2]
+        while p >= 0:
+            around.append(p)
+            p = nodes[p][2]
+        chain = [i, *around]
+        named = next((k for k in chain if nodes[k][0] in _CONTAINERS or nodes[k][1].get("role") == "dialog"), None)
+        hidden = any("hidden" in nodes[k][1] or _HIDDEN.search(nodes[k][1].get("style") or "") for k in chain)
+        out.append({"pos": i, "tag": tag, "label": a.get("aria-label"), "role": a.get("role"), "in_link": any(nodes[k][0] == "a" for k in chain), "laid_out": not hidden, "width": _number(a.get("width")), "height": _number(a.get("height")), "container": named if named is not None else chain[min(_UP, len(around))], "ancestors": around})
+    return out
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """Adds ``elements`` to pages with html: what operators.controls looks at, in document order, none for a null html."""
+
+    def parsed(html: pd.Series) -> pd.Series:
+        return html.map(lambda h: _elements(h or ""))
+
+    return pages.withColumn("elements", F.pandas_udf(parsed, ELEMENTS)("html"))
