@@ -1,0 +1,84 @@
+"""Distributed prefix doubling over all positions, plainly as sorts of rank pairs: strings that earlier documents hold.
+
+Every position of every text starts with its next 8 bytes as rank. A round pairs a position's rank with that of the
+position h bytes on, Spark sorts the pairs, equal pairs get one new rank (the least position that has it) and pairs of
+one document only leave. Lengths go 8, 16, 32 and so on; the last pair overlaps to end at ``length``. Texts that are
+copies of an earlier document's go whole before the first round. Ranks are exact: no hash stands for a string.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import materialize, slices
+
+NO_ID, START = -(2**63), 8
+
+
+def _positions(batches):
+    at = TaskContext.get().partitionId() << 40
+    for b in slices(batches, 64):
+        for row, doc, raw in zip(*(b.column(c).to_pylist() for c in ("row", "id", "raw")), strict=True):
+            x = np.frombuffer(raw, np.uint8)
+            for s in range(0, len(x) - START + 1, 1 << 20):
+                part = np.lib.stride_tricks.sliding_window_view(x[s : s + (1 << 20) + START - 1], START)
+                rank = np.ascontiguousarray(part).view(">i8").ravel().astype(np.int64)
+                n = len(rank)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array(np.full(n, doc)), pa.array(np.arange(n) + (at + s)), pa.array(np.arange(n) + s), pa.array(rank)], ["row", "id", "at", "pos", "rank"])
+            at += len(x) + 1
+
+
+def _rerank(p: DataFrame, *keys: str) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    return p.select("row", "id", "at", "pos", F.min("at").over(w).alias("rank"), F.min("id").over(w).alias("low"), F.max("id").over(w).alias("high")).where("low < high").drop("high")
+
+
+def later_windows(rows: DataFrame, length: int) -> DataFrame:
+    """(row, pos) of windows of so many bytes that also start in a smaller id. rows: (row, id, raw), row unique."""
+    p = rows.mapInArrow(_positions, "row bigint, id bigint, at bigint, pos bigint, rank bigint")
+    p, h = _rerank(p, "rank"), START
+    while h < length:
+        step = min(h, length - h)
+        w = Window.partitionBy("row").orderBy("at").rangeBetween(step, step)
+        p = _rerank(p.withColumn("next", F.first("rank").over(w)).where("next IS NOT NULL"), "rank", "next")
+        h += step
+    return p.where("id > low").select("row", "pos")
+
+
+def _cut(length: int, digest: bool):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+    def run(batches):
+        for b in slices(batches, 64):
+            out = [[], [], [], []]
+            for doc, raw, copied, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "raw", "copied", "at")), strict=True):
+                edge = np.zeros(len(raw) + 1, np.int64)
+                at = np.array(at or [], np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + length, -1)
+                gone = np.full(len(raw), True) if copied else np.cumsum(edge)[:-1] > 0
+                turn = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+                start, stop = turn[::2].tolist(), turn[1::2].tolist()
+                kept = b"".join(raw[i:j] for i, j in zip([0, *stop], [*start, len(raw)], strict=True))
+                for o, v in zip(out, (doc, len(raw), [{"start": i, "stop": j} for i, j in zip(start, stop, strict=True)], hashlib.sha256(kept).digest() if digest else kept), strict=True):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), span, pa.binary()), strict=True)], ["doc_id", "n_bytes", "spans", "kept"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, digest: bool = False) -> DataFrame:
+    """As `suffixes.remove_repeats`."""
+    raw = F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b""))
+    rows = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), raw.alias("raw")).withColumn("row", F.monotonically_increasing_id()))
+    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("whole", F.sha2("raw", 256))
+    least = rows.groupBy("whole").agg(F.min("id").alias("first"))
+    rows = materialize(rows.join(least, "whole").withColumn("copied", (F.col("id") > F.col("first")) & (F.octet_length("raw") >= length)).drop("whole", "first"))
+    starts = later_windows(rows.where("NOT copied").select("row", "id", "raw"), length).groupBy("row").agg(F.collect_list("pos").alias("at"))
+    return rows.join(starts, "row", "left").mapInArrow(_cut(length, digest), "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary")

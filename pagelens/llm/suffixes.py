@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import doubling
 from .common import table
 
 NO_ID = -(2**63)
@@ -404,7 +405,7 @@ def remove_repeats(docs: DataFrame, spec: Repeats = Repeats(), digest: bool = Fa
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    out = doubling.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
     length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
     return out.select("doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
 

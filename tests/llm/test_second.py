@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pagelens.llm import chat, embeddings, hmm, licences, suffixes
+from pagelens.llm import chat, doubling, embeddings, hmm, licences, suffixes
 
 from .test_first import SCHEMA, brute_groups, corpus
 
@@ -49,6 +49,8 @@ def test_repeats(spark, docs, spec):
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), spec).collect()
     assert sorted(((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got), key=str) == brute_repeats(rows)
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
+    every = doubling.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in every), key=str) == brute_repeats(rows)
 
 
 def test_slices_of_long_texts_agree(monkeypatch):
