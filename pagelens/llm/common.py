@@ -96,3 +96,11 @@ def slices(batches, rows: int = 512):
 def words(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case and nothing else; a text that is ASCII as a whole takes the fast way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))

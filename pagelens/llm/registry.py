@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, hmm, licences, lines, mixing, quality, simhash, suffixes
+from . import bpe, chat, decontamination, embeddings, hmm, licences, lines, mixing, quality, simhash, suffixes
 
-MODULES = [mixing, licences, simhash, suffixes, embeddings, lines, chat, hmm, quality, bpe]
+MODULES = [mixing, licences, simhash, suffixes, embeddings, lines, chat, hmm, quality, bpe, decontamination]
 
 
 def queries() -> dict:
