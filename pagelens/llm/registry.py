@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, embeddings, hmm, licences, lines, mixing, negatives, quality, simhash, suffixes
+from . import bpe, chat, decontamination, embeddings, hmm, licences, lines, mixing, negatives, phrases, quality, simhash, suffixes
 
-MODULES = [mixing, licences, simhash, suffixes, embeddings, lines, chat, hmm, quality, bpe, decontamination, negatives]
+MODULES = [mixing, licences, simhash, suffixes, embeddings, lines, chat, hmm, quality, bpe, phrases, decontamination, negatives]
 
 
 def queries() -> dict:
