@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ExtractConfig
 from ..functions import columns as C
-from ..sources.html import candidates
-
-#: Rows of the reason why a candidate came up, in the order of the sweeps.
-SWEEPS = ("video", "img", "source", "poster", "link/meta", "svg", "css", "raw source")
-
+from . import sweeps
 
 def source_matches(html: Column, config: ExtractConfig = DEFAULT) -> Column:
     """URLs that the markup names, up to the limit on matches, in order, with repeats."""
@@ -30,9 +26,18 @@ def source_scan(pages: DataFrame, config: ExtractConfig = DEFAULT) -> DataFrame:
 def extract_images(pages: DataFrame, config: ExtractConfig = DEFAULT) -> DataFrame:
     """Image rows of every page: (page_id, order, url, width, height, origin, sweep).
 
-    ``order`` counts the images of a page from 0, in the row's own task: no shuffle.
+    ``order`` counts the images of a page from 0, in the row's own task: no shuffle. Rows that repeat a page_id are
+    pages of their own. A null html has no images.
     """
-    return candidates(pages, config).where("order IS NOT NULL").select("page_id", "order", "url", F.lit(0).alias("width"), F.lit(0).alias("height"), "origin", "sweep")
+    return images_of(sweeps.occurrences(pages, config))
+
+
+def images_of(found: DataFrame) -> DataFrame:
+    """Image rows of pages whose occurrences are known."""
+    # outer, as else the test for an empty array is worked out on its own, too
+    rows = found.select("page_id", F.posexplode_outer(sweeps.kept(F.col("met"))).alias("order", "m")).where("order IS NOT NULL")
+    names = F.array(*map(F.lit, sweeps.NAMES))
+    return rows.select("page_id", F.col("order").cast("bigint").alias("order"), "m.url", F.lit(0).alias("width"), F.lit(0).alias("height"), "m.origin", F.element_at(names, F.col("m.sweep") + 1).alias("sweep"))
 
 
 def rendered_names(images: DataFrame, most: int = 12, least_chars: int = 12, shown_chars: int = 30) -> DataFrame:
@@ -63,11 +68,12 @@ def payload(images: DataFrame, pages: DataFrame, title: Column | None = None) ->
     return pages.select("page_id", F.col("url").alias("page_url"), found.alias("page_title")).join(nested, "page_id", "left").withColumn("images", F.coalesce("images", empty))
 
 
-def sweep_counts(images: DataFrame) -> DataFrame:
-    """New images by sweep."""
-    return images.groupBy("sweep").agg(F.count("*").alias("n_new"))
+def sweep_counts(found: DataFrame) -> DataFrame:
+    """(label, n_new): images credited to each sweep over all pages; the source isn't credited."""
+    rows = found.select(F.explode_outer(sweeps.credits(F.col("met"))).alias("c")).where("c IS NOT NULL")
+    return rows.groupBy(F.col("c.label").alias("label")).agg(F.sum("c.n").alias("n_new"))
 
 
-def ui_asset_skips(pages: DataFrame, config: ExtractConfig = DEFAULT) -> DataFrame:
-    """(page_id, n_skipped): interface artwork in the markup, every occurrence counted."""
-    return pages.select("page_id", F.size(F.filter(source_matches(F.col("html"), config), lambda u: C.is_ui_asset(u, config))).cast("bigint").alias("n_skipped"))
+def skips(found: DataFrame) -> DataFrame:
+    """(page_id, n_assets, n_sprites): interface artwork and icons, every occurrence counted, as often as sweeps ran."""
+    return found.select("page_id", sweeps.skipped_assets(F.col("met")).alias("n_assets"), (F.col("n_sprites") * sweeps.SWEEPS_RUN).cast("bigint").alias("n_sprites"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import carousel, controls, handoff, icons, raster, runlog, saving, scan, view
+from ..operators import carousel, controls, handoff, icons, raster, runlog, saving, scan, sweeps, view
 from ..sources import html as H
 
 ID = "CAST(page_id AS STRING)"
@@ -30,6 +30,18 @@ INJECTED = f"""html || '<img src="https://cdn.example.com/a/' || CAST(page_id %
 POSTED = f"CASE WHEN page_id % 3 = 1 THEN 'https://www.instagram.com/u/p/C' || {ID} || '/?img_index=' || CAST(page_id % 6 AS STRING) ELSE url END"
 MANY = "html || repeat('<i>https://many.example.com/x.png</i>', 850) || '<i>https://late.example.com/y.png</i>'"
 
+TRACED = f"""{INJECTED} || '<style>.icon{{background:url(https://bg.example.com/icon.png);width:20px;height:20px}}</style>' || repeat('<i class="icon"></i>', CAST(page_id % 3 AS INT))
+ || CASE WHEN page_id % 5 = 0 THEN '<img src="https://cdn.example.com/t51.2885-19/' || repeat('n', 30) || '.jpg">' ELSE '' END"""
+NESTED = f"""html || '<section><div><video poster="https://v.example.com/' || {ID} || '.png"></video><p><img src="https://c.example.com/1.png"><span><img src="https://c.example.com/2.png"></span></p></div><img src="https://c.example.com/3.png"></section>'
+ || '<a href="https://www.instagram.com/p/zzz/"><div><b><img src="https://l.example.com/1.png"></b></div></a><a href="/p/C' || {ID} || '/"><img src="https://l.example.com/2.png"></a><img src="https://l.example.com/3.png">'
+ || CASE WHEN page_id % 2 = 0 THEN '<a href="/p/other/"><img src="https://l.example.com/3.png"><img src="https://l.example.com/4.png"></a>' ELSE '' END"""
+STYLED = f"""html || '<style>/* .k0{{}} */ .k' || CAST(page_id % 3 AS STRING) || '{{background:url(https://bg.example.com/' || {ID} || '/c.png);width:40px;height:40px}} div.big{{height:80px}} #only{{background-image:url("https://bg.example.com/' || {ID} || '/i.png")!important}} @media screen{{.m, p > b{{background:url(https://bg.example.com/' || {ID} || '/m.png)}}}}</style>'
+ || '<div class="k0 big"></div><div class="k1"></div><div class="x k2 y"></div><div id="only" class="m" style="background:url(https://no.example.com/n.png)"></div><div class="m" style="width:59px"></div><p><b>x</b></p>'"""
+DECLARED = f"""html || '<picture><source srcset="https://s.example.com/1.png 1x, https://s.example.com/2.png 2x"><img src="https://i.example.com/0.png"></picture><source src="https://s.example.com/no.png"><div poster="https://p.example.com/' || {ID} || '.png"></div>'
+ || '<link rel="PRELOAD x" as="image" href="https://l.example.com/1.png" imagesrcset="https://l.example.com/2.png 2x"><link rel="apple-touch-icon" href="https://l.example.com/3.png"><link rel="preload" as="script" href="https://l.example.com/no.png"><meta itemprop="image" content="https://m.example.com/1.png"><svg><image xlink:href="https://d.example.com/1.png"></image></svg>'
+ || '<div><template shadowrootmode="open"><img src="https://h.example.com/1.png"><div><template shadowrootmode="open"><video poster="https://h.example.com/2.png"></video></template></div></template></div><template><img src="https://t.example.com/no.png"></template>'"""
+FRAMED = f"""html || '<iframe src="/frame/' || {ID} || '"></iframe><iframe src="https://else.example.com/f"></iframe><iframe srcdoc="<img src=/s.png>"></iframe><img src="/own.png">'"""
+
 IMAGES = """CAST(page_id AS BIGINT) AS id, 'https://cdn.example.com/d/' || CAST(page_id AS STRING) || CASE page_id % 6 WHEN 0 THEN '.HEIF' WHEN 1 THEN '.jpeg' WHEN 2 THEN '.JPG' WHEN 3 THEN '' WHEN 4 THEN '.tiff' ELSE '.svg' END AS url,
  CAST((page_id * 37) % 1000 AS INT) * CASE WHEN page_id % 8 = 5 THEN 0 ELSE 1 END AS width, CAST((page_id * 53) % 900 AS INT) * CASE WHEN page_id % 8 = 5 THEN 0 ELSE 1 END AS height,
  CASE page_id % 9 WHEN 1 THEN 'source' WHEN 3 THEN 'video' WHEN 5 THEN 'meta' WHEN 7 THEN 'other' WHEN 8 THEN NULL ELSE 'dom' END AS origin"""
@@ -77,7 +89,8 @@ def format_label_counts(spark, d):
 
 
 def ui_asset_skips(spark, d):
-    return scan.ui_asset_skips(_injected(spark, d))
+    """Two sweeps over the images, and the source once."""
+    return scan.skips(sweeps.occurrences(_injected(spark, d))).select("page_id", F.col("n_assets").alias("n_skipped"))
 
 
 SRCSETS = "CASE page_id % 5 WHEN 0 THEN 'a.jpg 320w, b.jpg 1600w, c' || CAST(page_id AS STRING) || '.jpg 2x' WHEN 1 THEN 'a.jpg 1x,b.jpg 1000w' WHEN 2 THEN 'a.jpg abc, b.jpg -5w' WHEN 3 THEN ' , x.png' ELSE '' END"
@@ -116,9 +129,12 @@ def css_background_urls(spark, d):
     return p.where(~C.is_sprite(F.col("w"), F.col("h"))).select("page_id", F.posexplode(C.css_urls(F.col("style"))).alias("pos", "url"))
 
 
+def _occurrences(spark, d, html: str = INJECTED):
+    return sweeps.occurrences(_pages(spark, d).selectExpr("page_id", f"{POSTED} AS url", f"{html} AS html"))
+
+
 def _extracted(spark, d):
-    pages = _pages(spark, d).selectExpr("page_id", f"{POSTED} AS url", f"{INJECTED} AS html")
-    return scan.extract_images(pages)
+    return scan.images_of(_occurrences(spark, d))
 
 
 def extract_images(spark, d):
@@ -146,7 +162,7 @@ def largest_image(spark, d):
 
 
 def sweep_counts(spark, d):
-    return scan.sweep_counts(_extracted(spark, d))
+    return scan.sweep_counts(_occurrences(spark, d))
 
 
 def payload_sizes(spark, d):
@@ -252,10 +268,44 @@ def typed_rows(spark, d):
 
 
 def trace_lines(spark, d):
-    """What the extraction says of each page, with the interface artwork of its markup."""
-    pages = _pages(spark, d).selectExpr("page_id", f"{POSTED} AS url", f"{INJECTED} AS html")
-    counted = pages.withColumns({"n_assets": F.size(F.filter(scan.source_matches(F.col("html")), lambda u: C.is_ui_asset(u))), "n_sprites": (F.col("page_id") % 3).cast("int"), "elapsed_ms": F.col("page_id").cast("int")})
-    return handoff.trace(scan.extract_images(pages), counted).select("page_id", F.array_join("lines", "\n").alias("lines"))
+    """What the extraction says of each page, from its URL to the total; icons and long names are added to some."""
+    return handoff.trace(_occurrences(spark, d, TRACED).withColumn("elapsed_ms", F.col("page_id").cast("int"))).select("page_id", F.array_join("lines", "\n").alias("lines"))
+
+
+def received_lines(spark, d):
+    """Images of each page as they arrive."""
+    images = scan.images_of(_occurrences(spark, d))
+    return handoff.received_lines(images.select("page_id", (F.col("origin") == "source").alias("is_from_source")), ["page_id"])
+
+
+def contained_images(spark, d):
+    """Covers below a video's parent, and images by the nearest link around them, in nested markup."""
+    return scan.images_of(_occurrences(spark, d, NESTED)).select("page_id", "order", "url", "origin", "sweep")
+
+
+def styled_backgrounds(spark, d):
+    """Backgrounds as the cascade of style sheets and inline styles has them, and which are icons by their boxes."""
+    rows = _occurrences(spark, d, STYLED).select("page_id", F.explode_outer("met").alias("m")).where(F.col("m.sweep") == sweeps.CSS)
+    return rows.select("page_id", "m.url", "m.what")
+
+
+def declared_images(spark, d):
+    """Images that sources, posters, links, metas, drawings and shadow roots name."""
+    return scan.images_of(_occurrences(spark, d, DECLARED)).select("page_id", "order", "url", "origin", "sweep")
+
+
+def occurrence_counts(spark, d):
+    """Every occurrence of an image URL by sweep and by what became of it."""
+    rows = _occurrences(spark, d).select(F.explode_outer("met").alias("m")).where("m IS NOT NULL")
+    return rows.groupBy(F.element_at(F.array(*map(F.lit, sweeps.NAMES)), F.col("m.sweep") + 1).alias("sweep"), F.col("m.what").alias("what")).agg(F.count("*").alias("n"))
+
+
+def frame_images(spark, d):
+    """Images of each page's frames: one of the same origin that was loaded, one of another, one with markup inline."""
+    pages = _pages(spark, d).selectExpr("page_id", "url", f"{FRAMED} AS html")
+    site = "regexp_extract(url, '^[a-z]+://[^/?#]+', 0)"
+    loaded = _pages(spark, d).selectExpr("page_id", f"inline(array(struct({site} || '/frame/' || {ID} AS url, '<img src=\"f.png\"><iframe src=\"/frame/nested\"></iframe>' AS html), struct({site} || '/frame/nested' AS url, '<img src=\"n.png\">' AS html), struct('https://else.example.com/f' AS url, '<img src=\"x.png\">' AS html)))")
+    return scan.extract_images(H.with_frames(pages, loaded)).select("page_id", "order", "url", "origin")
 
 
 def _fetched(spark, d):
@@ -312,4 +362,4 @@ def glyph_bounds(spark, d):
     return out.groupBy("page_id").agg(F.count("*").alias("n_segments"), *[box(f, g, c).alias(f"{n}_{c}") for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest)) for c in "xy"])
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_change_points, run_log_lines, raster_downsample, page_controls, attachments_received, typed_rows, trace_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_change_points, run_log_lines, raster_downsample, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}

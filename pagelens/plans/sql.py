@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import IMAGES, INJECTED, MANY, PIXELS, POSTED, SRCSETS
+from .queries import IMAGES, INJECTED, MANY, PIXELS, POSTED, SRCSETS, TRACED
 
 # Patterns that results depend on.
 RX = r"""(?i)https?://[^\s"''`<>{}\[\]]+?\.(?:jpe?g|png|gif|webp|heic|heif|bmp|svg|avif)(?:\?[^\s"''`<>{}\[\]]*)?"""
@@ -33,7 +33,7 @@ SQL = {
     "source_scan_urls": f"WITH m AS (SELECT page_id, unnest({MATCHES}) AS url FROM (SELECT page_id, {INJECTED} AS html FROM pages)) SELECT DISTINCT page_id, url, {LABEL} AS format FROM m WHERE NOT regexp_matches(url, '{UI}')",
     "source_scan_cap": f"SELECT page_id, len({MATCHES})::BIGINT AS n_matches, len(list_distinct({MATCHES}))::BIGINT AS n_urls FROM (SELECT page_id, {MANY} AS html FROM pages)",
     "format_label_counts": f"WITH {I} SELECT {LABEL} AS format, count(*) AS n, count(*) FILTER (lower({EXT}) = 'svg') AS n_svg FROM i GROUP BY 1",
-    "ui_asset_skips": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS n_skipped FROM pages",
+    "ui_asset_skips": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 * 2 + 2 ELSE 0 END::BIGINT AS n_skipped FROM pages",
     "srcset_best": f"SELECT page_id, CASE WHEN {SRCSETS} = '' THEN NULL ELSE CASE page_id % 5 WHEN 0 THEN 'c' || {N} || '.jpg' WHEN 3 THEN 'x.png' ELSE 'a.jpg' END END AS best FROM pages",
     "lazy_attr_coalesce": "SELECT page_id, CASE WHEN page_id % 3 = 0 AND url <> '' THEN url WHEN page_id % 5 = 0 THEN 'z' END AS url FROM pages",
     "page_key": rf"""WITH p AS (SELECT page_id, {POSTED} AS url FROM pages), q AS (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM p)
@@ -50,7 +50,7 @@ SQL = {
     "largest_image": """WITH a AS (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) AS l FROM pages)),
  s AS (SELECT page_id, pos::BIGINT AS "order", url, length(url) * (pos % 3 + 1) AS area FROM a)
  SELECT page_id, "order", url, area::BIGINT AS area FROM s QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area DESC, "order") = 1""",
-    "sweep_counts": f"WITH {EXPECTED} SELECT sweep, count(*) AS n_new FROM e GROUP BY sweep",
+    "sweep_counts": f"WITH {EXPECTED} SELECT CASE sweep WHEN 'video' THEN '動画' WHEN 'css' THEN 'CSS背景' ELSE sweep END AS label, count(*) AS n_new FROM e WHERE sweep <> 'raw source' GROUP BY 1",
     "payload_sizes": f"WITH {EXPECTED} SELECT page_id, {POSTED} AS page_url, CASE WHEN page_id % 10 = 0 THEN 0 ELSE (SELECT count(*) FROM e WHERE e.page_id = pages.page_id) END::BIGINT AS n_images FROM pages",
     "visible_images": f"WITH {VISIBLE} SELECT id, url, longest_side, row_number() OVER (ORDER BY id) - 1 AS idx FROM shown",
     "hidden_counts": f"WITH {I}, l AS (SELECT origin, count(*) AS n FROM i WHERE id % 11 <> 0 GROUP BY origin) SELECT {', '.join(f'coalesce(max(n) FILTER (origin = {chr(39)}{o}{chr(39)}), 0)::BIGINT AS n_{o}' for o in ('source', 'video', 'meta', 'other'))}, TRUE AS has_hidden FROM l",
@@ -76,14 +76,44 @@ SQL = {
     "page_controls": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Next' END AS next_label, CASE WHEN NOT (page_id % 4 = 0 OR page_id % 30 <= 20) THEN '戻る' END AS previous_label, CASE WHEN page_id % 4 = 0 OR page_id % 30 <= 20 THEN 20 ELSE 10 END::DOUBLE AS picture_height FROM pages",
     "attachments_received": """WITH a AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN FALSE WHEN conv_id % 7 = 3 THEN turn % 2 = 0 ELSE TRUE END AS mine FROM conversations)
  SELECT conv_id AS run_id, count(*) FILTER (mine) AS n_attachments, count(*) FILTER (mine AND role = 'user') AS n_providers, max_by(text, turn) FILTER (mine AND role = 'user' AND turn % 4 <> 2) AS payload,
- CASE WHEN NOT bool_or(mine) THEN '[ERR] 共有元からデータを受け取れませんでした' WHEN NOT bool_or(mine AND role = 'user') THEN '[ERR] property list 型の添付がありません' END AS failure FROM a GROUP BY conv_id""",
+ CASE WHEN NOT bool_or(mine) THEN '[ERR] 共有元からデータを受け取れませんでした' WHEN NOT bool_or(mine AND role = 'user') THEN '[ERR] property list 型の添付がありません' WHEN max_by(text, turn) FILTER (mine AND role = 'user' AND turn % 4 <> 2) IS NULL THEN '[ERR] 解析結果が空 (ページ側スクリプトが完了しなかった)' END AS failure FROM a GROUP BY conv_id""",
     "typed_rows": """SELECT page_id, 0 AS id, url, (page_id % 9)::INT AS width, 0 AS height, page_id % 5 = 0 AS is_from_source, page_id % 5 = 1 AS is_video_poster, page_id % 5 = 2 AS is_page_meta, page_id % 5 = 3 AS is_other_post FROM pages WHERE url <> ''
  UNION ALL SELECT page_id, 2, '/rel.png', 0, 7, FALSE, FALSE, FALSE, FALSE FROM pages""",
-    "trace_lines": f"""WITH {EXPECTED}, s AS (SELECT page_id, sweep, count(*) AS n, count(*) FILTER (origin = 'meta') AS meta, count(*) FILTER (origin = 'video') AS video, count(*) FILTER (origin = 'other') AS other,
- list_position(['video', 'img', 'source', 'poster', 'link/meta', 'svg', 'css', 'raw source'], sweep) AS k FROM e GROUP BY ALL),
- t AS (SELECT page_id, string_agg(sweep || ' ' || n, ' / ' ORDER BY k) AS sweeps, sum(n)::BIGINT AS n, sum(meta)::BIGINT AS meta, sum(video)::BIGINT AS video, sum(other)::BIGINT AS other FROM s GROUP BY page_id)
- SELECT page_id, concat_ws(chr(10), CASE WHEN meta > 0 THEN 'OGP画像: ' || meta || '件' END, CASE WHEN video > 0 THEN '動画サムネイル: ' || video || '件' END, CASE WHEN page_id % 3 > 0 THEN 'アイコン枠の背景画像を除外: ' || (page_id % 3) || '件' END,
- CASE WHEN page_id % 3 = 0 THEN 'UI部品の画像を除外: 2件' END, CASE WHEN page_id % 3 = 1 THEN '別の投稿へのリンク内の画像: ' || other || '件' END, '取得元の内訳: ' || sweeps, '合計 ' || n || '件 / 所要 ' || page_id || 'ms') AS lines FROM t""",
+    "trace_lines": f"""WITH {EXPECTED}, more AS (SELECT * FROM e UNION ALL SELECT page_id, 'img', 'https://cdn.example.com/t51.2885-19/' || repeat('n', 30) || '.jpg', 'dom' FROM x WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'raw source', 'https://bg.example.com/icon.png', 'source' FROM x),
+ s AS (SELECT page_id, CASE sweep WHEN 'video' THEN '動画' WHEN 'css' THEN 'CSS背景' ELSE sweep END AS label, count(*) AS n, count(*) FILTER (origin = 'meta') AS meta, count(*) FILTER (origin = 'video') AS video, count(*) FILTER (origin = 'other') AS other,
+ list_position(['video', 'img', 'source', 'poster', 'link/meta', 'svg', 'css', 'raw source'], sweep) AS k FROM more GROUP BY ALL),
+ t AS (SELECT page_id, string_agg(label || ' ' || n, ' / ' ORDER BY k) FILTER (k < 8) AS sweeps, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (k = 8), 0)::BIGINT AS raw, sum(meta)::BIGINT AS meta, sum(video)::BIGINT AS video, sum(other)::BIGINT AS other FROM s GROUP BY page_id),
+ u AS (SELECT page_id, {POSTED} AS url, page_id % 3 = 1 AS post, page_id % 6 AS slide, 1 + (page_id % 2 = 0)::INT + 2 * (page_id % 3 = 0)::INT + 2 * (page_id % 6 = 1)::INT + (page_id % 4 = 2)::INT + (page_id % 5 = 0)::INT AS imgs,
+ len({MATCHES}) AS matches FROM (SELECT page_id, url, {TRACED} AS html FROM pages))
+ SELECT page_id, concat_ws(chr(10), 'URL: ' || url, CASE WHEN post THEN '開始スライド: ' || slide || '枚目' ELSE '開始スライド: 不明 (1枚目とみなす)' END, 'img要素 ' || imgs || '個 / 初回スキャン ' || (n - raw) || '件',
+ CASE WHEN post AND slide >= 3 THEN '戻り方向: 実行する (3枚目以降から共有)' ELSE '戻り方向: 不要 (前のスライドは無いか既に取得済み)' END,
+ CASE WHEN NOT post THEN 'カルーセル送りの対象サイトではないため実行しない' END, CASE WHEN post AND slide >= 3 THEN '「前へ」ボタンが無いため送りは未実行 / 次へへ' END, CASE WHEN post THEN '「次へ」ボタンが無いため送りは未実行' END,
+ 'ソース走査: 一致 ' || matches || '件 / 新規 ' || raw || '件', CASE WHEN meta > 0 THEN 'OGP画像: ' || meta || '件' END, CASE WHEN video > 0 THEN '動画サムネイル: ' || video || '件' END, CASE WHEN page_id % 3 > 0 THEN 'アイコン枠の背景画像を除外: ' || 2 * (page_id % 3) || '件' END,
+ CASE WHEN page_id % 3 = 0 THEN 'UI部品の画像を除外: 6件' END, CASE WHEN post THEN '別の投稿へのリンク内の画像: ' || other || '件' END, '取得元の内訳: ' || sweeps,
+ CASE WHEN page_id % 5 = 0 THEN 'ページ内のファイル名(1種): t51.2885-19/' || repeat('n', 30) || '…' END, '合計 ' || n || '件 / 所要 ' || page_id || 'ms') AS lines FROM t JOIN u USING (page_id)""",
+    "received_lines": f"WITH {EXPECTED} SELECT page_id, '受け取り ' || count(*) || '件 (ページ内 ' || count(*) FILTER (origin <> 'source') || ' / ソース内 ' || count(*) FILTER (origin = 'source') || ')' AS line FROM e GROUP BY page_id",
+    "occurrence_counts": f"""WITH {EXPECTED}, p AS (SELECT page_id, url, {INJECTED} AS html FROM pages), m AS (SELECT page_id, unnest({MATCHES}) AS u FROM p),
+ k AS (SELECT sweep, 'kept' AS what, count(*) AS n FROM e GROUP BY sweep),
+ img AS (SELECT sum(CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END)::BIGINT AS assets, sum(CASE WHEN page_id % 6 = 1 THEN 1 ELSE 0 END)::BIGINT AS twice, sum(CASE WHEN page_id % 5 = 2 THEN 1 ELSE 0 END)::BIGINT AS posters, sum(CASE WHEN page_id % 5 = 3 THEN 1 ELSE 0 END)::BIGINT AS og FROM pages)
+ SELECT * FROM k UNION ALL SELECT 'img', 'ui asset', assets FROM img UNION ALL SELECT 'img', 'seen', twice FROM img UNION ALL SELECT 'poster', 'seen', posters FROM img UNION ALL SELECT 'link/meta', 'seen', og FROM img
+ UNION ALL SELECT 'raw source', 'ui asset', count(*) FROM m WHERE regexp_matches(u, '{UI}') UNION ALL SELECT 'raw source', 'seen', count(*) FILTER (NOT regexp_matches(u, '{UI}')) - (SELECT n FROM k WHERE sweep = 'raw source') FROM m""",
+    "contained_images": f"""WITH x AS (SELECT page_id, page_id % 3 = 1 AS post FROM pages),
+ e AS (SELECT page_id, 0 AS o, 'https://v.example.com/' || {N} || '.png' AS url, 'video' AS origin, 'video' AS sweep FROM x UNION ALL SELECT page_id, 1, 'https://c.example.com/1.png', 'video', 'video' FROM x UNION ALL SELECT page_id, 2, 'https://c.example.com/2.png', 'video', 'video' FROM x
+ UNION ALL SELECT page_id, 3, 'https://c.example.com/3.png', 'dom', 'img' FROM x UNION ALL SELECT page_id, 4, 'https://l.example.com/1.png', CASE WHEN post THEN 'other' ELSE 'dom' END, 'img' FROM x
+ UNION ALL SELECT page_id, 5, 'https://l.example.com/2.png', 'dom', 'img' FROM x UNION ALL SELECT page_id, 6, 'https://l.example.com/3.png', 'dom', 'img' FROM x
+ UNION ALL SELECT page_id, 7, 'https://l.example.com/4.png', CASE WHEN post THEN 'other' ELSE 'dom' END, 'img' FROM x WHERE page_id % 2 = 0)
+ SELECT page_id, o::BIGINT AS "order", url, origin, sweep FROM e""",
+    "styled_backgrounds": f"""SELECT page_id, 'https://bg.example.com/' || {N} || '/c.png' AS url, CASE WHEN page_id % 3 = 0 THEN 'kept' ELSE 'sprite' END AS what FROM pages
+ UNION ALL SELECT page_id, 'https://bg.example.com/' || {N} || '/' || f, 'kept' FROM pages, (VALUES ('i.png'), ('m.png')) t(f)""",
+    "declared_images": f"""WITH l AS (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'meta' ELSE 'dom' END AS origin FROM pages)
+ SELECT page_id, o::BIGINT AS "order", CASE WHEN o = 2 THEN 'https://p.example.com/' || {N} || '.png' ELSE u END AS url, coalesce(k, origin) AS origin, s AS sweep FROM l,
+ (VALUES (0, 'https://i.example.com/0.png', 'dom', 'img'), (1, 'https://s.example.com/2.png', 'dom', 'source'), (2, '', 'video', 'poster'), (3, 'https://l.example.com/1.png', NULL, 'link/meta'), (4, 'https://l.example.com/2.png', NULL, 'link/meta'), (5, 'https://l.example.com/3.png', NULL, 'link/meta'),
+ (6, 'https://m.example.com/1.png', 'meta', 'link/meta'), (7, 'https://d.example.com/1.png', 'dom', 'svg'), (8, 'https://h.example.com/1.png', 'dom', 'img'), (9, 'https://h.example.com/2.png', 'video', 'video'),
+ (10, 'https://s.example.com/1.png', 'source', 'raw source'), (11, 'https://s.example.com/no.png', 'source', 'raw source'), (12, 'https://l.example.com/no.png', 'source', 'raw source'), (13, 'https://t.example.com/no.png', 'source', 'raw source')) v(o, u, k, s)""",
+    "frame_images": f"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site FROM pages)
+ SELECT page_id, o::BIGINT AS "order", site || CASE o WHEN 0 THEN '/own.png' WHEN 1 THEN '/frame/f.png' ELSE '/s.png' END AS url, 'dom' AS origin FROM p, (VALUES (0), (1), (2)) v(o)""",
+    "resolve_anchor_urls": """WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, unnest(l) AS href, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) AS l FROM pages))
+ SELECT page_id, pos::INT AS pos, href, site || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url FROM a""",
     "saved_files": f"""WITH {I}, r AS (SELECT id, url, {EXT} AS ext, CASE WHEN id % 5 = 4 THEN '保存が中断されました' WHEN id % 8 = 2 THEN 'ダウンロード失敗 (HTTP 404)' WHEN id % 7 = 3 THEN '画像を読み込めませんでした' END AS error, md5(id || ' ' || url) AS m FROM i WHERE id % 4 = 0)
  SELECT id, id AS seq, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN 'image-' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '.' || CASE WHEN id % 6 = 5 THEN 'png' WHEN ext = '' THEN 'jpg' ELSE ext END END AS name, CASE WHEN error IS NULL AND id % 6 <> 5 THEN 28 ELSE 0 END::BIGINT AS n_bytes FROM r""",
     "thumbnail_states": f"""WITH {I}, p AS (SELECT id, id % 3 = 0 AND id % 5 <> 4 AS fetched, id % 7 <> 3 AND id % 6 <> 5 AS sized, (id * 31 % 900 + 1)::DOUBLE AS pw, (id * 17 % 700 + 1)::DOUBLE AS ph FROM i),

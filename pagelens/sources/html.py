@@ -1,8 +1,8 @@
-"""Pages as candidate rows: a streaming HTML parse per row, in Arrow batches, with no shuffle.
+"""Pages as element tables: a streaming HTML parse per row, in Arrow batches, with no shuffle.
 
-What a live browser adds is not there: computed styles, layout boxes, the source a browser picked. Inline styles,
-width and height attributes of nothing, and src stand for them. Frames are those with srcdoc, one level deep; shadow
-roots are declarative templates.
+Python emits elements only (tag, attributes, place in the tree); what is an image, a link or a rule of style is decided
+by column functions. What a live browser adds is not there: layout boxes, the source a browser picked. Shadow roots are
+declarative templates; other templates and what only browsers without scripts show hold no elements.
 """
 
 from __future__ import annotations
@@ -10,250 +10,190 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import quote, urljoin, urlsplit, urlunsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, ExtractConfig
+from .urls import parse, resolve, resolved
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_SPACE = " \t\n\x0b\x0c\r ﻿"
+#: Elements that another of their kind closes.
+_CLOSES_ITSELF = frozenset(("a", "li", "option", "p"))
+#: What stays out of the tree of elements.
+INERT = -1
 
 
-def resolve_url(url: str | None, base: str) -> str | None:
-    """An absolute, normalised URL, or None if it is empty, inline data or can't be read.
+class _Tree(HTMLParser):
+    """Elements in document order: (tag, attributes, parent, root), and the last descendant of each.
 
-    Host in lower case, default ports, tabs and line ends dropped, dot segments removed, other than ASCII and unsafe
-    characters percent-encoded. A small part of what browsers do; hosts are not converted to punycode.
+    A root is a document (-2 for the page, -3 and on for its frames), the element that a shadow root belongs to, or
+    INERT. An element at the top of its root has no parent (-1).
     """
-    url = (url or "").strip(_SPACE)
-    if not url or url.startswith("data:"):
-        return None
-    try:
-        parts = urlsplit(urljoin(base, re.sub(r"[\t\n\r]", "", url)))
-        if not parts.scheme:
-            return None
-        if parts.scheme not in ("http", "https"):
-            return urlunsplit(parts)
-        if not parts.hostname:
-            return None
-        netloc = parts.hostname.lower()
-        if parts.port and parts.port != {"http": 80, "https": 443}[parts.scheme]:
-            netloc += f":{parts.port}"
-        if parts.username:
-            netloc = f"{parts.username}{':' + parts.password if parts.password else ''}@{netloc}"
-    except ValueError:
-        return None
-    encode = lambda s, safe: quote(s, safe=safe + "%")
-    return urlunsplit((parts.scheme, netloc, encode(parts.path or "/", "/:@!$&'()*+,;=-._~|[]"), encode(parts.query, "/?:@!$&()*+,;=-._~|[]{}\\^`"), encode(parts.fragment, "/?:@!$&'()*+,;=-._~|[]{}\\^")))
-
 
-class _Tree(HTMLParser):
-    """Elements in document order: (tag, attributes, parent, shadow template or -1)."""
-
-    def __init__(self) -> None:
+    def __init__(self, root: int = -2, first: int = 0) -> None:
         super().__init__(convert_charrefs=True)
+        self.root, self.first = root, first
         self.nodes: list[tuple[str, dict, int, int]] = []
+        self.close_at: list[int] = []
         self.open: list[int] = []
+        self.text: dict[int, str] = {}
+
+    def _inside(self, parent: int) -> tuple[int, int]:
+        """(parent, root) of what is put into the element in place ``parent``."""
+        if parent < 0:
+            return -1, self.root
+        tag, attrs, above, root = self.nodes[parent]
+        if root == INERT or tag == "noscript":
+            return parent, INERT
+        if tag == "template":
+            return (-1, above + self.first) if "shadowrootmode" in attrs and above >= 0 else (parent, INERT)
+        return parent, root
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        parent = self.open[-1] if self.open else -1
-        shadow = -1
-        if parent >= 0:
-            p = self.nodes[parent]
-            shadow = parent if p[0] == "template" and "shadowrootmode" in p[1] else p[3]
+        if tag in _CLOSES_ITSELF and any(self.nodes[k][0] == tag for k in (self.open if tag == "a" else self.open[-1:])):
+            self.handle_endtag(tag)
+        parent, root = self._inside(self.open[-1] if self.open else -1)
         seen: dict = {}
         for k, v in attrs:
             seen.setdefault(k, v or "")
-        self.nodes.append((tag, seen, parent, shadow))
+        self.nodes.append((tag, seen, parent, root))
+        self.close_at.append(len(self.nodes) - 1)
         if tag not in _VOID:
             self.open.append(len(self.nodes) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and self.open:
-            self.open.pop()
+            self._end(len(self.open) - 1)
+
+    def _end(self, k: int) -> None:
+        for i in self.open[k:]:
+            self.close_at[i] = len(self.nodes) - 1
+        del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):  # what follows still goes into the body
             return
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]][0] == tag:
-                del self.open[k:]
+                self._end(k)
                 return
 
+    def handle_data(self, data: str) -> None:
+        if self.open and self.nodes[self.open[-1]][0] == "style":
+            at = self.open[-1]
+            self.text[at] = self.text.get(at, "") + data
 
-def tree(html: str) -> list[tuple[str, dict, int, int]]:
-    t = _Tree()
+
+def parsed(html: str, root: int = -2, first: int = 0) -> _Tree:
+    t = _Tree(root, first)
     t.feed(html)
     t.close()
-    return t.nodes
+    t._end(0)
+    return t
 
 
-def best_of(srcset: str | None) -> str | None:
-    """The row-wise twin of functions.columns.best_from_srcset, for attributes met while parsing."""
-    best, top = None, -1.0
-    for part in (srcset or "").split(","):
-        bits = re.split(rf"[\s{_SPACE}]+", part.strip(_SPACE))
-        if not bits[0]:
-            continue
-        score = 1.0
-        if len(bits) > 1 and (m := re.match(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", bits[1])):
-            score = float(m[0]) * (1000 if bits[1].endswith("x") else 1)
-        if score > top:
-            best, top = bits[0], score
-    return best
-
-
-class _Page:
-    def __init__(self, url: str, html: str, config: ExtractConfig):
-        self.config, self.html = config, html
-        self.nodes = tree(html)
-        self.base = next((resolve_url(a["href"], url) or url for t, a, _, _ in self.nodes if t == "base" and a.get("href")), url)
-        at = urlsplit(url)
-        self.origin, self.key = (at.scheme, (at.hostname or "").lower(), at.port), self.page_key(at.path)
-        host = self.origin[1]
-        self.carousel = any(host == h or host.endswith("." + h) for h in config.carousel_hosts)
-        self.permalink = bool(re.search(config.post_path, at.path))
-
-    def page_key(self, path: str) -> str:
-        m = re.search(self.config.post_path, path)
-        return "post:" + m[1] if m else "path:" + "".join("/" + s for s in [s for s in path.split("/") if s][:2])
-
-    def elsewhere(self, i: int) -> bool:
-        """Whether the nearest link around an element leads to another post."""
-        if not (self.carousel and self.permalink):
-            return False
-        while i >= 0 and not (self.nodes[i][0] == "a" and "href" in self.nodes[i][1]):
-            i = self.nodes[i][2]
-        target = resolve_url(self.nodes[i][1]["href"], self.base) if i >= 0 else None
-        if not target:
-            return False
-        at = urlsplit(target)
-        return (at.scheme, at.hostname, at.port) != self.origin or self.page_key(at.path) != self.key
-
-    def sweeps(self, root: int = -1) -> Iterator[tuple[str, str | None, str]]:
-        """(sweep, url as written, origin), in the order in which the first one of a URL wins."""
-        nodes, c = self.nodes, self.config
-        own = [i for i, n in enumerate(nodes) if n[3] == root]
-        below: dict[int, set] = {}
-        for i in own:
-            if nodes[i][0] == "video" and nodes[i][2] >= 0:
-                below.setdefault(nodes[i][2], set())
-        for i in own if below else ():
-            if nodes[i][0] == "img":
-                p = nodes[i][2]
-                while p >= 0:
-                    if p in below:
-                        below[p].add(i)
-                    p = nodes[p][2]
-        for i in own:
-            if nodes[i][0] == "video":
-                yield "video", nodes[i][1].get("poster"), "video"
-                for k in sorted(below.get(nodes[i][2], ())):
-                    yield "video", nodes[k][1].get("src"), "video"
-        for i in own:
-            if nodes[i][0] == "img":
-                a, origin = nodes[i][1], "other" if self.elsewhere(i) else "dom"
-                large = best_of(a.get("srcset"))
-                yield "img", a.get("src") or large or best_of(a.get("data-srcset")) or next((a[k] for k in c.lazy_attributes if a.get(k)), None), origin
-                yield "img", large, origin
-        media = ("picture", "video", "audio")
-        for i in own:
-            if nodes[i][0] == "source":
-                p = nodes[i][2]
-                while p >= 0 and nodes[p][0] not in media:
-                    p = nodes[p][2]
-                if p >= 0:
-                    yield "source", best_of(nodes[i][1].get("srcset")) or nodes[i][1].get("src"), "dom"
-        for i in own:
-            if "poster" in nodes[i][1]:
-                yield "poster", nodes[i][1]["poster"], "video"
-        for i in own:
-            tag, a = nodes[i][:2]
-            rel = (a.get("rel") or "").lower().split()  # selectors take rel in any case, as in its own
-            if tag == "link" and ("preload" in rel and a.get("as") == "image" or "image_src" in rel or "apple-touch-icon" in rel):
-                for u in (a.get("href"), best_of(a.get("imagesrcset"))):
-                    yield "link/meta", u, "meta" if self.carousel else "dom"
-        for i in own:
-            tag, a = nodes[i][:2]
-            if tag == "meta" and (a.get("property") in ("og:image", "og:image:url", "og:image:secure_url") or a.get("name") in ("twitter:image", "twitter:image:src") or a.get("itemprop") == "image"):
-                yield "link/meta", a.get("content"), "meta"
-        for i in own:
-            if nodes[i][0] == "image":
-                yield "svg", nodes[i][1].get("href") or nodes[i][1].get("xlink:href"), "dom"
-        for i in own[: c.styled_elements]:
-            tag, a = nodes[i][:2]
-            if tag == "template" and "shadowrootmode" in a:
-                yield from self.sweeps(i)
-            style = re.search(r"(?i)background(?:-image)?\s*:([^;]*(?:\([^)]*\)[^;]*)*)", a.get("style") or "")
-            for m in re.finditer(c.css_url, style[1]) if style else ():
-                yield "css", m[1], "dom"
-
-    def candidates(self) -> Iterator[tuple[str, str, str]]:
-        """(sweep, resolved URL, origin) of the whole page, its frames and its markup."""
-        for sweep, url, origin in self.sweeps():
-            if full := resolve_url(url, self.base):
-                yield sweep, full, origin
-        for tag, a, _, _ in self.nodes:
-            if tag == "iframe" and a.get("srcdoc"):
-                inner = _Page(self.base, a["srcdoc"], self.config)
-                for sweep, url, origin in inner.sweeps():
-                    if full := resolve_url(url, inner.base):
-                        yield sweep, full, origin
-        text = self.html.replace("\\u002F", "/").replace("\\u002f", "/").replace("\\/", "/")
-        for k, m in enumerate(re.finditer(self.config.image_url, text)):
-            if k == self.config.source_matches:
-                break
-            if full := resolve_url(m[0], self.base):
-                yield "raw source", full, "source"
-
-
-CANDIDATES = "page_id bigint, pos int, sweep string, url string, origin string, ui_asset boolean, order bigint"
-_CANDIDATE_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
+def tree(html: str) -> list[tuple[str, dict, int, int]]:
+    return parsed(html).nodes
+
+
+#: Attributes that a rule looks at.
+ATTRIBUTES = frozenset(("src", "srcset", "data-srcset", "href", "xlink:href", "rel", "as", "imagesrcset", "property", "name", "itemprop", "content", "poster", "style", "class", "id", "width", "height", *DEFAULT.lazy_attributes))
+DOM = "array<struct<pos:int,close:int,parent:int,root:int,nth:int,doc:int,path:array<int>,tag:string,attrs:map<string,string>,text:string>>"
 #: Pages parsed between two batches of rows.
 _PAGES = 64
 
 
-def candidates(pages: DataFrame, config: ExtractConfig = DEFAULT) -> DataFrame:
-    """A row per candidate of each page (page_id, url, html); ``order``: its number among those that first-wins
-    deduplication keeps, null for the others.
+def _frames(t: _Tree, base: str, given: list[dict] | None) -> Iterator[tuple[str, str]]:
+    """(base, html) of the page's own frames, in order: with their markup inline, or given by URL and of the same origin."""
+    pages = {f["url"]: f["html"] for f in given or ()}
+    origin = lambda u: u and (u.scheme, u.host, u.port)
+    for tag, attrs, _, root in t.nodes:
+        if tag in ("iframe", "frame") and root == t.root:
+            if attrs.get("srcdoc") and tag == "iframe":
+                yield base, attrs["srcdoc"]
+            elif (url := resolve(attrs.get("src"), base)) in pages and origin(parse(url)) == origin(parse(base)):
+                yield url, pages[url] or ""
+
+
+def _base(t: _Tree, url: str) -> str:
+    return next((resolve(a["href"], url) or url for tag, a, _, root in t.nodes if tag == "base" and a.get("href") and root == t.root), url)
+
+
+def dom(pages: DataFrame) -> DataFrame:
+    """Adds ``elements`` (DOM) and ``bases``, the base URL of each document of a page, to pages (url, html, ...).
 
-    A page is one row, so what must be seen page by page (order, the first of a URL) needs no shuffle. Rows that repeat
-    a page_id are pages of their own. A null html has no candidates.
+    close: pos of the last descendant; parent: -1 at the top of a root; nth: number within the root; doc: 0 for the page
+    itself, then its frames, one level deep; path: elements whose shadow roots lie around, from the outside. pages may
+    have ``frames``, an array of (url, html): a frame with another origin, or not among them, has no elements.
     """
+    given = "frames" in pages.columns
+    at = {c: i for i, c in enumerate(pages.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ui = re.compile(config.ui_asset)
         for b in (x.slice(i, _PAGES) for x in batches for i in range(0, x.num_rows, _PAGES)):
-            out: tuple[list, ...] = tuple([] for _ in range(7))
-            for page_id, url, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                seen: set = set()
-                for pos, (sweep, full, origin) in enumerate(_Page(url or "", html or "", config).candidates()):
-                    asset = bool(ui.search(full))
-                    order = None if asset or full in seen else len(seen)
-                    for o, x in zip(out, (page_id, pos, sweep, full, origin, asset, order), strict=True):
-                        o.append(x)
-                    if not asset:
-                        seen.add(full)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, _CANDIDATE_TYPES, strict=True)], names=["page_id", "pos", "sweep", "url", "origin", "ui_asset", "order"])
-
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, CANDIDATES)
+            ints: dict[str, list] = {c: [] for c in ("pos", "close", "parent", "root", "nth", "doc")}
+            tags, texts, path, path_at, keys, values, attr_at, rows, bases, bases_at = [], [], [], [0], [], [], [0], [0], [], [0]
+            frames = b.column(at["frames"]).to_pylist() if given else [None] * b.num_rows
+            for url, html, inner in zip(b.column(at["url"]).to_pylist(), b.column(at["html"]).to_pylist(), frames, strict=True):
+                top = parsed(html or "")
+                docs = [(top, _base(top, url or ""))]
+                first = len(top.nodes)
+                for frame_base, frame in _frames(top, docs[0][1], inner):
+                    t = parsed(frame, -2 - len(docs), first)
+                    docs.append((t, _base(t, frame_base)))
+                    first += len(t.nodes)
+                bases += [u for _, u in docs]
+                bases_at.append(len(bases))
+                for doc, (t, _) in enumerate(docs):
+                    counts: dict[int, int] = {}
+                    paths: dict[int, list[int]] = {t.root: []}
+                    for k, (tag, attrs, parent, root) in enumerate(t.nodes):
+                        if root == INERT or tag == "template":
+                            continue
+                        if root not in paths:  # its host came before
+                            paths[root] = [*paths.get(t.nodes[root - t.first][3], []), root]
+                        nth = counts[root] = counts.get(root, -1) + 1
+                        for c, v in zip(ints, (k + t.first, t.close_at[k] + t.first, parent + t.first if parent >= 0 else -1, root, nth, doc), strict=True):
+                            ints[c].append(v)
+                        tags.append(tag)
+                        texts.append(t.text.get(k))
+                        path += paths[root]
+                        path_at.append(len(path))
+                        for name, v in attrs.items():
+                            if name in ATTRIBUTES:
+                                keys.append(name)
+                                values.append(v)
+                        attr_at.append(len(keys))
+                rows.append(len(tags))
+            off = lambda x: pa.array(np.array(x, np.int32))
+            cols = [pa.array(v, pa.int32()) for v in ints.values()]
+            cols += [pa.ListArray.from_arrays(off(path_at), pa.array(path, pa.int32())), pa.array(tags, pa.string()), pa.MapArray.from_arrays(off(attr_at), pa.array(keys, pa.string()), pa.array(values, pa.string())), pa.array(texts, pa.string())]
+            found = pa.StructArray.from_arrays(cols, names=[*ints, "path", "tag", "attrs", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(off(rows), found), pa.ListArray.from_arrays(off(bases_at), pa.array(bases, pa.string()))], names=[*b.schema.names, "elements", "bases"])
+
+    made = T.StructType([*pages.schema.fields, *T._parse_datatype_string(f"elements {DOM}, bases array<string>").fields])
+    return pages.mapInArrow(run, made)
+
+
+def with_frames(pages: DataFrame, frames: DataFrame) -> DataFrame:
+    """Adds ``frames`` to pages, for `dom`; frames: (page_id, url, html), the documents that were loaded in frames."""
+    given = frames.groupBy("page_id").agg(F.collect_list(F.struct("url", "html")).alias("frames"))
+    return pages.join(given, "page_id", "left")
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, url): links of each page, resolved."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(p, k, h, resolve_url(h, u or "")) for p, u, html in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for k, h in enumerate(a["href"] for t, a, _, _ in tree(html or "") if t == "a" and a.get("href"))]
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["page_id", "pos", "href", "url"])
-
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, "page_id bigint, pos int, href string, url string")
+    rows = dom(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"))
+    links = F.filter("elements", lambda e: (e["doc"] == 0) & (e["tag"] == "a") & (F.coalesce(F.try_element_at(e["attrs"], F.lit("href")), F.lit("")) != ""))
+    hrefs = rows.select("page_id", "bases", F.transform(links, lambda e: F.try_element_at(e["attrs"], F.lit("href"))).alias("hrefs"))
+    urls = hrefs.withColumn("urls", resolved("hrefs", F.transform("hrefs", lambda h: F.lit(0)), "bases"))
+    return urls.select("page_id", F.posexplode(F.arrays_zip("hrefs", "urls")).alias("pos", "a")).select("page_id", "pos", F.col("a.hrefs").alias("href"), F.col("a.urls").alias("url"))
 
 
 ELEMENTS = "array<struct<pos:int,tag:string,label:string,role:string,in_link:boolean,laid_out:boolean,width:double,height:double,container:int,ancestors:array<int>>>"
@@ -273,7 +213,7 @@ def _elements(html: str) -> list[dict]:
     around, is not laid out."""
     nodes, out = tree(html), []
     for i, (tag, a, _, shadow) in enumerate(nodes):
-        if shadow >= 0 or tag != "img" and "aria-label" not in a:
+        if shadow != -2 or tag != "img" and "aria-label" not in a:
             continue
         around, p = [], nodes[i][2]
         while p >= 0:

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from pagelens.operators import controls, handoff, icons, raster, runlog, saving, scan
+from pagelens.operators import controls, handoff, icons, raster, runlog, saving, scan, sweeps
 from pagelens.sources import html as H
 from pagelens.sources import images as I
 
@@ -13,7 +13,7 @@ from pagelens.sources import images as I
 def test_last_payload_of_the_first_item_wins(spark):
     rows = [(1, 0, "com.apple.property-list", 0, "a"), (1, 0, "com.apple.binary-property-list", 1, "b"), (1, 0, "com.apple.property-list", 2, None), (1, 1, "com.apple.property-list", 3, "c"), (2, 0, "public.url", 0, "x"), (3, 1, "com.apple.property-list", 0, "y"), (4, 0, None, 0, None), (5, 0, "com.apple.property-list", 0, None)]
     got = {r.run_id: (r.n_attachments, r.n_providers, r.payload, r.failure) for r in handoff.received(spark.createDataFrame(rows, "run_id int, item int, type string, seq int, payload string")).collect()}
-    assert got == {1: (3, 3, "b", None), 2: (1, 0, None, handoff.NO_PROVIDER), 3: (0, 0, None, handoff.NO_ITEM), 4: (1, 0, None, handoff.NO_PROVIDER), 5: (1, 1, None, None)}
+    assert got == {1: (3, 3, "b", None), 2: (1, 0, None, handoff.NO_PROVIDER), 3: (0, 0, None, handoff.NO_ITEM), 4: (1, 0, None, handoff.NO_PROVIDER), 5: (1, 1, None, handoff.NOTHING)}
 
 
 def test_typed_rows_keep_their_places(spark):
@@ -24,12 +24,16 @@ def test_typed_rows_keep_their_places(spark):
     assert got[0].width == 0 and got[0].height == 3 and not got[0].is_other_post and got[-1].is_other_post and got[-1].height == 0
 
 
-def test_trace_of_pages_without_images(spark):
-    pages = spark.createDataFrame([(1, "https://www.instagram.com/u/", 0, 2, 9), (2, "https://h/", 1, 0, 8), (3, None, 0, 0, 7)], "page_id bigint, url string, n_sprites int, n_assets int, elapsed_ms int")
-    images = spark.createDataFrame([(2, 0, "img", "dom"), (2, 1, "css", "dom"), (2, 2, "img", "meta")], "page_id bigint, order bigint, sweep string, origin string")
-    got = {r.page_id: r.lines for r in handoff.trace(images, pages).collect()}
-    assert got[1] == ["UI部品の画像を除外: 2件", handoff.TRACE["not_judged"], "合計 0件 / 所要 9ms"]
-    assert got[2] == ["OGP画像: 1件", "アイコン枠の背景画像を除外: 1件", "取得元の内訳: img 2 / css 1", "合計 3件 / 所要 8ms"] and got[3] == ["合計 0件 / 所要 7ms"]
+def test_trace(spark):
+    rows = [(1, "https://www.instagram.com/u/", None, 9), (2, "https://h.example/", "<img src=a.png><meta itemprop=image content=m.png><i style='background:url(i.png);width:5px;height:5px'></i>", 8), (3, None, None, None), (4, "https://www.instagram.com/p/X/?img_index=4", "", 1)]
+    found = sweeps.occurrences(spark.createDataFrame(rows, "page_id bigint, url string, html string, elapsed_ms int").drop("elapsed_ms")).join(spark.createDataFrame([(r[0], r[3]) for r in rows], "page_id bigint, elapsed_ms int"), "page_id")
+    got = {r.page_id: r.lines for r in handoff.trace(found).collect()}
+    T = handoff.TRACE
+    assert got[1] == ["URL: https://www.instagram.com/u/", T["no_slide"], T["first"] % (0, 0), T["no_back"], T["no_next"], T["source"] % (0, 0), T["not_judged"], T["total"] % (0, 9)]
+    assert got[2][4:] == [T["elsewhere"], T["source"] % (0, 0), T["meta"] % 1, T["sprites"] % 2, T["sources"] % "img 1 / link/meta 1", T["total"] % (2, 8)]
+    assert got[3][-1] == T["total"] % (0, 0) and got[4][1:7] == [T["slide"] % "4", T["first"] % (0, 0), T["back"], T["no_previous"], T["no_next"], T["source"] % (0, 0)]
+    walked = found.where("page_id = 1").withColumn("steps", F.array(F.lit("次へ1回目: +0件 20ms")))
+    assert "次へ1回目: +0件 20ms" in handoff.trace(walked).first().lines
 
 
 def test_controls(spark):
