@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import carousel, controls, handoff, icons, raster, runlog, saving, scan, sweeps, view
 from ..sources import html as H
+from ..streaming import walk
 
 ID = "CAST(page_id AS STRING)"
 BS = "chr(92)"
@@ -218,6 +219,17 @@ def carousel_dedup(spark, d):
     return carousel.first_seen(found).select("page_id", "url", "step", "order")
 
 
+POLLS = """conv_id AS page_id, turn AS seq, CAST(turn * 100 AS INT) AS elapsed_ms, CASE WHEN conv_id % 5 = 4 THEN 'https://h.example/' ELSE 'https://www.instagram.com/p/' || CASE WHEN conv_id % 5 = 3 AND turn >= 3 THEN 'gone' ELSE 'here' END || '/' || CASE WHEN conv_id % 3 = 0 THEN '?img_index=4' ELSE '' END END AS url,
+ CAST(turn AS STRING) AS signature, conv_id % 7 <> 5 AS has_next, turn < 3 AS has_previous, array(struct('https://slide/' || role AS url, 'dom' AS origin), struct('https://slide/' || CAST(turn % 4 AS STRING) AS url, 'meta' AS origin)) AS images,
+ array(struct('https://behind/' || CAST(turn AS STRING) AS url, 'dom' AS origin)) AS extra, array('https://source/x', 'https://slide/0') AS source"""
+
+
+def slide_walk(spark, d):
+    """Each conversation as a page that is walked, a poll a turn: back and forth, beyond a page, or nowhere."""
+    polls = spark.read.parquet(f"{d}/conversations.parquet").selectExpr(*_split(POLLS))
+    return walk.walked(polls).where("kind = 'image'").select("page_id", "url", "origin", "order")
+
+
 def slide_change_points(spark, d):
     turns = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", "array(role, text, CAST(turn div 2 AS STRING)) AS shown")
     return carousel.change_points(turns, "conv_id", ["turn"], "shown").select("conv_id", "turn", "signature", "changed")
@@ -362,4 +374,4 @@ def glyph_bounds(spark, d):
     return out.groupBy("page_id").agg(F.count("*").alias("n_segments"), *[box(f, g, c).alias(f"{n}_{c}") for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest)) for c in "xy"])
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_change_points, run_log_lines, raster_downsample, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}

@@ -64,6 +64,16 @@ SQL = {
     "carousel_dedup": f"""WITH {SNAPSHOTS}, f AS (SELECT page_id, step, backward, 0 AS n, 'https://slide/' || role AS url FROM s UNION ALL SELECT page_id, step, backward, 1, 'https://slide/' || (turn % 4) FROM s),
  k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY step, n) = 1)
  SELECT page_id, url, step, CASE WHEN backward THEN -(step * 1000) + row_number() OVER (PARTITION BY page_id, step ORDER BY n) - 1 ELSE row_number() OVER (PARTITION BY page_id ORDER BY step, n) - 1 END::BIGINT AS "order" FROM k""",
+    "slide_walk": """WITH c AS (SELECT *, conv_id % 5 = 4 AS away, conv_id % 3 = 0 AS back, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+ -- the poll at which a walk ends: of another site at once; without a way on once it is needed; at a change of page; or never, with time up at the last poll
+ t AS (SELECT *, least(last, CASE WHEN away THEN 0 WHEN conv_id % 7 = 5 THEN CASE WHEN back THEN 3 ELSE 0 END ELSE last END, CASE WHEN conv_id % 5 = 3 THEN 3 ELSE last END) AS ends FROM c),
+ -- block 1 to 3: finds of the way back; it still counts if the walk ends before the turn
+ f AS (SELECT conv_id, turn, k, url, origin, CASE WHEN away OR NOT back THEN 0 WHEN stage = 0 AND turn = 0 THEN 0 WHEN stage = 0 AND turn <= 3 THEN turn WHEN stage > 0 AND ends < 3 THEN ends + 1 WHEN stage > 0 AND ends = 3 AND conv_id % 5 = 3 THEN 3 ELSE 0 END AS block, stage FROM (
+  SELECT *, 0 AS stage, unnest([1, 2, 3]) AS k, unnest(['https://slide/' || role, 'https://slide/' || (turn % 4), CASE WHEN turn = 0 THEN 'https://behind/0' END]) AS url, unnest(['dom', 'meta', 'dom']) AS origin FROM t WHERE turn <= ends AND NOT (conv_id % 5 = 3 AND turn = 3 AND ends = 3)
+  UNION ALL SELECT *, 1, unnest([1, 2, 3]), unnest(['https://slide/' || role, 'https://slide/' || (turn % 4), 'https://behind/' || turn]), unnest(['dom', 'meta', 'dom']) FROM t WHERE turn = ends
+  UNION ALL SELECT *, 2, unnest([1, 2]), unnest(['https://source/x', 'https://slide/0']), unnest(['source', 'source']) FROM t WHERE turn = ends)),
+ k AS (SELECT * FROM f WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, url ORDER BY stage, turn, k) = 1)
+ SELECT conv_id AS page_id, url, origin, CASE WHEN block > 0 THEN -1000 * block + row_number() OVER (PARTITION BY conv_id, block ORDER BY stage, turn, k) - 1 ELSE row_number() OVER (PARTITION BY conv_id, block ORDER BY stage, turn, k) - 1 END::BIGINT AS "order" FROM k""",
     "slide_change_points": "WITH s AS (SELECT conv_id, turn, '3:' || right(role, 24) || ',' || right(text, 24) || ',' || (turn // 2) || ',' AS signature FROM conversations) SELECT conv_id, turn, signature, lag(signature) OVER w IS NULL OR lag(signature) OVER w <> signature AS changed FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     "run_log_lines": """WITH r AS (SELECT conv_id AS run_id, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS k, turn AS seq, CASE WHEN role = 'user' AND turn % 4 = 2 THEN '[ERR] ' ELSE '' END || text AS line FROM conversations),
  a AS (SELECT * FROM r UNION ALL SELECT DISTINCT run_id, k, -1, ['=== 読み込み ===', '=== 今回の保存 ===', '=== 前回の記録 ==='][k + 1] FROM r)

@@ -1,31 +1,10 @@
-"""Slides as a stream: the first attributes of each URL of a page win, across batches."""
+"""Slides as a stream: distinct URLs of a page, across batches; streaming.walk has the walk itself."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def first_urls(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Distinct (page_id, url) of a stream with a time column ts; state is let go behind the watermark."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["page_id", "url"])
-
-
-def first_rows(stream: DataFrame) -> DataFrame:
-    """(page_id, url, origin, order) at first sight, counted per page; state per page is its URLs."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
-        known, out = set(seen), []
-        for r in pd.concat(list(frames)).sort_values(["step", "n"], kind="stable").itertuples():
-            if r.url not in known:
-                known.add(r.url)
-                out.append((key[0], r.url, r.origin, len(seen)))
-                seen.append(r.url)
-        state.update((seen,))
-        yield pd.DataFrame(out, columns=["page_id", "url", "origin", "order"])
-
-    return stream.groupBy("page_id").applyInPandasWithState(step, "page_id long, url string, origin string, order long", "seen array<string>", "append", GroupStateTimeout.NoTimeout)

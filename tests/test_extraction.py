@@ -13,7 +13,6 @@ from pagelens.functions import columns as C
 from pagelens.operators import carousel, raster, runlog, scan, view
 from pagelens.sources import urls as U
 from pagelens.sources import images as I
-from pagelens.streaming import slides
 
 
 def one(spark, column, **values):
@@ -164,13 +163,3 @@ def test_raster(spark):
     assert out == {(0, 0): 1, (0, 1): 1, (1, 0): 1, (1, 1): 1}
     corner = spark.range(1).select(raster.arc(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(math.pi), F.lit(math.pi / 2)).alias("p")).select("p", F.size(raster.polyline(F.col("p"))).alias("n")).first()
     assert corner.n == 8 and abs(corner.p[0].x + 2) < 1e-9 and abs(corner.p[8].y - 2) < 1e-9
-
-
-def test_first_rows_of_a_stream(spark, tmp_path):
-    rows = [(1, 1, 0, "u", "dom"), (1, 1, 1, "v", "meta"), (1, 2, 0, "u", "source"), (2, 1, 0, "u", "video")]
-    schema = "page_id bigint, step int, n int, url string, origin string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = slides.first_rows(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("first_rows").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(tuple(r) for r in spark.table("first_rows").collect()) == [(1, "u", "dom", 0), (1, "v", "meta", 1), (2, "u", "video", 0)]
