@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.images import png_of
+
 
 def segment_distance(px: Column, py: Column, s: Column) -> Column:
     """From a point to a segment (ax, ay, bx, by); a segment without length is its first point."""
@@ -52,3 +54,9 @@ def downsample(pixels: DataFrame, size: int, target: int, by: list[str]) -> Data
         edges = [int(i * step) for i in range(target)]
         tile = lambda v: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(v))) - 1
     return pixels.groupBy(*by, tile("y").cast("int").alias("ty"), tile("x").cast("int").alias("tx")).agg(F.bround(F.avg("alpha")).cast("int").alias("alpha"))
+
+
+def to_png(pixels: DataFrame, size: int, by: list[str]) -> DataFrame:
+    """(by..., png): each drawing's pixels (by..., y, x, alpha) as the bytes of a file, ``size`` pixels wide."""
+    drawn = pixels.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y", "x", "alpha"))).alias("p"))
+    return drawn.select(*by, png_of(F.transform("p", lambda p: p["alpha"].cast("int")), F.lit(size)).alias("png"))

@@ -44,15 +44,17 @@ def _latest(fetched: DataFrame) -> DataFrame:
 
 
 def thumbnails(images: DataFrame, fetched: DataFrame, longest: int = THUMBNAIL) -> DataFrame:
-    """(id, w, h, thumb_w, thumb_h, failed) of images that were fetched, whatever the status said.
+    """(id, w, h, thumb_w, thumb_h, failed, png) of images that were fetched, whatever the status said.
 
-    w, h: the size in the header, before orientation. A thumbnail only ever shrinks. Bytes without a size have failed.
+    w, h: the size in the header, before orientation. A thumbnail only ever shrinks, but for a drawing (SVG), which has no
+    pixel size and is drawn to fit. Bytes without a size, and PNG and GIF that can't be decoded whole, have failed.
     """
-    sized = images.join(_latest(fetched), "url").select("id", I.pixel_size(F.col("f.content")).alias("size"))
-    scale = F.least(F.lit(1.0), longest / F.greatest("size.w", "size.h", F.lit(1.0)))
-    shrunk = lambda c: F.greatest(F.lit(1), F.bround(F.col(f"size.{c}") * scale).cast("int"))
-    known = F.col("size.w").isNotNull()
-    return sized.select("id", "size.w", "size.h", F.when(known, shrunk("w")).alias("thumb_w"), F.when(known, shrunk("h")).alias("thumb_h"), (~known).alias("failed"))
+    got = images.join(_latest(fetched), "url").select("id", _drawing(F.col("url")).alias("drawing"), F.col("f.content").alias("content"))
+    return I.with_thumbnails(got, longest)
+
+
+def _drawing(url: Column) -> Column:
+    return F.coalesce(F.lower(C.extension(url)) == "svg", F.lit(False))
 
 
 def shown(images: DataFrame, thumbnail_ids: DataFrame, failed: DataFrame, full_ids: DataFrame | None = None) -> DataFrame:
@@ -89,7 +91,7 @@ def saved(images: DataFrame, fetched: DataFrame, prefix: str = "image", order: s
     A status beyond 2xx and bytes that are no image are errors; a missing fetch is a save cut off. Bytes are kept as
     they came. A drawing (SVG) has a .png name and no bytes here: nothing draws it, its markup is in ``fetched``.
     """
-    drawing = F.lower(C.extension(F.col("url"))) == "svg"
+    drawing = _drawing(F.col("url"))
     rows = images.join(_latest(fetched), "url", "left")
     status, content = F.col("f.status"), F.col("f.content")
     markup = F.contains(content, F.lit("<svg").cast("binary"))  # XML minds the case

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import carousel, controls, handoff, icons, raster, runlog, saving, scan, sweeps, view
 from ..sources import html as H
+from ..sources import images as I
 from ..streaming import walk
 
 ID = "CAST(page_id AS STRING)"
@@ -240,13 +241,25 @@ def run_log_lines(spark, d):
     return runlog.log_lines(rows)
 
 
-def raster_downsample(spark, d):
-    """A segment per page drawn on a 16 x 16 canvas and averaged down to 5 x 5."""
+def _drawn(spark, d):
+    """A segment per page drawn on a 16 x 16 canvas."""
     p = _pages(spark, d).select("page_id", *[F.explode(F.sequence(F.lit(0), F.lit(15))).alias("y")])
     p = p.select("page_id", "y", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("x"))
     end = lambda k: (F.col("page_id") * k % 17 / 16.0).cast("double")
     segments = F.array(F.struct(F.lit(0.25).alias("ax"), end(3).alias("ay"), end(5).alias("bx"), F.lit(0.75).alias("by")))
-    return raster.downsample(p.select("page_id", "y", "x", raster.coverage(segments, F.col("x"), F.col("y"), 16, 0.1).alias("alpha")), 16, 5, ["page_id"]).select("page_id", "ty", "tx", "alpha")
+    return p.select("page_id", "y", "x", raster.coverage(segments, F.col("x"), F.col("y"), 16, 0.1).alias("alpha"))
+
+
+def raster_downsample(spark, d):
+    """The drawings averaged down to 5 x 5."""
+    return raster.downsample(_drawn(spark, d), 16, 5, ["page_id"]).select("page_id", "ty", "tx", "alpha")
+
+
+def thumbnail_pixels(spark, d):
+    """The drawings as PNG files, decoded, shrunk to 4 x 4, encoded and decoded again."""
+    files = raster.to_png(_drawn(spark, d), 16, ["page_id"]).select(F.col("page_id").alias("id"), F.lit(False).alias("drawing"), F.col("png").alias("content"))
+    made = I.with_thumbnails(files, 4).select(F.col("id").alias("page_id"), "w", "thumb_h", F.posexplode(I.pixels_of("png")).alias("pos", "rgba"))
+    return made.select("page_id", "w", "thumb_h", F.floor(F.col("pos") / 4).cast("int").alias("ty"), (F.col("pos") % 4).alias("tx"), F.col("rgba")[3].alias("alpha"))
 
 
 CONTROLS = f"""html || CASE WHEN page_id % 7 = 0 THEN '<a href="/x"><button aria-label="Next">x</button></a><button aria-label="Next" style="color: red; display: none">y</button>' ELSE '' END
@@ -321,9 +334,11 @@ def frame_images(spark, d):
 
 
 def _fetched(spark, d):
-    """A fetched row for most images: headers of PNG files of a size by page, other bytes, or drawings."""
-    size = lambda c: f"lpad(hex(CAST({c} AS BIGINT)), 8, '0')"
-    body = f"""CASE WHEN id % 7 = 3 THEN encode('<html>', 'UTF-8') WHEN id % 6 = 5 THEN encode('<?xml version="1.0"?><svg/>', 'UTF-8') ELSE unhex('89504E470D0A1A0A0000000D49484452' || {size('id * 31 % 900 + 1')} || {size('id * 17 % 700 + 1')} || '08060000') END"""
+    """A fetched row for most images: headers of WebP files of a size by page, drawings, or other bytes."""
+    w, h = "CAST(id * 31 % 900 AS BIGINT)", "CAST(id * 17 % 700 AS BIGINT)"
+    size = lambda c: f"lpad(hex({c} % 256), 2, '0') || lpad(hex({c} div 256), 2, '0') || '00'"
+    drawing = f"""'<?xml version="1.0"?><svg width="' || ({w} + 1) || 'px" ' || CASE WHEN id % 4 = 1 THEN 'height="' || ({h} + 1) || '"' ELSE 'viewBox="0 0 1 ' || ({h} + 1) || '"' END || '/>'"""
+    body = f"""CASE WHEN id % 7 = 3 THEN encode('<html>', 'UTF-8') WHEN id % 6 = 5 THEN encode({drawing}, 'UTF-8') ELSE unhex('5249464600000000574542505650385800000000' || '00000000' || {size(w)} || {size(h)}) END"""
     return _images(spark, d)[0].where("id % 5 <> 4").selectExpr("url", "CASE WHEN id % 8 = 2 THEN 404 ELSE 200 END AS status", f"{body} AS content")
 
 
@@ -374,4 +389,4 @@ def glyph_bounds(spark, d):
     return out.groupBy("page_id").agg(F.count("*").alias("n_segments"), *[box(f, g, c).alias(f"{n}_{c}") for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest)) for c in "xy"])
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}

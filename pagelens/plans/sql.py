@@ -29,6 +29,10 @@ EXPECTED = f"""x AS (SELECT page_id, page_id % 3 = 1 AS post, regexp_extract({PO
 SNAPSHOTS = "s AS (SELECT conv_id AS page_id, CAST(turn AS INT) + 1 AS step, conv_id % 3 = 0 AS backward, role, turn FROM conversations WHERE turn + 1 <= 30 AND turn * 120 <= 900 AND NOT (conv_id % 10 = 0 AND turn >= 3))"
 D = lambda k: f"(page_id * {k} % 17 / 16.0)"
 
+DRAWN = f"""p AS (SELECT page_id, y, x, (x + 0.5) / 16 AS px, (y + 0.5) / 16 AS py, 0.25::DOUBLE AS ax, {D(3)}::DOUBLE AS ay, {D(5)}::DOUBLE - 0.25 AS dx, 0.75 - {D(3)}::DOUBLE AS dy FROM pages, range(16) a(y), range(16) b(x)),
+ t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM p),
+ c AS (SELECT page_id, y, x, CASE WHEN px BETWEEN least(ax, ax + dx) - 0.05 AND greatest(ax, ax + dx) + 0.05 AND py BETWEEN least(ay, ay + dy) - 0.05 AND greatest(ay, ay + dy) + 0.05 THEN greatest(0, least(255, round_even(((0.05 - sqrt(pow(px - (ax + dx * t), 2) + pow(py - (ay + dy * t), 2))) * 16 + 0.5) * 255, 0))) ELSE 0 END::INT AS alpha FROM t)"""
+
 SQL = {
     "source_scan_urls": f"WITH m AS (SELECT page_id, unnest({MATCHES}) AS url FROM (SELECT page_id, {INJECTED} AS html FROM pages)) SELECT DISTINCT page_id, url, {LABEL} AS format FROM m WHERE NOT regexp_matches(url, '{UI}')",
     "source_scan_cap": f"SELECT page_id, len({MATCHES})::BIGINT AS n_matches, len(list_distinct({MATCHES}))::BIGINT AS n_urls FROM (SELECT page_id, {MANY} AS html FROM pages)",
@@ -78,9 +82,7 @@ SQL = {
     "run_log_lines": """WITH r AS (SELECT conv_id AS run_id, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS k, turn AS seq, CASE WHEN role = 'user' AND turn % 4 = 2 THEN '[ERR] ' ELSE '' END || text AS line FROM conversations),
  a AS (SELECT * FROM r UNION ALL SELECT DISTINCT run_id, k, -1, ['=== 読み込み ===', '=== 今回の保存 ===', '=== 前回の記録 ==='][k + 1] FROM r)
  SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY k, seq)::INT AS line_no, line FROM a""",
-    "raster_downsample": f"""WITH p AS (SELECT page_id, y, x, (x + 0.5) / 16 AS px, (y + 0.5) / 16 AS py, 0.25::DOUBLE AS ax, {D(3)}::DOUBLE AS ay, {D(5)}::DOUBLE - 0.25 AS dx, 0.75 - {D(3)}::DOUBLE AS dy FROM pages, range(16) a(y), range(16) b(x)),
- t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM p),
- c AS (SELECT page_id, y, x, CASE WHEN px BETWEEN least(ax, ax + dx) - 0.05 AND greatest(ax, ax + dx) + 0.05 AND py BETWEEN least(ay, ay + dy) - 0.05 AND greatest(ay, ay + dy) + 0.05 THEN greatest(0, least(255, round_even(((0.05 - sqrt(pow(px - (ax + dx * t), 2) + pow(py - (ay + dy * t), 2))) * 16 + 0.5) * 255, 0))) ELSE 0 END::INT AS alpha FROM t),
+    "raster_downsample": f"""WITH {DRAWN},
  g AS (SELECT page_id, least(y // 3, 4) AS ty0, * EXCLUDE (page_id) FROM c)
  SELECT page_id, ty::INT AS ty, tx::INT AS tx, round_even(avg(alpha), 0)::INT AS alpha FROM (SELECT page_id, alpha, CASE WHEN y < 3 THEN 0 WHEN y < 6 THEN 1 WHEN y < 9 THEN 2 WHEN y < 12 THEN 3 ELSE 4 END AS ty, CASE WHEN x < 3 THEN 0 WHEN x < 6 THEN 1 WHEN x < 9 THEN 2 WHEN x < 12 THEN 3 ELSE 4 END AS tx FROM c) GROUP BY ALL""",
     "page_controls": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Next' END AS next_label, CASE WHEN NOT (page_id % 4 = 0 OR page_id % 30 <= 20) THEN '戻る' END AS previous_label, CASE WHEN page_id % 4 = 0 OR page_id % 30 <= 20 THEN 20 ELSE 10 END::DOUBLE AS picture_height FROM pages",
@@ -125,11 +127,12 @@ SQL = {
     "resolve_anchor_urls": """WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, unnest(l) AS href, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) AS l FROM pages))
  SELECT page_id, pos::INT AS pos, href, site || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url FROM a""",
     "saved_files": f"""WITH {I}, r AS (SELECT id, url, {EXT} AS ext, CASE WHEN id % 5 = 4 THEN '保存が中断されました' WHEN id % 8 = 2 THEN 'ダウンロード失敗 (HTTP 404)' WHEN id % 7 = 3 THEN '画像を読み込めませんでした' END AS error, md5(id || ' ' || url) AS m FROM i WHERE id % 4 = 0)
- SELECT id, id AS seq, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN 'image-' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '.' || CASE WHEN id % 6 = 5 THEN 'png' WHEN ext = '' THEN 'jpg' ELSE ext END END AS name, CASE WHEN error IS NULL AND id % 6 <> 5 THEN 28 ELSE 0 END::BIGINT AS n_bytes FROM r""",
-    "thumbnail_states": f"""WITH {I}, p AS (SELECT id, id % 3 = 0 AND id % 5 <> 4 AS fetched, id % 7 <> 3 AND id % 6 <> 5 AS sized, (id * 31 % 900 + 1)::DOUBLE AS pw, (id * 17 % 700 + 1)::DOUBLE AS ph FROM i),
- c AS (SELECT *, least(1.0::DOUBLE, 300.0::DOUBLE / greatest(pw, ph)) AS z FROM p)
+ SELECT id, id AS seq, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN 'image-' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '.' || CASE WHEN id % 6 = 5 THEN 'png' WHEN ext = '' THEN 'jpg' ELSE ext END END AS name, CASE WHEN error IS NULL AND id % 6 <> 5 THEN 30 ELSE 0 END::BIGINT AS n_bytes FROM r""",
+    "thumbnail_pixels": f"WITH {DRAWN} SELECT page_id, 16.0::DOUBLE AS w, 4::INT AS thumb_h, (y // 4)::INT AS ty, (x // 4)::INT AS tx, round_even(avg(alpha), 0)::INT AS alpha FROM c GROUP BY ALL",
+    "thumbnail_states": f"""WITH {I}, p AS (SELECT id, id % 3 = 0 AND id % 5 <> 4 AS fetched, id % 7 <> 3 AS sized, id % 6 = 5 AS drawing, (id * 31 % 900 + 1)::DOUBLE AS pw, (id * 17 % 700 + 1)::DOUBLE AS ph FROM i),
+ c AS (SELECT *, CASE WHEN drawing THEN 300.0::DOUBLE / greatest(pw, ph) ELSE least(1.0::DOUBLE, 300.0::DOUBLE / greatest(pw, ph)) END AS z FROM p)
  SELECT id, CASE WHEN id % 12 = 0 THEN 'full' WHEN fetched AND sized THEN 'thumbnail' WHEN fetched THEN 'failed' ELSE 'waiting' END AS shows, NOT fetched AND id % 10 <> 1 AS to_fetch,
- CASE WHEN fetched AND sized THEN pw END AS w, CASE WHEN fetched AND sized THEN ph END AS h, CASE WHEN fetched AND sized THEN greatest(1, round_even(pw * z, 0)) ELSE 0 END::INT AS thumb_w, CASE WHEN fetched AND sized THEN greatest(1, round_even(ph * z, 0)) ELSE 0 END::INT AS thumb_h FROM c""",
+ CASE WHEN fetched AND sized AND NOT drawing THEN pw END AS w, CASE WHEN fetched AND sized AND NOT drawing THEN ph END AS h, CASE WHEN fetched AND sized THEN greatest(1, round_even(pw * z, 0)) ELSE 0 END::INT AS thumb_w, CASE WHEN fetched AND sized THEN greatest(1, round_even(ph * z, 0)) ELSE 0 END::INT AS thumb_h FROM c""",
     "status_texts": "SELECT page_id::BIGINT AS id, CASE page_id % 3 WHEN 0 THEN '待機中' WHEN 1 THEN '保存中 ' || page_id || '/' || (page_id + 5) ELSE '完了 成功' || page_id || ' 失敗' || (page_id + 5) END AS status, CASE page_id % 4 WHEN 0 THEN '拒否' WHEN 1 THEN '一部のみ許可' ELSE '不明' END AS permission FROM pages",
     "run_log_text": """WITH l AS (SELECT page_id AS run_id, 1 AS k, '実行 #' || CASE WHEN page_id > 3 THEN page_id + 1 ELSE 1 END || '  ' || strftime(make_timestamp((1700000000 + page_id * 61) * 1000000), '%m/%d %H:%M:%S') || '  ' || CASE WHEN page_id % 4 = 0 THEN '?' WHEN page_id % 2 = 1 THEN 'v1.2 (7)' ELSE 'v1.2 (?)' END AS line FROM pages
  UNION ALL SELECT page_id, 2, '=== 今回の保存 ===' FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT page_id, 3, CASE WHEN page_id % 3 = 1 THEN '[ERR] ' ELSE '' END || url FROM pages WHERE page_id % 3 <> 0) SELECT run_id, k AS line_no, line FROM l""",
