@@ -17,6 +17,25 @@ CANCELLED = "保存が中断されました"
 HTTP_ERROR = "ダウンロード失敗 (HTTP %d)"
 STATES = {"idle": "待機中", "saving": "保存中 %d/%d", "finished": "完了 成功%d 失敗%d"}
 PERMISSIONS = {"not_determined": "未確認", "restricted": "制限あり", "denied": "拒否", "authorized": "許可", "limited": "一部のみ許可"}
+LOG = {
+    "none": "保存対象が0件です",
+    "begin": "保存開始: %d件",
+    "usage": "説明文の有無: あり",
+    "no_usage": "説明文の有無: なし(致命的)",
+    "permission": "権限状態: %s",
+    "unasked": "未許可のため中止(本体アプリで許可が必要)",
+    "denied": "写真へのアクセスが拒否されました",
+    "ok": "OK: %s",
+    "failed": "失敗: %s — %s",
+    "end": "完了: 成功%d 失敗%d",
+}
+#: What the user is told when a save can't begin; {app}: the app's name.
+MESSAGES = {
+    "none": "画像が選択されていません",
+    "no_usage": "アプリの設定不備です(写真アクセスの説明文が未設定)。開発者に報告してください。",
+    "unasked": "先にホーム画面の「{app}」アプリを開き、「写真への保存を許可する」をタップしてください。",
+    "denied": "写真へのアクセスが許可されていません。\n「設定」→「プライバシーとセキュリティ」→「写真」→「{app}」で許可してください。",
+}
 THUMBNAIL, FULL = 300, 2048
 
 
@@ -121,3 +140,62 @@ def permission_text(code: Column) -> Column:
     for k, v in PERMISSIONS.items():
         out = F.when(code == k, v).otherwise(out)
     return out
+
+
+def guard(runs: DataFrame) -> Column:
+    """Why a save can't begin, by the first check that fails: a key of MESSAGES, or null.
+
+    runs: (n_selected, usage_text: whether the app says why it needs photos, permission: a key of PERMISSIONS).
+    """
+    allowed = F.coalesce(F.col("permission").isin("authorized", "limited"), F.lit(False))
+    return (
+        F.when(F.coalesce("n_selected", F.lit(0)) == 0, "none")
+        .when(~F.coalesce("usage_text", F.lit(False)), "no_usage")
+        .when(F.col("permission") == "not_determined", "unasked")
+        .when(~allowed, "denied")
+    )
+
+
+def _texts(key: Column, texts: dict[str, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for k, v in texts.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
+
+
+def outcomes(runs: DataFrame, results: DataFrame, app: str = "pagelens") -> DataFrame:
+    """(run_id, n_selected, usage_text, permission, stopped, succeeded, failed, message) of each run.
+
+    results: (run_id, seq, ok, error), an image each. A run that can't begin saves nothing: all it selected has failed,
+    and the message says why. Else the message is the last error in save order, if there was one.
+    """
+    tally = results.groupBy("run_id").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("bad"), F.expr("max_by(error, seq) FILTER (WHERE NOT ok)").alias("last"))
+    rows = runs.withColumn("stopped", guard(runs)).join(tally, "run_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    why = _texts(F.col("stopped"), {k: v.format(app=app) for k, v in MESSAGES.items()})
+    held = F.col("stopped").isNotNull()
+    return rows.select("run_id", "n_selected", "usage_text", "permission", "stopped", F.when(held, 0).otherwise(n(F.col("ok"))).alias("succeeded"), F.when(held, n(F.col("n_selected"))).otherwise(n(F.col("bad"))).alias("failed"), F.when(held, why).otherwise(F.col("last")).alias("message"))
+
+
+def save_log(done: DataFrame, results: DataFrame) -> DataFrame:
+    """(run_id, part, seq, line, is_error): the log of each save. Lines sort by part, then seq; no run is gathered for it.
+
+    done: as `outcomes` makes it; results: (run_id, seq, url, ok, error). A run that can't begin has no lines of images.
+    """
+    stopped, line = F.col("stopped"), lambda part, text, wrong=False: F.struct(F.lit(part).alias("part"), text.alias("line"), F.lit(wrong).alias("is_error"))
+    text = lambda key: F.lit(LOG[key])
+    going = F.coalesce(stopped != "none", F.lit(True))
+    asked = going & F.coalesce(stopped != "no_usage", F.lit(True))
+    lines = F.array(
+        F.when(stopped == "none", line(0, text("none"), True)),
+        F.when(going, line(0, F.format_string(LOG["begin"], F.col("n_selected")))),
+        F.when(stopped == "no_usage", line(1, text("no_usage"), True)).when(going, line(1, text("usage"))),
+        F.when(asked, line(2, F.format_string(LOG["permission"], permission_text(F.col("permission"))))),
+        F.when(stopped == "unasked", line(3, text("unasked"), True)).when(stopped == "denied", line(3, text("denied"), True)),
+        F.when(stopped.isNull(), line(5, F.format_string(LOG["end"], F.col("succeeded"), F.col("failed")))),
+    )
+    own = done.select("run_id", F.explode(F.array_compact(lines)).alias("l")).select("run_id", "l.part", F.lit(0).cast("bigint").alias("seq"), "l.line", "l.is_error")
+    name = F.coalesce(F.nullif(F.regexp_extract(C.path(F.col("url")), r"([^/]*)/*$", 1), F.lit("")), F.lit("/"))
+    said = F.when(F.col("ok"), F.format_string(LOG["ok"], name)).otherwise(F.format_string(LOG["failed"], name, F.col("error")))
+    images = results.join(done.where(stopped.isNull()).select("run_id"), "run_id", "left_semi")
+    return own.union(images.select("run_id", F.lit(4).alias("part"), F.col("seq").cast("bigint").alias("seq"), said.alias("line"), (~F.col("ok")).alias("is_error")))

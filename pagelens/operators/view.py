@@ -95,26 +95,6 @@ def all_selected(shown: DataFrame, selected: DataFrame) -> DataFrame:
     return marked.agg(F.coalesce(F.every(F.coalesce("on", F.lit(False))), F.lit(False)).alias("all_selected"))
 
 
-def save_results(images: DataFrame, fetched: DataFrame) -> DataFrame:
-    """(id, ok, error, extension): images joined with fetched rows (url, status, content, decodable), once per URL."""
-    one = fetched.groupBy("url").agg(F.max_by(F.struct("status", "decodable"), "status").alias("f"))
-    out = images.join(one, "url", "left")
-    error = (
-        F.when(F.col("f").isNull(), "not fetched")
-        .when(~F.col("f.status").between(200, 299), F.concat(F.lit("HTTP "), F.col("f.status").cast("string")))
-        .when(~F.col("f.decodable"), "not an image")
-    )
-    return out.select("id", error.isNull().alias("ok"), error.alias("error"), C.save_extension(F.col("url")).alias("extension"))
-
-
 def save_tally(results: DataFrame) -> DataFrame:
     """One row: saved, failed, and the last error in save order."""
     return results.agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.expr("max_by(error, id) FILTER (WHERE NOT ok)").alias("message"))
-
-
-def save_guard(n_selected: int, usage_text: bool, decided: bool, allowed: bool) -> str | None:
-    """Why a save can't begin, in the order of the checks; None if it can."""
-    for ok, why in ((n_selected > 0, "empty"), (usage_text, "usage text missing"), (decided, "permission not asked"), (allowed, "permission denied")):
-        if not ok:
-            return why
-    return None

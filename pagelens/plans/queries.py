@@ -203,8 +203,24 @@ def all_selected(spark, d):
 
 def save_tally(spark, d):
     images, _, _, selected = _images(spark, d)
-    fetched = images.where("id % 5 <> 4").selectExpr("url", "CASE WHEN id % 7 = 3 THEN 404 ELSE 200 END AS status", "id % 6 <> 2 AS decodable")
-    return view.save_tally(view.save_results(images.join(selected, "id", "left_semi"), fetched))
+    return view.save_tally(saving.saved(images.join(selected, "id", "left_semi"), _fetched(spark, d)))
+
+
+def _saves(spark, d):
+    """Conversations as runs of a save, turns as images."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").where("conv_id % 6 <> 5")
+    results = turns.selectExpr("conv_id AS run_id", "turn AS seq", "'https://h.example/' || role || '/' || CAST(turn AS STRING) || '.png?x=/y' AS url", "turn % 3 <> 1 AS ok").withColumn("error", F.when(~F.col("ok"), F.format_string(saving.HTTP_ERROR, F.col("seq") + 500)))
+    every = spark.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("run_id")).agg(F.count_if(F.col("conv_id") % 6 != 5).alias("n_selected"))
+    runs = every.selectExpr("run_id", "n_selected", "run_id % 5 <> 4 AS usage_text", "element_at(array('authorized', 'limited', 'denied', 'not_determined', 'other'), CAST(run_id % 7 % 5 AS INT) + 1) AS permission")
+    return saving.outcomes(runs, results), results
+
+
+def save_outcomes(spark, d):
+    return _saves(spark, d)[0].select("run_id", "succeeded", "failed", "message")
+
+
+def save_log(spark, d):
+    return saving.save_log(*_saves(spark, d))
 
 
 def badge_text(spark, d):
@@ -389,4 +405,4 @@ def glyph_bounds(spark, d):
     return out.groupBy("page_id").agg(F.count("*").alias("n_segments"), *[box(f, g, c).alias(f"{n}_{c}") for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest)) for c in "xy"])
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, save_outcomes, save_log, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}

@@ -33,6 +33,10 @@ DRAWN = f"""p AS (SELECT page_id, y, x, (x + 0.5) / 16 AS px, (y + 0.5) / 16 AS
  t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM p),
  c AS (SELECT page_id, y, x, CASE WHEN px BETWEEN least(ax, ax + dx) - 0.05 AND greatest(ax, ax + dx) + 0.05 AND py BETWEEN least(ay, ay + dy) - 0.05 AND greatest(ay, ay + dy) + 0.05 THEN greatest(0, least(255, round_even(((0.05 - sqrt(pow(px - (ax + dx * t), 2) + pow(py - (ay + dy * t), 2))) * 16 + 0.5) * 255, 0))) ELSE 0 END::INT AS alpha FROM t)"""
 
+RUNS = """g AS (SELECT conv_id AS run_id, CASE WHEN conv_id % 6 = 5 THEN 0 ELSE count(*) END AS n, count(*) FILTER (turn % 3 <> 1) AS good, count(*) FILTER (turn % 3 = 1) AS wrong, max(turn) FILTER (turn % 3 = 1) AS t,
+ CASE WHEN conv_id % 6 = 5 THEN 'none' WHEN conv_id % 5 = 4 THEN 'usage' WHEN conv_id % 7 = 3 THEN 'unasked' WHEN conv_id % 7 % 5 > 1 THEN 'denied' END AS why FROM conversations GROUP BY conv_id),
+ r AS (SELECT run_id, n, why, CASE WHEN why IS NULL THEN good ELSE 0 END::BIGINT AS ok, CASE WHEN why IS NULL THEN wrong ELSE n END::BIGINT AS bad, 'ダウンロード失敗 (HTTP ' || (t + 500) || ')' AS last FROM g)"""
+
 SQL = {
     "source_scan_urls": f"WITH m AS (SELECT page_id, unnest({MATCHES}) AS url FROM (SELECT page_id, {INJECTED} AS html FROM pages)) SELECT DISTINCT page_id, url, {LABEL} AS format FROM m WHERE NOT regexp_matches(url, '{UI}')",
     "source_scan_cap": f"SELECT page_id, len({MATCHES})::BIGINT AS n_matches, len(list_distinct({MATCHES}))::BIGINT AS n_urls FROM (SELECT page_id, {MANY} AS html FROM pages)",
@@ -63,7 +67,15 @@ SQL = {
  UNION ALL SELECT 'saved', id FROM sel WHERE id % 11 <> 0 UNION ALL SELECT 'toggled', id FROM ((SELECT id FROM sel EXCEPT SELECT id FROM shown) UNION ALL (SELECT id FROM shown EXCEPT SELECT id FROM sel))
  UNION ALL SELECT 'acting', id FROM shown WHERE id % 4 = 0""",
     "all_selected": f"WITH {VISIBLE} SELECT coalesce(bool_and(id % 4 = 0), FALSE) AS all_selected FROM shown",
-    "save_tally": f"WITH {I}, r AS (SELECT id, CASE WHEN id % 5 = 4 THEN 'not fetched' WHEN id % 7 = 3 THEN 'HTTP 404' WHEN id % 6 = 2 THEN 'not an image' END AS error FROM i WHERE id % 4 = 0) SELECT count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed, max_by(error, id) FILTER (error IS NOT NULL) AS message FROM r",
+    "save_tally": f"WITH {I}, r AS (SELECT id, CASE WHEN id % 5 = 4 THEN '保存が中断されました' WHEN id % 8 = 2 THEN 'ダウンロード失敗 (HTTP 404)' WHEN id % 7 = 3 THEN '画像を読み込めませんでした' END AS error FROM i WHERE id % 4 = 0) SELECT count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed, max_by(error, id) FILTER (error IS NOT NULL) AS message FROM r",
+    "save_outcomes": f"WITH {RUNS} SELECT run_id, ok AS succeeded, bad AS failed, CASE why WHEN 'none' THEN '画像が選択されていません' WHEN 'usage' THEN 'アプリの設定不備です(写真アクセスの説明文が未設定)。開発者に報告してください。' WHEN 'unasked' THEN '先にホーム画面の「pagelens」アプリを開き、「写真への保存を許可する」をタップしてください。' WHEN 'denied' THEN '写真へのアクセスが許可されていません。' || chr(10) || '「設定」→「プライバシーとセキュリティ」→「写真」→「pagelens」で許可してください。' ELSE last END AS message FROM r",
+    "save_log": f"""WITH {RUNS}
+ SELECT run_id, 0 AS part, 0::BIGINT AS seq, CASE WHEN why = 'none' THEN '保存対象が0件です' ELSE '保存開始: ' || n || '件' END AS line, coalesce(why = 'none', FALSE) AS is_error FROM r
+ UNION ALL SELECT run_id, 1, 0, CASE WHEN why = 'usage' THEN '説明文の有無: なし(致命的)' ELSE '説明文の有無: あり' END, coalesce(why = 'usage', FALSE) FROM r WHERE why IS DISTINCT FROM 'none'
+ UNION ALL SELECT run_id, 2, 0, '権限状態: ' || ['許可', '一部のみ許可', '拒否', '未確認', '不明'][run_id % 7 % 5 + 1], FALSE FROM r WHERE coalesce(why NOT IN ('none', 'usage'), TRUE)
+ UNION ALL SELECT run_id, 3, 0, CASE why WHEN 'unasked' THEN '未許可のため中止(本体アプリで許可が必要)' ELSE '写真へのアクセスが拒否されました' END, TRUE FROM r WHERE why IN ('unasked', 'denied')
+ UNION ALL SELECT run_id, 4, turn, CASE WHEN turn % 3 <> 1 THEN 'OK: ' || turn || '.png' ELSE '失敗: ' || turn || '.png — ダウンロード失敗 (HTTP ' || (turn + 500) || ')' END, turn % 3 = 1 FROM r JOIN conversations ON conv_id = run_id WHERE why IS NULL
+ UNION ALL SELECT run_id, 5, 0, '完了: 成功' || ok || ' 失敗' || bad, FALSE FROM r WHERE why IS NULL""",
     "badge_text": f"WITH {I}, b AS (SELECT id, {LABEL} AS label, {EXT} AS ext, CASE WHEN w IS NOT NULL THEN w::BIGINT || '×' || h::BIGINT WHEN width > 0 AND height > 0 THEN width || '×' || height END AS size FROM i LEFT JOIN px USING (id)) SELECT id, label || coalesce(' ' || size, '') AS badge, label || coalesce('  ' || size, '') AS info, CASE WHEN ext = '' THEN 'jpg' ELSE ext END AS extension FROM b",
     "carousel_dedup": f"""WITH {SNAPSHOTS}, f AS (SELECT page_id, step, backward, 0 AS n, 'https://slide/' || role AS url FROM s UNION ALL SELECT page_id, step, backward, 1, 'https://slide/' || (turn % 4) FROM s),
  k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY step, n) = 1)

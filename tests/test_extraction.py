@@ -95,7 +95,6 @@ def test_view_gates_and_tiers(spark):
     assert ids(view.Gates(size_tier=1)) == {0, 1, 2, 3, 4} and ids(view.Gates(size_tier=2)) == {0, 1, 4}
     assert ids(view.Gates(source_only=True), spark.createDataFrame([(0,)], "id bigint")) == {1, 2, 3, 4, 5}
     assert view.all_selected(images.limit(0), none).first().all_selected is False
-    assert view.save_guard(1, True, True, True) is None and view.save_guard(0, False, False, False) == "empty"
     assert [r.idx for r in view.numbered(images.select("id")).orderBy("id").collect()] == list(range(7))
 
 

@@ -109,3 +109,17 @@ def test_icons(spark):
     slots = spark.createDataFrame([(1, 1, "ipad", "20x20", "2x", 40), (1, 0, "iphone", "20x20", "1x", 20), (1, 2, "ipad", "40x40", "1x", 40)], "k int, slot int, idiom string, size string, scale string, px int")
     got = json.loads(icons.manifest(slots, ["k"]).first().contents)
     assert [i["filename"] for i in got["images"]] == ["icon-20.png", "icon-40.png", "icon-40.png"] and got["info"] == {"author": "xcode", "version": 1} and icons.sizes(slots, ["k"]).count() == 2
+
+
+def test_save_guards_and_log(spark):
+    runs = [(1, 0, False, "denied"), (2, 2, None, "authorized"), (3, 2, True, "not_determined"), (4, 2, True, "restricted"), (5, 2, True, "limited"), (6, None, True, "authorized"), (7, 1, True, None)]
+    results = spark.createDataFrame([(5, 1, "https://h/b/", False, "no"), (5, 0, "https://h/a.png?x", True, None), (4, 0, "https://h/z", True, None)], "run_id int, seq int, url string, ok boolean, error string")
+    done = saving.outcomes(spark.createDataFrame(runs, "run_id int, n_selected int, usage_text boolean, permission string"), results, "App")
+    got = {r.run_id: (r.stopped, r.succeeded, r.failed) for r in done.collect()}
+    assert got == {1: ("none", 0, 0), 2: ("no_usage", 0, 2), 3: ("unasked", 0, 2), 4: ("denied", 0, 2), 5: (None, 1, 1), 6: ("none", 0, 0), 7: ("denied", 0, 1)}
+    assert {r.run_id: r.message for r in done.collect()}[5] == "no" and "「App」" in done.where("run_id = 3").first().message
+    lines = {}
+    for r in saving.save_log(done, results).orderBy("run_id", "part", "seq").collect():
+        lines.setdefault(r.run_id, []).append(("[ERR] " if r.is_error else "") + r.line)
+    assert lines[5] == ["保存開始: 2件", "説明文の有無: あり", "権限状態: 一部のみ許可", "OK: a.png", "[ERR] 失敗: b — no", "完了: 成功1 失敗1"]
+    assert lines[1] == ["[ERR] 保存対象が0件です"] and lines[2] == ["保存開始: 2件", "[ERR] 説明文の有無: なし(致命的)"] and lines[3][-1] == "[ERR] " + saving.LOG["unasked"] and len(lines[4]) == 4
