@@ -46,6 +46,34 @@ def coverage(segments: Column, x: Column, y: Column, size: int, stroke: float) -
     return F.when(F.size(near) > 0, alpha).otherwise(0)
 
 
+def grid(segments: DataFrame, size: int, stroke: float, by: list[str], cell: int = 32) -> DataFrame:
+    """(by..., cx, cy, near): cells of ``cell`` x ``cell`` pixels with the segments whose widened boxes touch them.
+
+    segments: (by..., ax, ay, bx, by). Cells that no segment touches have no row.
+    """
+    last, half = -(-size // cell) - 1, stroke / 2
+    # a pixel's middle may lie on a box's very edge, so cells are taken a pixel wider
+    at = lambda v, more: F.greatest(F.lit(0), F.least(F.lit(last), F.floor((F.floor(v * size) + more) / cell))).cast("int")
+    span = lambda c: F.sequence(at(F.least(f"a{c}", f"b{c}") - half, -1), at(F.greatest(f"a{c}", f"b{c}") + half, 1))
+    rows = segments.select(*by, F.struct("ax", "ay", "bx", "by").alias("s"), span("y").alias("ys"), F.explode(span("x")).alias("cx"))
+    return rows.select(*by, "s", "cx", F.explode("ys").alias("cy")).groupBy(*by, "cx", "cy").agg(F.collect_list("s").alias("near"))
+
+
+def covered(segments: DataFrame, size: int, stroke: float, by: list[str], cell: int = 32) -> DataFrame:
+    """(by..., y, x, alpha) of the pixels that aren't empty: each looks only at the segments of its cell, so that work
+    grows with the strokes' length and not with pixels times segments."""
+    inside = F.sequence(F.lit(0), F.lit(cell - 1))
+    rows = grid(segments, size, stroke, by, cell).select("*", F.explode(F.transform(inside, lambda i: i + F.col("cy") * cell)).alias("y"))
+    rows = rows.select("*", F.explode(F.transform(inside, lambda i: i + F.col("cx") * cell)).alias("x")).where((F.col("x") < size) & (F.col("y") < size))
+    return rows.select(*by, "y", "x", coverage(F.col("near"), F.col("x"), F.col("y"), size, stroke).alias("alpha")).where("alpha > 0")
+
+
+def downsample_covered(pixels: DataFrame, size: int, target: int, by: list[str]) -> DataFrame:
+    """As `downsample`, of pixels without the empty ones; tiles with nothing in them have no row. target divides size."""
+    step = size // target
+    return pixels.groupBy(*by, F.floor(F.col("y") / step).cast("int").alias("ty"), F.floor(F.col("x") / step).cast("int").alias("tx")).agg(F.bround(F.sum("alpha") / (step * step)).cast("int").alias("alpha"))
+
+
 def downsample(pixels: DataFrame, size: int, target: int, by: list[str]) -> DataFrame:
     """Mean alpha of each tile, half to even. Tiles of a target that doesn't divide the size differ in width."""
     step = size / target

@@ -271,6 +271,14 @@ def raster_downsample(spark, d):
     return raster.downsample(_drawn(spark, d), 16, 5, ["page_id"]).select("page_id", "ty", "tx", "alpha")
 
 
+def raster_grid(spark, d):
+    """Two segments per page on a 64 x 64 canvas, by a grid of cells, averaged down to 8 x 8."""
+    end = lambda k: (F.col("page_id") * k % 17 / 16.0).cast("double")
+    lines = [(F.lit(0.25), end(3), end(5), F.lit(0.75)), (end(5), F.lit(0.75), F.lit(0.9375), end(7))]
+    segments = _pages(spark, d).select("page_id", F.explode(F.array(*[F.struct(*[v.alias(k) for k, v in zip(("ax", "ay", "bx", "by"), s, strict=True)]) for s in lines])).alias("s")).select("page_id", "s.*")
+    return raster.downsample_covered(raster.covered(segments, 64, 0.1, ["page_id"], 8), 64, 8, ["page_id"])
+
+
 def thumbnail_pixels(spark, d):
     """The drawings as PNG files, decoded, shrunk to 4 x 4, encoded and decoded again."""
     files = raster.to_png(_drawn(spark, d), 16, ["page_id"]).select(F.col("page_id").alias("id"), F.lit(False).alias("drawing"), F.col("png").alias("content"))
@@ -405,4 +413,4 @@ def glyph_bounds(spark, d):
     return out.groupBy("page_id").agg(F.count("*").alias("n_segments"), *[box(f, g, c).alias(f"{n}_{c}") for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest)) for c in "xy"])
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, save_outcomes, save_log, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, save_outcomes, save_log, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, raster_grid, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}

@@ -140,6 +140,12 @@ SQL = {
  SELECT page_id, pos::INT AS pos, href, site || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url FROM a""",
     "saved_files": f"""WITH {I}, r AS (SELECT id, url, {EXT} AS ext, CASE WHEN id % 5 = 4 THEN '保存が中断されました' WHEN id % 8 = 2 THEN 'ダウンロード失敗 (HTTP 404)' WHEN id % 7 = 3 THEN '画像を読み込めませんでした' END AS error, md5(id || ' ' || url) AS m FROM i WHERE id % 4 = 0)
  SELECT id, id AS seq, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN 'image-' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '.' || CASE WHEN id % 6 = 5 THEN 'png' WHEN ext = '' THEN 'jpg' ELSE ext END END AS name, CASE WHEN error IS NULL AND id % 6 <> 5 THEN 30 ELSE 0 END::BIGINT AS n_bytes FROM r""",
+    "raster_grid": f"""WITH s AS (SELECT page_id, 0.25::DOUBLE AS ax, {D(3)}::DOUBLE AS ay, {D(5)}::DOUBLE AS ex, 0.75::DOUBLE AS ey FROM pages UNION ALL SELECT page_id, {D(5)}::DOUBLE, 0.75::DOUBLE, 0.9375::DOUBLE, {D(7)}::DOUBLE FROM pages),
+ p AS (SELECT *, ex - ax AS dx, ey - ay AS dy, (x + 0.5) / 64 AS px, (y + 0.5) / 64 AS py FROM s, range(64) a(y), range(64) b(x)),
+ t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM p
+  WHERE px BETWEEN least(ax, ex) - 0.05 AND greatest(ax, ex) + 0.05 AND py BETWEEN least(ay, ey) - 0.05 AND greatest(ay, ey) + 0.05),
+ c AS (SELECT page_id, y, x, greatest(0, least(255, round_even(((0.05 - min(sqrt(pow(px - (ax + dx * t), 2) + pow(py - (ay + dy * t), 2)))) * 64 + 0.5) * 255, 0)))::INT AS alpha FROM t GROUP BY page_id, y, x)
+ SELECT page_id, (y // 8)::INT AS ty, (x // 8)::INT AS tx, round_even(sum(alpha) / 64.0::DOUBLE, 0)::INT AS alpha FROM c WHERE alpha > 0 GROUP BY ALL""",
     "thumbnail_pixels": f"WITH {DRAWN} SELECT page_id, 16.0::DOUBLE AS w, 4::INT AS thumb_h, (y // 4)::INT AS ty, (x // 4)::INT AS tx, round_even(avg(alpha), 0)::INT AS alpha FROM c GROUP BY ALL",
     "thumbnail_states": f"""WITH {I}, p AS (SELECT id, id % 3 = 0 AND id % 5 <> 4 AS fetched, id % 7 <> 3 AS sized, id % 6 = 5 AS drawing, (id * 31 % 900 + 1)::DOUBLE AS pw, (id * 17 % 700 + 1)::DOUBLE AS ph FROM i),
  c AS (SELECT *, CASE WHEN drawing THEN 300.0::DOUBLE / greatest(pw, ph) ELSE least(1.0::DOUBLE, 300.0::DOUBLE / greatest(pw, ph)) END AS z FROM p)

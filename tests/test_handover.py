@@ -123,3 +123,18 @@ def test_save_guards_and_log(spark):
         lines.setdefault(r.run_id, []).append(("[ERR] " if r.is_error else "") + r.line)
     assert lines[5] == ["保存開始: 2件", "説明文の有無: あり", "権限状態: 一部のみ許可", "OK: a.png", "[ERR] 失敗: b — no", "完了: 成功1 失敗1"]
     assert lines[1] == ["[ERR] 保存対象が0件です"] and lines[2] == ["保存開始: 2件", "[ERR] 説明文の有無: なし(致命的)"] and lines[3][-1] == "[ERR] " + saving.LOG["unasked"] and len(lines[4]) == 4
+
+
+def test_grid_of_cells(spark):
+    """The icon at 1024 x 1024: the same pixels as by looking at all segments, with a fraction of the looks."""
+    glyph = spark.range(1).select(F.lit(1).alias("k"), F.explode(icons.glyph()).alias("s")).select("k", "s.*")
+    size, stroke, n = 1024, 0.055, glyph.count()
+    cells = raster.grid(glyph, size, stroke, ["k"]).cache()
+    looks = cells.agg(F.sum(F.size("near") * 32 * 32)).first()[0]
+    assert looks < 0.1 * n * size * size
+    every = glyph.groupBy("k").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("all"))
+    # of the rows of pixels through each fourth row, all of them; elsewhere nothing may be covered that the grid left out
+    direct = every.select("all", F.explode(F.sequence(F.lit(2), F.lit(size - 1), F.lit(4))).alias("y")).select("all", "y", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("x"))
+    direct = direct.select("y", "x", raster.coverage(F.col("all"), F.col("x"), F.col("y"), size, stroke).alias("alpha")).where("alpha > 0")
+    found = raster.covered(glyph, size, stroke, ["k"]).where("y % 4 = 2").select("y", "x", "alpha")
+    assert found.count() > 1000 and found.exceptAll(direct).count() == 0 == direct.exceptAll(found).count()
