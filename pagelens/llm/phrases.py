@@ -58,7 +58,7 @@ class Mining:
     #: a bitmap has 2 to this power bits at most (16 MB)
     most_bits: int = 27
     #: distinct phrases that a task holds
-    held: int = 1_500_000
+    held: int = 800_000
 
 
 def _mix(*words: np.ndarray) -> np.ndarray:
