@@ -125,9 +125,23 @@ def saved(images: DataFrame, fetched: DataFrame, prefix: str = "image", order: s
     return out.select("id", "seq", ok.alias("ok"), "error", F.when(ok, F.col("name")).alias("name"), F.when(ok, F.col("content")).alias("content"))
 
 
-def write_library(rows: DataFrame, path: str) -> None:
-    """Stores what was saved, (seq, name, content), in save order over the files: no single task holds all."""
-    rows.where("ok").select("seq", "name", "content").repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(path)
+def write_library(rows: DataFrame, path: str, run_id: str = "0") -> bool:
+    """Stores what a run saved, (seq, name, content), in save order over the files; no single task holds all.
+
+    A run is stored once: False if it is there already, and nothing is written. Spark's committer moves a task's file
+    into place when the task has ended well and marks the run when all have, so tasks that run again leave one row an
+    image; what a run that was cut off left behind is replaced.
+    """
+    target = f"{path}/run_id={run_id}"
+    if _committed(rows.sparkSession, target):
+        return False
+    rows.where("ok").select("seq", "name", "content").repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(target)
+    return True
+
+
+def _committed(spark: SparkSession, folder: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def status_text(state: Column, done: Column, total: Column) -> Column:

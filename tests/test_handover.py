@@ -138,3 +138,20 @@ def test_grid_of_cells(spark):
     direct = direct.select("y", "x", raster.coverage(F.col("all"), F.col("x"), F.col("y"), size, stroke).alias("alpha")).where("alpha > 0")
     found = raster.covered(glyph, size, stroke, ["k"]).where("y % 4 = 2").select("y", "x", "alpha")
     assert found.count() > 1000 and found.exceptAll(direct).count() == 0 == direct.exceptAll(found).count()
+
+
+def test_a_run_is_stored_once(spark, tmp_path):
+    """A write that fails midway leaves no run; the next one replaces what it left; a stored run stays as it is."""
+    rows = spark.range(40).selectExpr("id", "id AS seq", "true AS ok", "concat('n', id) AS name", "encode('x', 'UTF-8') AS content").repartition(4)
+    path = str(tmp_path / "library")
+    bad = rows.withColumn("name", F.when(F.col("seq") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("name")))
+    try:
+        saving.write_library(bad, path, "r1")
+        raise AssertionError("it was to fail")
+    except Exception as e:
+        assert "lost" in str(e)
+    assert saving.write_library(rows, path, "r1") and not saving.write_library(rows.limit(3), path, "r1") and saving.write_library(rows.limit(3), path, "r2")
+    stored = spark.read.parquet(path)
+    assert {(r.run_id, r.n, r.d) for r in stored.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("name").alias("d")).collect()} == {("r1", 40, 40), ("r2", 3, 3)}
+    files = stored.where("run_id = 'r1'").groupBy(F.input_file_name().alias("f")).agg(F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("f").collect()
+    assert all(x.b < y.a for x, y in zip(files, files[1:]))
