@@ -1,4 +1,4 @@
-"""Column functions on URLs, source sets and labels; all run inside whole-stage codegen."""
+"""Column functions on URLs, source sets and labels; all native, and but for those with lambdas inside whole-stage codegen."""
 
 from __future__ import annotations
 

@@ -61,7 +61,7 @@ def badge(url: Column, separator: str = " ") -> Column:
 def numbered(rows: DataFrame, order: str = "id") -> DataFrame:
     """Index in the grid, from 0, without one task for all: offsets of blocks are added to positions in them.
 
-    Blocks are cut at quantiles of ``order``, a numeric column (nulls first). The bounds are values, a few per shuffle
+    Runs a job while the plan is built: blocks are cut at quantiles of ``order``, a numeric column (nulls first). The bounds are values, a few per shuffle
     partition, so both uses of the blocks agree; range partitions are sampled anew each time that they are computed.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
