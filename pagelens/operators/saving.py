@@ -66,7 +66,8 @@ def thumbnails(images: DataFrame, fetched: DataFrame, longest: int = THUMBNAIL)
     """(id, w, h, thumb_w, thumb_h, failed, png) of images that were fetched, whatever the status said.
 
     w, h: the size in the header, before orientation. A thumbnail only ever shrinks, but for a drawing (SVG), which has no
-    pixel size and is drawn to fit. Bytes without a size, and PNG and GIF that can't be decoded whole, have failed.
+    pixel size and is drawn to fit. Bytes without a size, PNG and GIF that can't be decoded whole, and drawings that can't
+    be drawn have failed.
     """
     got = images.join(_latest(fetched), "url").select("id", _drawing(F.col("url")).alias("drawing"), F.col("f.content").alias("content"))
     return I.with_thumbnails(got, longest)
@@ -104,23 +105,25 @@ def file_name(key: Column, extension: Column, prefix: str) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.concat_ws("-", *parts), F.lit("."), extension)
 
 
-def saved(images: DataFrame, fetched: DataFrame, prefix: str = "image", order: str = "id") -> DataFrame:
+def saved(images: DataFrame, fetched: DataFrame, prefix: str = "image", order: str = "id", longest: int = FULL) -> DataFrame:
     """(id, seq, ok, error, name, content) of every image, ``seq`` as ``order`` has it.
 
     A status beyond 2xx and bytes that are no image are errors; a missing fetch is a save cut off. Bytes are kept as
-    they came. A drawing (SVG) has a .png name and no bytes here: nothing draws it, its markup is in ``fetched``.
+    they came, but for drawings (SVG), which are saved as PNG, ``longest`` pixels long. Only drawings pass through Python.
     """
-    drawing = _drawing(F.col("url"))
-    rows = images.join(_latest(fetched), "url", "left")
-    status, content = F.col("f.status"), F.col("f.content")
-    markup = F.contains(content, F.lit("<svg").cast("binary"))  # XML minds the case
+    own = _drawing(F.col("url"))
+    rows = images.join(_latest(fetched), "url", "left").withColumn("drawing", own)
+    status = F.col("f.status")
+    rows = rows.select("id", "url", F.col(order).alias("seq"), "drawing", F.col("f").isNull().alias("missing"), status.alias("status"), F.when(status.between(200, 299), F.col("f.content")).alias("content"))
+    rows = rows.where(~F.col("drawing")).union(I.with_drawn(rows.where("drawing"), longest))
+    drawing, status, content = F.col("drawing"), F.col("status"), F.col("content")
     error = (
-        F.when(F.col("f").isNull(), CANCELLED)
+        F.when(F.col("missing"), CANCELLED)
         .when(~status.between(200, 299), F.format_string(HTTP_ERROR, status))
-        .when(~F.when(drawing, F.coalesce(markup, F.lit(False))).otherwise(decodable(content)), UNDECODABLE)
+        .when(~decodable(content), UNDECODABLE)
     )
     named = file_name(F.concat_ws(" ", F.col("id").cast("string"), "url"), F.when(drawing, "png").otherwise(C.save_extension(F.col("url"))), prefix)
-    out = rows.select("id", F.col(order).alias("seq"), error.alias("error"), named.alias("name"), F.when(~drawing, content).alias("content"))
+    out = rows.select("id", "seq", error.alias("error"), named.alias("name"), "content")
     ok = F.col("error").isNull()
     return out.select("id", "seq", ok.alias("ok"), "error", F.when(ok, F.col("name")).alias("name"), F.when(ok, F.col("content")).alias("content"))
 

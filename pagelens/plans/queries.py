@@ -381,6 +381,19 @@ def thumbnail_states(spark, d):
     return cells.select("id", "shows", F.coalesce("to_fetch", F.lit(False)).alias("to_fetch"), "w", "h", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("thumb_w", "thumb_h")])
 
 
+SVG = """CASE WHEN page_id % 10 = 9 THEN '<svg' ELSE '<svg xmlns="http://www.w3.org/2000/svg" width="' || CASE WHEN page_id % 2 = 0 THEN '4' ELSE '40px' END || '" viewBox="0 0 8 8" height="' || CASE WHEN page_id % 2 = 0 THEN '4' ELSE '40' END || '"><style>.s{stroke:lime}</style>'
+ || '<rect x="' || CAST(length(html) % 5 / 4D AS STRING) || '" y="1" width="2.25" height="1.5" fill="#c86432"/><g opacity=".5" transform="translate(' || CAST(page_id % 3 AS STRING) || ' 4)"><path fill-rule="evenodd" d="M0 0h3v3H0zM1 1h1v1H1z" fill="blue"/></g>'
+ || '<path class="s" d="M6,.5V7.5" stroke-width="' || CAST((length(url) % 3 + 1) / 2D AS STRING) || '"/></svg>' END"""
+
+
+def saved_drawings(spark, d):
+    """A drawing a page, saved as a PNG of 16 x 16 and read back: its pixels that aren't empty. A tenth is cut off."""
+    drawings = _pages(spark, d).selectExpr("page_id AS id", "'https://h.example.com/' || CAST(page_id AS STRING) || '.svg' AS url", "200 AS status", f"encode({SVG}, 'UTF-8') AS content")
+    files = saving.saved(drawings.select("id", "url"), drawings.select("url", "status", "content"), longest=16).where("ok")
+    pixels = files.select(F.col("id").alias("page_id"), F.posexplode(I.pixels_of("content")).alias("pos", "rgba")).where("rgba[3] > 0")
+    return pixels.selectExpr("page_id", "CAST(pos div 16 AS INT) AS y", "pos % 16 AS x", "rgba[0] AS red", "rgba[1] AS green", "rgba[2] AS blue", "rgba[3] AS alpha")
+
+
 def status_texts(spark, d):
     rows = _images(spark, d)[0].withColumns({"state": F.element_at(F.array(*map(F.lit, ("idle", "saving", "finished"))), (F.col("id") % 3 + 1).cast("int")), "code": F.when(F.col("id") % 4 == 0, "denied").when(F.col("id") % 4 == 1, "limited").otherwise("new")})
     return rows.select("id", saving.status_text(F.col("state"), F.col("id"), F.col("id") + 5).alias("status"), saving.permission_text(F.col("code")).alias("permission"))
@@ -413,4 +426,4 @@ def glyph_bounds(spark, d):
     return out.groupBy("page_id").agg(F.count("*").alias("n_segments"), *[box(f, g, c).alias(f"{n}_{c}") for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest)) for c in "xy"])
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, save_outcomes, save_log, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, raster_grid, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, save_outcomes, save_log, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, raster_grid, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, saved_drawings, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}

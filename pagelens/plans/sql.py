@@ -140,6 +140,11 @@ SQL = {
  SELECT page_id, pos::INT AS pos, href, site || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url FROM a""",
     "saved_files": f"""WITH {I}, r AS (SELECT id, url, {EXT} AS ext, CASE WHEN id % 5 = 4 THEN '保存が中断されました' WHEN id % 8 = 2 THEN 'ダウンロード失敗 (HTTP 404)' WHEN id % 7 = 3 THEN '画像を読み込めませんでした' END AS error, md5(id || ' ' || url) AS m FROM i WHERE id % 4 = 0)
  SELECT id, id AS seq, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN 'image-' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '.' || CASE WHEN id % 6 = 5 THEN 'png' WHEN ext = '' THEN 'jpg' ELSE ext END END AS name, CASE WHEN error IS NULL AND id % 6 <> 5 THEN 30 ELSE 0 END::BIGINT AS n_bytes FROM r""",
+    "saved_drawings": """WITH p AS (SELECT page_id, (length(html) % 5) / 2.0::DOUBLE AS a, 2.0::DOUBLE * (page_id % 3) AS b, (length(url) % 3 + 1) / 2.0::DOUBLE AS w FROM pages WHERE page_id % 10 <> 9),
+ s AS (SELECT page_id, a AS x0, a + 4.5 AS x1, 2 AS y0, 5 AS y1, 1.0::DOUBLE AS part, 200 AS red, 100 AS green, 50 AS blue FROM p UNION ALL SELECT page_id, b, b + 6, 8, 14, 0.5, 0, 0, 255 FROM p
+ UNION ALL SELECT page_id, b + 2, b + 4, 10, 12, -0.5, 0, 0, 255 FROM p UNION ALL SELECT page_id, 12 - w, 12 + w, 1, 15, 1, 0, 255, 0 FROM p)
+ SELECT page_id, y::INT AS y, x::INT AS x, red, green, blue, round_even(255 * sum(part * (least(x + 1, x1) - greatest(x, x0)) * (least(y + 1, y1) - greatest(y, y0))), 0)::INT AS alpha
+ FROM s, range(16) r(y), range(16) c(x) WHERE least(x + 1, x1) > greatest(x, x0) AND least(y + 1, y1) > greatest(y, y0) GROUP BY page_id, y, x, red, green, blue HAVING alpha > 0""",
     "raster_grid": f"""WITH s AS (SELECT page_id, 0.25::DOUBLE AS ax, {D(3)}::DOUBLE AS ay, {D(5)}::DOUBLE AS ex, 0.75::DOUBLE AS ey FROM pages UNION ALL SELECT page_id, {D(5)}::DOUBLE, 0.75::DOUBLE, 0.9375::DOUBLE, {D(7)}::DOUBLE FROM pages),
  p AS (SELECT *, ex - ax AS dx, ey - ay AS dy, (x + 0.5) / 64 AS px, (y + 0.5) / 64 AS py FROM s, range(64) a(y), range(64) b(x)),
  t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM p

@@ -1,10 +1,9 @@
-"""Encoded images: pixel sizes from headers, pixels of PNG and GIF, thumbnails, drawings' sizes, and the PNG sink.
+"""Encoded images: pixel sizes from headers, pixels of PNG and GIF, thumbnails, and the PNG sink.
 
 JPEG, WebP, BMP and HEIF are told by their headers alone: no pixels are made of them."""
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .drawings import draw, drawing_size
+
 
 def header_size(raw: bytes | None) -> tuple[int, int] | None:
     """Width and height before orientation, of PNG, GIF, JPEG or WebP bytes; None for anything else."""
@@ -260,35 +261,12 @@ def rgba_png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 9)) + part(b"IEND", b"")
 
 
-_LENGTH = r"\s*([0-9]*\.?[0-9]+(?:[eE][+-]?[0-9]+)?)\s*(?:px)?\s*"
-
-
-def drawing_size(raw: bytes | None) -> tuple[float, float] | None:
-    """Width and height of an SVG as its root says, or as its view box does; None if it has neither, or no area."""
-    text = (raw or b"").decode("utf-8", "replace")
-    m = re.search(r"<svg\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", text)
-    if not m:
-        return None
-    attrs = {k: a or b for k, a, b in re.findall(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", m[1])}
-    box = re.findall(r"[-+0-9.eE]+", attrs.get("viewBox", ""))
-    sides = []
-    for k, name in ((2, "width"), (3, "height")):
-        if side := re.fullmatch(_LENGTH, attrs.get(name, "")):
-            sides.append(float(side[1]))
-        else:
-            try:
-                sides.append(float(box[k]))
-            except (IndexError, ValueError):
-                return None
-    return (sides[0], sides[1]) if min(sides) > 0 else None
-
-
 def thumbnail(raw: bytes | None, drawing: bool, longest: int) -> tuple:
     """(w, h, thumb_w, thumb_h, failed, png). A drawing has no pixel size of its own and is scaled both ways."""
     failed = (None, None, None, None, True, None)
     if drawing:
-        size = drawing_size(raw)
-        return failed if size is None else (None, None, *fit(*size, longest, drawing=True), False, None)
+        made = drawn(raw, longest)
+        return failed if made is None else (None, None, *made[:2], False, made[2])
     size = header_size(raw)
     if size is None or min(size) < 1:
         return failed
@@ -303,6 +281,29 @@ def thumbnail(raw: bytes | None, drawing: bool, longest: int) -> tuple:
     return (*map(float, size), *to, False, pixels)
 
 
+def drawn(raw: bytes | None, longest: int) -> tuple[int, int, bytes] | None:
+    """Width, height and PNG of a drawing whose longest side is ``longest``; None for what can't be drawn."""
+    if (size := drawing_size(raw)) is None:
+        return None
+    to = fit(*size, longest, drawing=True)
+    try:
+        return (*to, rgba_png(draw(raw, *to)))
+    except ValueError:
+        return None
+
+
+def with_drawn(rows: DataFrame, longest: int, content: str = "content") -> DataFrame:
+    """rows with the markup in ``content`` as a PNG, or null; a few drawings at a time in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 4) for x in batches for i in range(0, x.num_rows, 4)):
+            at = b.schema.get_field_index(content)
+            made = [(drawn(x.as_py(), longest) or (None,))[-1] for x in b.column(at)]
+            yield b.set_column(at, content, pa.array(made, b.schema.field(at).type))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def with_thumbnails(rows: DataFrame, longest: int) -> DataFrame:
     """rows: (id, drawing, content). (id, w, h, thumb_w, thumb_h, failed, png), an image at a time in each task."""
     names = ("w", "h", "thumb_w", "thumb_h", "failed", "png")

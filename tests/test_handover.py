@@ -55,12 +55,14 @@ def test_largest_needs_an_area(spark):
 
 def test_saving(spark, tmp_path):
     png = bytearray(I.png([[1, 2]]))
-    fetched = spark.createDataFrame([("https://h/a.PNG", 200, png), ("https://h/b", 404, png), ("https://h/c.gif", 200, bytearray(b"GIF")), ("https://h/d.svg", 200, bytearray(b"<svg/>")), ("https://h/e.svg", 200, png), ("https://h/g", 200, None)], "url string, status int, content binary")
-    images = spark.createDataFrame([(i, f"https://h/{u}") for i, u in enumerate(("a.PNG", "b", "c.gif", "d.svg", "e.svg", "f", "g"))], "id bigint, url string")
+    fetched = spark.createDataFrame([("https://h/a.PNG", 200, png), ("https://h/b", 404, png), ("https://h/c.gif", 200, bytearray(b"GIF")), ("https://h/d.svg", 200, bytearray(b'<svg width="3" height="6"><rect width="3" height="3"/></svg>')), ("https://h/e.svg", 200, png), ("https://h/g", 200, None), ("https://h/h.svg", 200, bytearray(b"<svg/>"))], "url string, status int, content binary")
+    images = spark.createDataFrame([(i, f"https://h/{u}") for i, u in enumerate(("a.PNG", "b", "c.gif", "d.svg", "e.svg", "f", "g", "h.svg"))], "id bigint, url string")
     rows = saving.saved(images, fetched, "x")
     got = {r.id: r for r in rows.collect()}
-    assert [got[i].error for i in range(7)] == [None, "ダウンロード失敗 (HTTP 404)", saving.UNDECODABLE, None, saving.UNDECODABLE, saving.CANCELLED, saving.UNDECODABLE]
-    assert got[0].content == png and got[0].name.endswith(".PNG") and got[3].name.startswith("x-") and got[3].name.endswith(".png") and got[3].content is None
+    assert [got[i].error for i in range(8)] == [None, "ダウンロード失敗 (HTTP 404)", saving.UNDECODABLE, None, saving.UNDECODABLE, saving.CANCELLED, saving.UNDECODABLE, saving.UNDECODABLE]
+    assert got[0].content == png and got[0].name.endswith(".PNG") and got[3].name.startswith("x-") and got[3].name.endswith(".png")
+    drawn = I.decode_png(got[3].content)
+    assert drawn.shape == (2048, 1024, 4) and (drawn[:1024, :, 3] == 255).all() and not drawn[1024:].any()
     saving.write_library(rows, str(tmp_path / "library"))
     stored = spark.read.parquet(str(tmp_path / "library")).orderBy("seq").collect()
     assert [(r.seq, r.name) for r in stored] == [(0, got[0].name), (3, got[3].name)]
