@@ -159,7 +159,7 @@ def judge(measured: DataFrame, limits: DataFrame, rules: QualityRules) -> DataFr
 def assess(docs: DataFrame, carry: list[str], rules: QualityRules = QualityRules()) -> DataFrame:
     """Measures every row once, into a table in the shared folder; sketches those that pass the base rules; judges all."""
     measured = materialize(measures(docs, carry))
-    limits = materialize(thresholds(sketch(measured.where(~base_failed(rules))), rules).coalesce(1))
+    limits = materialize(thresholds(sketch(measured.where(~base_failed(rules))), rules))
     return judge(measured, limits, rules)
 
 
