@@ -49,8 +49,6 @@ class Similar:
     bands: int = 12
     rows: int = 5
     tile: int = 4096
-    #: sets above this size are compared by those of their hashes that lie below a common bound, as many at least
-    most: int = 1 << 16
 
 
 def shingles(text: str | None, width: int) -> list[int]:
@@ -106,12 +104,14 @@ def pivots() -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 2**64, PIVOTS, np.uint64)
 
 
-def jaccard(x: np.ndarray, y: np.ndarray, most: int = 1 << 16) -> float:
-    """Of two sorted sets of 32-bit hashes; of very large ones, by their hashes below a common bound."""
-    if (n := max(len(x), len(y))) > most:
-        bound = np.uint32((1 << 32) * most // n)
-        x, y = x[x < bound], y[y < bound]
-    both = len(np.intersect1d(x, y, assume_unique=True))
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets of hashes, whatever their size: the smaller is looked up in the larger, a block at a time."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = 0
+    for i in range(0, len(x), 1 << 16):
+        part = x[i : i + (1 << 16)]
+        both += int((y[np.minimum(np.searchsorted(y, part), len(y) - 1)] == part).sum())
     return both / max(1, len(x) + len(y) - both)
 
 
@@ -179,7 +179,7 @@ def _bucket_stars(batches: Iterator[pa.RecordBatch], spec: Similar | None = None
         if spec:
             sets = t.column(5)
             held = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint32)
-            same = lambda i, j: jaccard(held(i), held(j), spec.most) >= spec.similarity
+            same = lambda i, j: jaccard(held(i), held(j)) >= spec.similarity
         cols = [t.column(i).to_numpy() for i in range(5)]
         new = np.zeros(len(cols[0]), bool)
         for c in cols[:3]:
