@@ -5,7 +5,9 @@ rows to the targets of source, then language, then topic, and holds a row's weig
 in all is ``rate`` of the tokens, or less where a target asks for more than its key holds: the total is lowered to
 what the scarcest key allows. After every ``rounds`` rounds the shares are compared with the targets; the fitting ends
 once none is off by more than ``tolerance``. After every ``patience`` comparisons it goes on at a total lower by a
-tenth. A document is kept with its cell's probability, weight over tokens, by a hash of its id.
+tenth. A document is kept with its cell's probability, weight over tokens, by a hash of its id. With ``most_copies``
+above 1 a weight may pass the tokens there are, up to so many times: a scarce source is repeated, instead of shrinking
+all others to what it has. What was wanted in the end, and how far the shares are from the targets, come with every row.
 
 The seed table has a row per cell, however many documents there are; it stays distributed, and is written to the shared
 folder after every round. Hot cells are pre-aggregated before the shuffle. Only totals come to the driver.
@@ -24,7 +26,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, table, words
@@ -44,6 +46,10 @@ class Mix:
     slack: float = 0.95
     #: times that the total is lowered before the fitting gives up; the residual is returned either way
     lowered: int = 40
+    #: times that a document may come
+    most_copies: float = 1.0
+    #: raise a ValueError when the fitting gives up
+    strict: bool = False
 
 
 def count_tokens(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -81,14 +87,16 @@ def rake(cells: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame] | Non
     for d in dims:
         shares = materialize(target_shares(cells, d, mix, (targets or {}).get(d)))
         scarcest = shares.where("share > 0").agg(F.min(F.col("margin") / F.col("share"))).first()[0]
-        wanted = wanted if scarcest is None else min(wanted, mix.slack * scarcest)
+        wanted = wanted if scarcest is None else min(wanted, mix.slack * mix.most_copies * scarcest)
         w = w.join(shares.select(F.col("key").alias("__key"), F.col("share").alias(f"share_{d}")), w[d].eqNullSafe(F.col("__key"))).drop("__key")
     w, held, off = w.withColumn("weight", F.col("tokens") * F.lit(wanted / (total or 1.0))), None, 0.0
     for check in range(1, mix.lowered * mix.patience + 1):
         for _ in range(mix.rounds):
             for d in dims:
-                margin = F.sum("weight").over(Window.partitionBy(d))
-                w = w.withColumn("weight", F.when(margin > 0, F.least(F.col("weight") * F.col(f"share_{d}") * F.lit(wanted) / margin, F.col("tokens").cast("double"))).otherwise(0.0))
+                # joined by Spark's choice: the sums of few keys are broadcast, those of many are not; no key is one task
+                sums = w.groupBy(F.col(d).alias("__key")).agg(F.sum("weight").alias("__margin"))
+                scaled = F.least(F.col("weight") * F.col(f"share_{d}") * F.lit(wanted) / F.col("__margin"), F.col("tokens") * F.lit(float(mix.most_copies)))
+                w = w.join(sums, F.col(d).eqNullSafe(F.col("__key"))).withColumn("weight", F.when(F.col("__margin") > 0, scaled).otherwise(0.0)).drop("__key", "__margin")
             w = materialize(w)  # a round at a time: plans stay short
             if held is not None:
                 discard(held)
@@ -99,27 +107,37 @@ def rake(cells: DataFrame, mix: Mix = Mix(), targets: dict[str, DataFrame] | Non
             break
         if check % mix.patience == 0:
             wanted *= 0.9
+    if off > mix.tolerance and mix.strict:
+        raise ValueError(f"the targets can't be met: a share is off by {off:.4f}")
     return w.select(*dims, "tokens", "weight", F.lit(wanted).alias("wanted"), F.lit(off).alias("residual"))
 
 
 def mix_documents(docs: DataFrame, carry: list[str], mix: Mix = Mix(), targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(doc, source, lang, topic, n_tokens, probability, kept, residual) of every row."""
+    """(doc, source, lang, topic, n_tokens, probability, kept, copies, wanted, residual) of every row.
+
+    probability: copies to expect, above 1 only if ``most_copies`` is; copies: those drawn, the same for each run.
+    """
     counted = materialize(count_tokens(docs, carry))
     cells = materialize(counted.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens")))
-    fitted = materialize(rake(cells, mix, targets)).withColumn("p", F.when(F.col("tokens") > 0, F.least(F.col("weight") / F.col("tokens"), F.lit(1.0))).otherwise(0.0)).alias("f")
+    fitted = materialize(rake(cells, mix, targets)).withColumn("p", F.when(F.col("tokens") > 0, F.least(F.col("weight") / F.col("tokens"), F.lit(float(mix.most_copies)))).otherwise(0.0)).alias("f")
     c = counted.alias("c")
     on = F.col("c.source").eqNullSafe(F.col("f.source")) & F.col("c.lang").eqNullSafe(F.col("f.lang")) & (F.col("c.topic") == F.col("f.topic"))
-    return c.join(fitted, on, "left").select("c.doc", "c.source", "c.lang", "c.topic", "c.n_tokens", F.col("f.p").alias("probability"), (F.col("c.draw") < F.col("f.p")).alias("kept"), "f.residual")
+    p = F.col("f.p")
+    copies = F.floor(p) + (F.col("c.draw") < p - F.floor(p)).cast("bigint")
+    return c.join(fitted, on, "left").select("c.doc", "c.source", "c.lang", "c.topic", "c.n_tokens", p.alias("probability"), (copies > 0).alias("kept"), copies.alias("copies"), "f.wanted", "f.residual")
 
 
 def sample_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of docs that the mix draws, all columns as they were."""
-    return mix_documents(docs, docs.columns, mix).where("kept").select("doc.*")
+    """The rows of docs that the mix draws, as often as it does, all columns as they were."""
+    rows = mix_documents(docs, docs.columns, mix).where("kept")
+    if mix.most_copies > 1:
+        rows = rows.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    return rows.select("doc.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     out = mix_documents(table(spark, sf_dir, "documents"), ["doc_id"])
-    return out.select("doc.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+    return out.select("doc.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept", F.round("wanted", 3).alias("wanted"), F.round("residual", 6).alias("residual"))
 
 
 def op1_sql(mix: Mix = Mix()) -> str:
@@ -144,8 +162,9 @@ r AS (SELECT 0 AS k, FALSE AS done, source, lang, topic, tokens{shares}, (SELECT
   FROM (SELECT * REPLACE (CASE WHEN k > 0 AND k % {long} = 0 THEN wanted * 0.9 ELSE wanted END AS wanted, k > 0 AND k % {step} = 0 AND worst <= {mix.tolerance} AS done)
     FROM (SELECT *, max(greatest({', '.join(f"abs(m_{d} / wanted - share_{d})" for d in dims)})) OVER () AS worst FROM (SELECT *{''.join(f", sum(weight) OVER (PARTITION BY {d}) AS m_{d}" for d in dims)} FROM r)))
   WHERE NOT done AND k < {long * mix.lowered}),
-f AS (SELECT * FROM r QUALIFY k = max(k) OVER ())
-SELECT doc_id, c.source, c.lang, c.topic, n_tokens, round(coalesce(least(weight / nullif(tokens, 0), 1.0), 0.0), 6) AS probability, draw < coalesce(least(weight / nullif(tokens, 0), 1.0), 0.0) AS kept
+f AS (SELECT *, max(off) OVER () AS residual FROM (SELECT *, greatest({', '.join(f"abs(sum(weight) OVER (PARTITION BY {d}) / wanted - share_{d})" for d in dims)}) AS off FROM (SELECT * FROM r QUALIFY k = max(k) OVER ())))
+SELECT doc_id, c.source, c.lang, c.topic, n_tokens, round(coalesce(least(weight / nullif(tokens, 0), 1.0), 0.0), 6) AS probability, draw < coalesce(least(weight / nullif(tokens, 0), 1.0), 0.0) AS kept,
+  round(wanted, 3) AS wanted, round(residual, 6) AS residual
 FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source AND c.lang IS NOT DISTINCT FROM f.lang AND c.topic = f.topic"""
 
 
