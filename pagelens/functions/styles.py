@@ -1,8 +1,9 @@
-"""Style rules of a page: declarations, simple selectors, and the cascade that picks a value for an element.
+"""Style rules of a page: declarations, selectors, and the cascade that picks a value for an element.
 
-Selectors of one compound (a tag, ids and classes) count; combinators, attribute selectors and pseudo-classes match
-nothing, and the conditions of at-rules aren't judged, so that rules in them count. A winner is chosen by importance,
-then inline styles, specificity and order. Only rules on the properties asked for are kept, so most pages have none.
+Selectors are compounds (a tag, ids, classes, attributes) in a chain of descendants and children. Siblings, pseudo-classes
+and pseudo-elements match nothing, and the conditions of at-rules aren't judged, so that rules in them count. A winner is
+chosen by importance, then inline styles, specificity and order. Only rules on the properties asked for are kept, so most
+pages have none.
 """
 
 from __future__ import annotations
@@ -13,7 +14,12 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, ExtractConfig
 
 _DECLARATION = r"""([a-zA-Z-]+)\s*:\s*((?:[^;()"']|\((?:[^()"']|"[^"]*"|'[^']*')*\)|"[^"]*"|'[^']*')*)"""
-_COMPOUND = r"^(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*$"
+_TEST = r"""\[\s*([\w:-]+)\s*(?:([~|^$*]?=)\s*("[^"]*"|'[^']*'|[\w-]+)\s*([iIsS])?\s*)?\]"""
+_COMPOUND = r"(?=[\w*.#\[])(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+|" + _TEST.replace("(", "(?:").replace("(?:?:", "(?:") + ")*"
+_SELECTOR = rf"^{_COMPOUND}(?:(?:\s*>\s*|\s+){_COMPOUND})*$"
+_STEP = rf"(^|\s*>\s*|\s+)({_COMPOUND})"
+# Attributes whose values selectors compare in any case.
+_ANY_CASE = tuple("accept accept-charset align alink axis bgcolor charset checked clear codetype color compact declare defer dir direction disabled enctype face frame hreflang http-equiv lang language link media method multiple nohref noresize noshade nowrap readonly rel rev rules scope scrolling selected shape target text type valign valuetype vlink".split())
 _IMPORTANT = r"(?i)!\s*important\s*$"
 PROPERTIES = ("background", "background-image", "width", "height", "display")
 INLINE = 1 << 20
@@ -27,8 +33,34 @@ def declarations(text: Column, properties: tuple[str, ...] = PROPERTIES) -> Colu
     return F.filter(numbered, lambda d: d["property"].isin(*properties))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _compound(text: Column) -> list[Column]:
+    """tag, ids, classes, tests: (name, op, value, any_case) of attributes, op empty where any value will do."""
+    bare = F.regexp_replace(text, _TEST, "")
+    part = lambda i: F.regexp_extract_all(text, F.lit(_TEST), F.lit(i))
+    rows = F.arrays_zip(part(1).alias("name"), part(2).alias("op"), part(3).alias("value"), part(4).alias("flag"))
+
+    def test(t: Column) -> Column:
+        name, flag = F.lower(t["name"]), F.lower(t["flag"])
+        any_case = (flag == "i") | ((flag != "s") & name.isin(*_ANY_CASE))
+        value = F.regexp_replace(t["value"], r"""^["']|["']$""", "")
+        return F.struct(name.alias("name"), t["op"].alias("op"), F.when(any_case, F.lower(value)).otherwise(value).alias("value"), any_case.alias("any_case"))
+
+    tag = F.lower(F.regexp_extract(bare, r"^([a-zA-Z][\w-]*)", 1))
+    ids, classes = F.regexp_extract_all(bare, F.lit(r"#([\w-]+)"), F.lit(1)), F.regexp_extract_all(bare, F.lit(r"\.([\w-]+)"), F.lit(1))
+    return [tag.alias("tag"), ids.alias("ids"), classes.alias("classes"), F.transform(rows, test).alias("tests")]
+
+
 def rules(sheets: Column, properties: tuple[str, ...] = PROPERTIES) -> Column:
-    """sheets: array of (pos, root, text), in order. Array of (root, nth, tag, ids, classes, specificity, declared)."""
+    """sheets: array of (pos, root, text), in order. Array of (root, nth, steps, specificity, declared).
+
+    steps: the compounds of a selector from the outside in, (child, tag, ids, classes, tests); child: it has to be a
+    child of the one before, not just a descendant.
+    """
     block = r"([^{}]+)\{([^{}]*)\}"
 
     def of(sheet: Column) -> Column:
@@ -37,30 +69,93 @@ def rules(sheets: Column, properties: tuple[str, ...] = PROPERTIES) -> Column:
         pairs = F.filter(F.zip_with(heads, bodies, lambda h, b: F.struct(h.alias("head"), declarations(b, properties).alias("declared"))), lambda r: F.size(r["declared"]) > 0)
         return F.transform(pairs, lambda r, i: F.struct(sheet["root"].alias("root"), (sheet["pos"] * 65536 + i).alias("nth"), F.regexp_replace(r["head"], r"^.*;", "").alias("head"), r["declared"].alias("declared")))
 
-    def compounds(rule: Column) -> Column:
-        some = F.filter(F.transform(F.split(rule["head"], ","), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: (s != "") & F.rlike(s, F.lit(_COMPOUND)))
+    def selectors(rule: Column) -> Column:
+        some = F.filter(F.transform(F.split(rule["head"], r",(?![^\[]*\])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.rlike(s, F.lit(_SELECTOR)))
 
         def row(s: Column) -> Column:
-            tag = F.lower(F.regexp_extract(s, r"^([a-zA-Z][\w-]*)", 1))
-            ids, classes = F.regexp_extract_all(s, F.lit(r"#([\w-]+)"), F.lit(1)), F.regexp_extract_all(s, F.lit(r"\.([\w-]+)"), F.lit(1))
-            weight = F.size(ids) * 10_000 + F.size(classes) * 100 + F.when(tag != "", 1).otherwise(0)
-            return F.struct(rule["root"].alias("root"), rule["nth"].alias("nth"), tag.alias("tag"), ids.alias("ids"), classes.alias("classes"), weight.alias("specificity"), rule["declared"].alias("declared"))
+            joins, texts = F.regexp_extract_all(s, F.lit(_STEP), F.lit(1)), F.regexp_extract_all(s, F.lit(_STEP), F.lit(2))
+            steps = F.zip_with(joins, texts, lambda j, t: F.struct(F.contains(j, F.lit(">")).alias("child"), *_compound(t)))
+            return _let(steps, lambda t: F.struct(rule["root"].alias("root"), rule["nth"].alias("nth"), t.alias("steps"), _weight(t).alias("specificity"), rule["declared"].alias("declared")))
 
         return F.transform(some, row)
 
     trimmed = F.filter(sheets, lambda s: F.rlike(s["text"], F.lit(r"(?i)(?:" + "|".join(properties) + r")\s*:")))
-    return F.flatten(F.transform(F.flatten(F.transform(trimmed, of)), compounds))
+    return F.flatten(F.transform(F.flatten(F.transform(trimmed, of)), selectors))
 
 
-def matching(element: Column, sheet_rules: Column) -> Column:
-    """The rules that apply to an element (root, tag, attrs)."""
+def _weight(steps: Column) -> Column:
+    one = lambda s: F.size(s["ids"]) * 10_000 + (F.size(s["classes"]) + F.size(s["tests"])) * 100 + F.when(s["tag"] != "", 1).otherwise(0)
+    return F.aggregate(steps, F.lit(0), lambda n, s: n + one(s))
+
+
+def seen(element: Column) -> list[Column]:
+    """What selectors look at: root, tag, attrs, and id and classes by themselves."""
     classes = F.split(F.coalesce(F.try_element_at(element["attrs"], F.lit("class")), F.lit("")), r"\s+")
     own_id = F.coalesce(F.try_element_at(element["attrs"], F.lit("id")), F.lit(""))
+    return [element["root"].alias("root"), element["tag"].alias("tag"), element["attrs"].alias("attrs"), own_id.alias("id"), classes.alias("classes")]
+
+
+def _fits(step: Column, e: Column) -> Column:
+    def passes(t: Column) -> Column:
+        raw = F.try_element_at(e["attrs"], t["name"])
+        v, want = F.when(t["any_case"], F.lower(raw)).otherwise(raw), t["value"]
+        some = want != ""
+        held = (
+            F.when(t["op"] == "", F.map_contains_key(e["attrs"], t["name"]))
+            .when(t["op"] == "=", v == want)
+            .when(t["op"] == "~=", some & F.array_contains(F.split(v, r"\s+"), want))
+            .when(t["op"] == "|=", (v == want) | F.startswith(v, F.concat(want, F.lit("-"))))
+            .when(t["op"] == "^=", some & F.startswith(v, want))
+            .when(t["op"] == "$=", some & F.endswith(v, want))
+            .otherwise(some & F.contains(v, want))
+        )
+        return F.coalesce(held, F.lit(False))
+
+    return ((step["tag"] == "") | (step["tag"] == e["tag"])) & F.forall(step["ids"], lambda i: i == e["id"]) & (F.size(F.array_except(step["classes"], e["classes"])) == 0) & F.forall(step["tests"], passes)
+
+
+_WIDE = 1 << 12
+
+
+def links(sheet_rules: Column) -> Column:
+    """Array of the steps of selectors with several: (key, root, first, child, tag, ids, classes, tests)."""
+
+    def of(r: Column, i: Column) -> Column:
+        return F.transform(r["steps"], lambda s, j: F.struct((i * _WIDE + j).alias("key"), r["root"].alias("root"), (j == 0).alias("first"), *[s[c].alias(c) for c in ("child", "tag", "ids", "classes", "tests")]))
+
+    return F.flatten(F.transform(sheet_rules, lambda r, i: F.when(F.size(r["steps"]) > 1, of(r, i)).otherwise(F.filter(of(r, i), lambda s: F.lit(False)))))
+
+
+def reached(elements: Column, chain: Column) -> Column:
+    """For each element, in document order, the keys of chain whose beginnings it ends.
+
+    elements: (pos, close, and what `seen` gives). One fold with a stack of open elements, each with the keys that it
+    ends and those that it or an element around it in its root ends; what a selector needs outside is looked up in the
+    innermost, so no pairs of elements are made.
+    """
+    entry = "struct<close:int,root:int,own:array<int>,all:array<int>>"
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("open"), F.array().cast("array<array<int>>").alias("out"))
+    none = F.array().cast("array<int>")
+
+    def step(acc: Column, e: Column) -> Column:
+        def ended(up: Column) -> Column:
+            outside = lambda s: s["first"] | F.coalesce(F.array_contains(F.when(s["child"], up["own"]).otherwise(up["all"]), s["key"] - 1), F.lit(False))
+            return F.transform(F.filter(chain, lambda s: (s["root"] == e["root"]) & outside(s) & _fits(s, e)), lambda s: s["key"])
+
+        def grown(still: Column, up: Column, own: Column) -> Column:
+            new = F.struct(e["close"].alias("close"), e["root"].alias("root"), own.alias("own"), F.array_union(F.coalesce(up["all"], none), own).alias("all"))
+            return F.struct(F.when(e["close"] > e["pos"], F.array_append(still, new)).otherwise(still).alias("open"), F.array_append(acc["out"], own).alias("out"))
+
+        innermost = lambda still: F.try_element_at(F.filter(still, lambda o: o["root"] == e["root"]), F.lit(-1))
+        return _let(F.filter(acc["open"], lambda o: o["close"] >= e["pos"]), lambda still: _let(innermost(still), lambda up: _let(ended(up), lambda own: grown(still, up, own))))
+
+    return F.aggregate(elements, start, step)["out"]
 
-    def fits(r: Column) -> Column:
-        return (r["root"] == element["root"]) & ((r["tag"] == "") | (r["tag"] == element["tag"])) & F.forall(r["ids"], lambda i: i == own_id) & (F.size(F.array_except(r["classes"], classes)) == 0)
 
-    return F.filter(sheet_rules, fits)
+def matching(element: Column, keys: Column, sheet_rules: Column) -> Column:
+    """The rules that apply to an element (`seen`); keys: what it ends (`reached`), null where no selector has steps."""
+    one = lambda r: (r["root"] == element["root"]) & _fits(F.get(r["steps"], F.lit(0)), element)
+    return F.filter(sheet_rules, lambda r, i: F.when(F.size(r["steps"]) == 1, one(r)).otherwise(F.coalesce(F.array_contains(keys, i * _WIDE + F.size(r["steps"]) - 1), F.lit(False))))
 
 
 def winner(applied: Column, inline: Column, *properties: str) -> Column:

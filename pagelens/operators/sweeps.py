@@ -96,13 +96,18 @@ def _finding(config: ExtractConfig) -> list[dict[str, Column]]:
 
     rules = F.col("__rules")
 
-    def behind(e: Column) -> Column:
-        inline = styles.declarations(F.coalesce(attr(e, "style"), F.lit("")))
-        one = F.transform(F.array(F.struct(styles.matching(e, rules).alias("applied"), inline.alias("inline"))), lambda s: styles.background(e, s["applied"], s["inline"], config))[0]
+    def behind(x: Column) -> Column:
+        e, inline = x["e"], styles.declarations(F.coalesce(attr(x["e"], "style"), F.lit("")))
+        one = F.transform(F.array(F.struct(styles.matching(x["seen"], x["keys"], rules).alias("applied"), inline.alias("inline"))), lambda s: styles.background(e, s["applied"], s["inline"], config))[0]
         return F.transform(F.array(one), lambda b: F.transform(b["urls"], lambda u, k: _row(e, CSS, [F.lit(1), k], u, True, dom_origin, sprite=b["sprite"])))[0]
 
     steps.append({"__rules": styles.rules(F.filter(els, lambda e: (e["tag"] == "style") & e["text"].isNotNull()))})
-    styled = F.filter(els, lambda e: (e["nth"] < config.styled_elements) & ((F.size(rules) > 0) | F.coalesce(F.contains(F.lower(attr(e, "style")), F.lit("background")), F.lit(False))))
+    wanted = F.filter(els, lambda e: (e["nth"] < config.styled_elements) & ((F.size(rules) > 0) | F.coalesce(F.contains(F.lower(attr(e, "style")), F.lit("background")), F.lit(False))))
+    steps.append({"__wanted": wanted, "__chain": styles.links(rules)})
+    steps.append({"__seen": F.transform("__wanted", lambda e: F.struct(e["pos"].alias("pos"), e["close"].alias("close"), *styles.seen(e)))})
+    # with rules, every element up to the limit is wanted, so all that is around one of them is there
+    steps.append({"__keys": F.when(F.size("__chain") > 0, styles.reached(F.col("__seen"), F.col("__chain")))})
+    styled = F.arrays_zip(F.col("__wanted").alias("e"), F.col("__seen").alias("seen"), F.coalesce("__keys", F.array().cast("array<array<int>>")).alias("keys"))
     rows = [
         F.flatten(F.transform("__videos", covers)),
         F.flatten(F.zip_with("__imgs", F.coalesce("__near", F.array().cast("array<string>")), pictures)),

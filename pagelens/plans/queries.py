@@ -39,6 +39,9 @@ NESTED = f"""html || '<section><div><video poster="https://v.example.com/' || {I
  || CASE WHEN page_id % 2 = 0 THEN '<a href="/p/other/"><img src="https://l.example.com/3.png"><img src="https://l.example.com/4.png"></a>' ELSE '' END"""
 STYLED = f"""html || '<style>/* .k0{{}} */ .k' || CAST(page_id % 3 AS STRING) || '{{background:url(https://bg.example.com/' || {ID} || '/c.png);width:40px;height:40px}} div.big{{height:80px}} #only{{background-image:url("https://bg.example.com/' || {ID} || '/i.png")!important}} @media screen{{.m, p > b{{background:url(https://bg.example.com/' || {ID} || '/m.png)}}}}</style>'
  || '<div class="k0 big"></div><div class="k1"></div><div class="x k2 y"></div><div id="only" class="m" style="background:url(https://no.example.com/n.png)"></div><div class="m" style="width:59px"></div><p><b>x</b></p>'"""
+CHAINED = f"""html || '<style>[data-k~="' || {ID} || '"] > p b, i[title$=".x" i]{{background:url(https://bg.example.com/' || {ID} || '/1.png)}} p > b{{background:url(https://bg.example.com/' || {ID} || '/2.png)}} section .in u[lang|=EN]{{background-image:url(https://bg.example.com/' || CAST(page_id % 5 AS STRING) || '/3.png);width:20px;height:' || CAST(page_id % 2 * 40 + 50 AS STRING) || 'px}} p + b{{background:url(https://bg.example.com/no.png)}}</style>'
+ || '<section data-k="a ' || {ID} || ' b"><p><span><b>1</b></span></p><div><p><b>2</b></p><span class="in"><u lang="en-GB">3</u></span></div></section><u lang="en">4</u><section data-k="' || {ID} || '0"><p><span><b>5</b></span></p></section>'
+ || CASE WHEN page_id % 3 = 0 THEN '<i title="a.X">6</i>' ELSE '<i title="a.X "></i>' END"""
 DECLARED = f"""html || '<picture><source srcset="https://s.example.com/1.png 1x, https://s.example.com/2.png 2x"><img src="https://i.example.com/0.png"></picture><source src="https://s.example.com/no.png"><div poster="https://p.example.com/' || {ID} || '.png"></div>'
  || '<link rel="PRELOAD x" as="image" href="https://l.example.com/1.png" imagesrcset="https://l.example.com/2.png 2x"><link rel="apple-touch-icon" href="https://l.example.com/3.png"><link rel="preload" as="script" href="https://l.example.com/no.png"><meta itemprop="image" content="https://m.example.com/1.png"><svg><image xlink:href="https://d.example.com/1.png"></image></svg>'
  || '<div><template shadowrootmode="open"><img src="https://h.example.com/1.png"><div><template shadowrootmode="open"><video poster="https://h.example.com/2.png"></video></template></div></template></div><template><img src="https://t.example.com/no.png"></template>'"""
@@ -338,6 +341,12 @@ def styled_backgrounds(spark, d):
     return rows.select("page_id", "m.url", "m.what")
 
 
+def chained_selectors(spark, d):
+    """Backgrounds by selectors with descendants, children and attributes, where the page's own rules take part too."""
+    rows = _occurrences(spark, d, CHAINED).select("page_id", F.explode_outer("met").alias("m")).where(F.col("m.sweep") == sweeps.CSS)
+    return rows.select("page_id", "m.url", "m.what")
+
+
 def declared_images(spark, d):
     """Images that sources, posters, links, metas, drawings and shadow roots name."""
     return scan.images_of(_occurrences(spark, d, DECLARED)).select("page_id", "order", "url", "origin", "sweep")
@@ -426,4 +435,4 @@ def glyph_bounds(spark, d):
     return out.groupBy("page_id").agg(F.count("*").alias("n_segments"), *[box(f, g, c).alias(f"{n}_{c}") for n, f, g in (("low", F.min, F.least), ("high", F.max, F.greatest)) for c in "xy"])
 
 
-QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, save_outcomes, save_log, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, raster_grid, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, saved_drawings, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}
+QUERIES = {f.__name__: f for f in (source_scan_urls, source_scan_cap, format_label_counts, ui_asset_skips, srcset_best, lazy_attr_coalesce, page_key, host_allowlist, start_slide_plan, resolve_anchor_urls, css_background_urls, extract_images, origin_counts, links_elsewhere, rendered_names, largest_image, sweep_counts, occurrence_counts, contained_images, declared_images, styled_backgrounds, chained_selectors, frame_images, payload_sizes, visible_images, hidden_counts, select_all_toggle, all_selected, save_tally, save_outcomes, save_log, badge_text, carousel_dedup, slide_walk, slide_change_points, run_log_lines, raster_downsample, raster_grid, thumbnail_pixels, page_controls, attachments_received, typed_rows, trace_lines, received_lines, saved_files, saved_drawings, thumbnail_states, status_texts, run_log_text, icon_manifest, glyph_bounds)}

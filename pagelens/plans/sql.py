@@ -14,6 +14,8 @@ I = f"i AS (SELECT {IMAGES} FROM pages), px AS ({PIXELS})"
 VISIBLE = f"""{I}, v AS (SELECT i.*, w, h, coalesce(CAST(greatest(w, h) AS INT), greatest(width, height)) AS longest_side FROM i LEFT JOIN px USING (id)),
  shown AS (SELECT * FROM v WHERE id % 11 <> 0 AND coalesce(origin, 'dom') NOT IN ('source', 'meta') AND (longest_side = 0 OR longest_side >= 300))"""
 N = "CAST(page_id AS VARCHAR)"
+#: Bold text of a page that lies in a paragraph itself.
+OWN_BOLD = "len(regexp_extract_all(html, '<p><b>'))"
 #: What the injected markup yields, by page: sweep number, URL, origin.
 EXPECTED = f"""x AS (SELECT page_id, page_id % 3 = 1 AS post, regexp_extract({POSTED}, '^[a-z]+://[^/?#]+') AS site FROM pages),
  e AS (SELECT page_id, 'video' AS sweep, 'https://v.example.com/' || {N} || '.png' AS url, 'video' AS origin FROM x WHERE page_id % 5 = 2
@@ -128,7 +130,12 @@ SQL = {
  UNION ALL SELECT page_id, 7, 'https://l.example.com/4.png', CASE WHEN post THEN 'other' ELSE 'dom' END, 'img' FROM x WHERE page_id % 2 = 0)
  SELECT page_id, o::BIGINT AS "order", url, origin, sweep FROM e""",
     "styled_backgrounds": f"""SELECT page_id, 'https://bg.example.com/' || {N} || '/c.png' AS url, CASE WHEN page_id % 3 = 0 THEN 'kept' ELSE 'sprite' END AS what FROM pages
- UNION ALL SELECT page_id, 'https://bg.example.com/' || {N} || '/' || f, 'kept' FROM pages, (VALUES ('i.png'), ('m.png')) t(f)""",
+ UNION ALL SELECT page_id, 'https://bg.example.com/' || {N} || '/' || f, 'kept' FROM pages, (VALUES ('i.png'), ('m.png')) t(f)
+ UNION ALL SELECT page_id, 'https://bg.example.com/' || {N} || '/m.png', 'seen' FROM (SELECT page_id, unnest(generate_series(0, {OWN_BOLD})) FROM pages)""",
+    "chained_selectors": f"""WITH b AS (SELECT page_id, 'https://bg.example.com/' || {N} AS host FROM pages)
+ SELECT page_id, host || '/1.png' AS url, 'kept' AS what FROM b UNION ALL SELECT page_id, host || '/1.png', 'seen' FROM b WHERE page_id % 3 = 0 UNION ALL SELECT page_id, host || '/2.png', 'kept' FROM b
+ UNION ALL SELECT page_id, 'https://bg.example.com/' || CAST(page_id % 5 AS VARCHAR) || '/3.png', CASE WHEN page_id % 2 = 0 THEN 'sprite' ELSE 'kept' END FROM b
+ UNION ALL SELECT page_id, 'https://bg.example.com/' || {N} || '/2.png', 'seen' FROM (SELECT page_id, unnest(generate_series(1, {OWN_BOLD})) FROM pages)""",
     "declared_images": f"""WITH l AS (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN 'meta' ELSE 'dom' END AS origin FROM pages)
  SELECT page_id, o::BIGINT AS "order", CASE WHEN o = 2 THEN 'https://p.example.com/' || {N} || '.png' ELSE u END AS url, coalesce(k, origin) AS origin, s AS sweep FROM l,
  (VALUES (0, 'https://i.example.com/0.png', 'dom', 'img'), (1, 'https://s.example.com/2.png', 'dom', 'source'), (2, '', 'video', 'poster'), (3, 'https://l.example.com/1.png', NULL, 'link/meta'), (4, 'https://l.example.com/2.png', NULL, 'link/meta'), (5, 'https://l.example.com/3.png', NULL, 'link/meta'),

@@ -152,6 +152,7 @@ def dom(pages: DataFrame) -> DataFrame:
                 bases_at.append(len(bases))
                 for doc, (t, _) in enumerate(docs):
                     counts: dict[int, int] = {}
+                    asked = any("[" in x for x in t.text.values())  # style rules may look at any attribute
                     paths: dict[int, list[int]] = {t.root: []}
                     for k, (tag, attrs, parent, root) in enumerate(t.nodes):
                         if root == INERT or tag == "template":
@@ -166,7 +167,7 @@ def dom(pages: DataFrame) -> DataFrame:
                         path += paths[root]
                         path_at.append(len(path))
                         for name, v in attrs.items():
-                            if name in ATTRIBUTES:
+                            if asked or name in ATTRIBUTES:
                                 keys.append(name)
                                 values.append(v)
                         attr_at.append(len(keys))

@@ -67,7 +67,7 @@ def test_cascade(spark):
     assert shown("i{background:url(1)} .a{background:url(2)} i{background:url(3)}", "<i class='b a'></i><i></i>") == ["2", "3"]
     assert shown("#x{background:url(1)} .a.b{background:url(2)}", "<i id=x class='a b'></i><b class='a b'></b><u class=a></u>") == ["1", "2"]
     assert shown("i{background:url(1)!important}", "<i style='background:url(2)'></i>") == ["1"]
-    assert shown("i{background:url(1)} i{background:none}", "<i></i>") == [] == shown("i > b, i[x], i:hover{background:url(1)}", "<i x><b></b></i>")
+    assert shown("i{background:url(1)} i{background:none}", "<i></i>") == [] == shown("i + b, b ~ i, i:hover, i::before, i >, > i{background:url(1)}", "<i x><b></b><b></b></i>")
     assert shown("@media print { i { background-image: url(1), url(data:image/png;base64,x;y=) , url('2') } }", "<i></i>") == ["1", "2"]
     assert shown("", "<div><template shadowrootmode=open><style>i{background:url(1)}</style><i></i></template></div><i></i>") == ["1"]
     row = met(spark, "<style>i{background:url(data:image/png;base64,x);width:1px;height:1px}</style><i></i><i></i>")
@@ -76,6 +76,60 @@ def test_cascade(spark):
     assert len(met(spark, late + "<b></b><b></b><i></i>").met) == 1 and met(spark, late + "<b></b><b></b><b></b><i></i>").met == []
 
 
+@pytest.mark.parametrize(
+    "selector,body,want",
+    [("p > b", "<p><b id=1></b><i><b id=2></b></i></p>", "1"), ("p b", "<p><b id=1></b><i><b id=2></b></i></p><b id=3></b>", "12"), (".a .a>.b", "<div class=a><div class='b' id=1></div><div class=a><div class='x b' id=2></div></div></div>", "2"),
+     ("[data-k]", "<i id=1 data-k></i><i id=2></i>", "1"), ("i[x='a, b > c']", "<i id=1 x='a, b > c'></i><i id=2 x=a></i>", "1"), ("[x~=b], [x|=en]", "<i id=1 x='a b'></i><i id=2 x=ab></i><i id=3 x=en-us></i><i id=4 x=english></i>", "13"),
+     ("[x^=a][x$=c][x*='b']", "<i id=1 x=abc></i><i id=2 x=ac></i><i id=3 x=xabc></i>", "1"), ("[x^=''],[x~='']", "<i id=1 x=></i>", ""), ("[x=A i]", "<i id=1 x=a></i>", "1"), ("[x=A]", "<i id=1 x=a></i>", ""), ("[TYPE=A]", "<i id=1 type=a></i>", "1"), ("[type=A s]", "<i id=1 type=a></i>", ""),
+     ("div i", "<div><template shadowrootmode=open><i id=1></i></template><i id=2></i></div>", "2"), ("u   i,\n b>i", "<u><i id=1></i></u><b><i id=2></i></b><i id=3></i>", "12")],
+)
+def test_selectors(spark, selector, body, want):
+    row = spark.createDataFrame([(1, "https://h.example/d/", f"<style>{selector}{{background:url(x.png)}}</style>{body}")], "page_id bigint, url string, html string")
+    ids = {n.pos: n.attrs.get("id", "") for n in H.dom(row).first().elements}
+    found = sweeps.found_in(H.dom(row)).first().found
+    assert "".join(ids[f.key[2 if len(f.key) == 5 else -3]] for f in found if f.sweep == sweeps.CSS) == want
+
+
+def test_weights_of_selectors(spark):
+    shown = lambda css, body: [m.url.rpartition("/")[2] for m in met(spark, f"<style>{css}</style>{body}").met]
+    assert shown("p b{background:url(1)} b{background:url(2)}", "<p><b></b></p><b></b>") == ["1", "2"]
+    assert shown("p b[x]{background:url(1)} p b.a{background:url(2)} p > b{background:url(3)}", "<p><b x class=a></b><b></b></p>") == ["2", "3"]
+    assert shown("b b b{background:url(1)} .a{background:url(2)}", "<b><b><b class=a></b></b></b>") == ["2"]
+
+
+def test_selectors_against_brute_force(spark):
+    """Chains of random compounds over random trees, matched from the inside out, all ways tried."""
+    rng = random.Random(4)
+    chains = [[(rng.choice("> "), rng.choice("pbiu"), rng.choice(["", ".a", ".b"])) for _ in range(rng.randint(1, 4))] for _ in range(40)]
+    css = "".join("".join((j if k else "") + tag + cls for k, (j, tag, cls) in enumerate(c)) + f"{{background:url({n})}}" for n, c in enumerate(chains))
+    nodes, body, stack = [], "", []
+    for k in range(200):
+        while stack and rng.random() < 0.35:
+            body += f"</{nodes[stack.pop()][0]}>"
+        tag, cls = rng.choice("biu") if k % 9 or stack else "p", rng.choice("abc")
+        nodes.append((tag, "." + cls, stack[-1] if stack else -1))
+        stack.append(k)
+        body += f"<{tag} class={cls}>"
+
+    def ends(k: int, c: list) -> bool:
+        if k < 0 or nodes[k][0] != c[-1][1] or c[-1][2] not in ("", nodes[k][1]):
+            return False
+        if len(c) == 1:
+            return True
+        up = nodes[k][2]
+        while up >= 0:
+            if ends(up, c[:-1]):
+                return True
+            up = nodes[up][2] if c[-1][0] == " " else -1
+        return False
+
+    weight = lambda c: sum(1 + 100 * bool(cls) for _, _, cls in c)
+    want = [max(((weight(c), n) for n, c in enumerate(chains) if ends(k, c)), default=(0, None))[1] for k in range(len(nodes))]
+    row = spark.createDataFrame([(1, "https://h.example/d/", f"<style>{css}</style>{body}")], "page_id bigint, url string, html string")
+    got = {f.key[2]: int(f.url) for f in sweeps.found_in(H.dom(row)).first().found}
+    assert [got.get(k + 1) for k in range(len(nodes))] == want and len(set(want)) > 8
+
+
 def test_provenance(spark):
     """Artwork counts at each of two sweeps and once in the source; shadow roots are credited twice; the source isn't."""
     ui = '<img src="https://h.example/rsrc.php/1.png">' * 2
