@@ -60,7 +60,7 @@ SQL = {
     "largest_image": """WITH a AS (SELECT page_id, unnest(l) AS url, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1) AS l FROM pages)),
  s AS (SELECT page_id, pos::BIGINT AS "order", url, length(url) * (pos % 3 + 1) AS area FROM a)
  SELECT page_id, "order", url, area::BIGINT AS area FROM s QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY area DESC, "order") = 1""",
-    "sweep_counts": f"WITH {EXPECTED} SELECT CASE sweep WHEN 'video' THEN '動画' WHEN 'css' THEN 'CSS背景' ELSE sweep END AS label, count(*) AS n_new FROM e WHERE sweep <> 'raw source' GROUP BY 1",
+    "sweep_counts": f"WITH {EXPECTED} SELECT CASE sweep WHEN 'video' THEN '動画' WHEN 'css' THEN 'CSS背景' ELSE sweep END AS label, count(*) AS n_new FROM e GROUP BY 1",
     "payload_sizes": f"WITH {EXPECTED} SELECT page_id, {POSTED} AS page_url, CASE WHEN page_id % 10 = 0 THEN 0 ELSE (SELECT count(*) FROM e WHERE e.page_id = pages.page_id) END::BIGINT AS n_images FROM pages",
     "visible_images": f"WITH {VISIBLE} SELECT id, url, longest_side, row_number() OVER (ORDER BY id) - 1 AS idx FROM shown",
     "hidden_counts": f"WITH {I}, l AS (SELECT origin, count(*) AS n FROM i WHERE id % 11 <> 0 GROUP BY origin) SELECT {', '.join(f'coalesce(max(n) FILTER (origin = {chr(39)}{o}{chr(39)}), 0)::BIGINT AS n_{o}' for o in ('source', 'video', 'meta', 'other'))}, TRUE AS has_hidden FROM l",

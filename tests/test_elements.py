@@ -153,3 +153,11 @@ def test_extraction_has_no_shuffle_and_parses_only(spark):
     pages = spark.createDataFrame([(1, "https://h.example/", "<img src=a.png>")], "page_id bigint, url string, html string")
     plan = scan.extract_images(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_counts_of_sweeps_have_the_source(spark):
+    """What only the markup's text names is counted under its own label; a page whose source adds nothing adds no row."""
+    html = '<img src="https://h.example/a.png"><script>"https://h.example/b.png https://h.example/c.png"</script>'
+    pages = spark.createDataFrame([(1, BASE, html), (2, BASE, html), (3, BASE, '<img src="https://h.example/a.png">')], "page_id long, url string, html string")
+    assert {(r.label, r.n_new) for r in scan.sweep_counts(sweeps.occurrences(pages)).collect()} == {("img", 3), ("raw source", 4)}
+    assert [r.label for r in scan.sweep_counts(sweeps.occurrences(pages.where("page_id = 3"))).collect()] == ["img"]
