@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from ..sources.images import png_of
 
 
+def _along(px: Column, py: Column, ax: Column, ay: Column, dx: Column, dy: Column, length: Column) -> Column:
+    """Which part of a segment lies before its point next to (px, py); length is squared."""
+    return F.when(length == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / length)))
+
+
+def _apart(px: Column, py: Column, ax: Column, ay: Column, dx: Column, dy: Column, t: Column) -> Column:
+    x, y = px - (ax + dx * t), py - (ay + dy * t)
+    return x * x + y * y
+
+
+def _squared(px: Column, py: Column, s: Column) -> Column:
+    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+    return _apart(px, py, s["ax"], s["ay"], dx, dy, _along(px, py, s["ax"], s["ay"], dx, dy, dx * dx + dy * dy))
+
+
 def segment_distance(px: Column, py: Column, s: Column) -> Column:
     """From a point to a segment (ax, ay, bx, by); a segment without length is its first point."""
-    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-    size = dx * dx + dy * dy
-    t = F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - s["ax"]) * dx + (py - s["ay"]) * dy) / size)))
-    return F.hypot(px - (s["ax"] + dx * t), py - (s["ay"] + dy * t))
+    return F.sqrt(_squared(px, py, s))
 
 
 def polyline(points: Column) -> Column:
@@ -33,39 +45,66 @@ def recentre(segments: DataFrame, scale: float | Column, by: list[str]) -> DataF
     return segments.join(box, by).select(*by, *[(F.lit(0.5) + (F.col(f"{e}{c}") - F.col(f"c{c}")) * scale).alias(f"{e}{c}") for e in "ab" for c in "xy"])
 
 
+def _inside(px: Column, py: Column, s: Column, half: float) -> Column:
+    within = lambda v, a, b: (v >= F.least(a, b) - half) & (v <= F.greatest(a, b) + half)
+    return within(px, s["ax"], s["bx"]) & within(py, s["ay"], s["by"])
+
+
+def _alpha(squared: Column, size: int, half: float) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.rint(((half - F.sqrt(squared)) * size + 0.5) * 255))).cast("int")
+
+
 def coverage(segments: Column, x: Column, y: Column, size: int, stroke: float) -> Column:
     """Alpha of a pixel: falls off over about a pixel at the stroke's edge. Half goes to even.
 
     Only segments count whose box, widened by half the stroke, holds the pixel's middle; without one it is empty.
     """
     px, py, half = (x + 0.5) / size, (y + 0.5) / size, stroke / 2
-    inside = lambda v, a, b: (v >= F.least(a, b) - half) & (v <= F.greatest(a, b) + half)
-    near = F.filter(segments, lambda s: inside(px, s["ax"], s["bx"]) & inside(py, s["ay"], s["by"]))
-    least = F.array_min(F.transform(near, lambda s: segment_distance(px, py, s)))
-    alpha = F.greatest(F.lit(0), F.least(F.lit(255), F.bround(((half - least) * size + 0.5) * 255).cast("int")))
-    return F.when(F.size(near) > 0, alpha).otherwise(0)
+    least = F.array_min(F.transform(F.filter(segments, lambda s: _inside(px, py, s, half)), lambda s: _squared(px, py, s)))
+    # a pixel without a segment is a canvas away from the nearest
+    return _alpha(F.coalesce(least, F.lit((half + 1.0) ** 2)), size, half)
 
 
 def grid(segments: DataFrame, size: int, stroke: float, by: list[str], cell: int = 32) -> DataFrame:
-    """(by..., cx, cy, near): cells of ``cell`` x ``cell`` pixels with the segments whose widened boxes touch them.
+    """(by..., cx, cy, near): cells of ``cell`` x ``cell`` pixels with the segments whose widened boxes touch them and whose
+    strokes reach them.
 
-    segments: (by..., ax, ay, bx, by). Cells that no segment touches have no row.
+    segments: (by..., ax, ay, bx, by). Cells that no segment reaches have no row.
     """
     last, half = -(-size // cell) - 1, stroke / 2
     # a pixel's middle may lie on a box's very edge, so cells are taken a pixel wider
     at = lambda v, more: F.greatest(F.lit(0), F.least(F.lit(last), F.floor((F.floor(v * size) + more) / cell))).cast("int")
     span = lambda c: F.sequence(at(F.least(f"a{c}", f"b{c}") - half, -1), at(F.greatest(f"a{c}", f"b{c}") + half, 1))
     rows = segments.select(*by, F.struct("ax", "ay", "bx", "by").alias("s"), span("y").alias("ys"), F.explode(span("x")).alias("cx"))
-    return rows.select(*by, "s", "cx", F.explode("ys").alias("cy")).groupBy(*by, "cx", "cy").agg(F.collect_list("s").alias("near"))
+    cells = rows.select(*by, "s", "cx", F.explode("ys").alias("cy"))
+    # alpha ends half a pixel beyond the stroke: a cell is empty if its middle lies farther from the line through the
+    # segment by the cell's half diagonal and a pixel
+    dx, dy, reach = F.col("s.bx") - F.col("s.ax"), F.col("s.by") - F.col("s.ay"), half + (1 + cell * 0.5**0.5) / size
+    across = dx * ((F.col("cy") + 0.5) * cell / size - F.col("s.ay")) - dy * ((F.col("cx") + 0.5) * cell / size - F.col("s.ax"))
+    return cells.where(F.abs(across) <= reach * F.sqrt(dx * dx + dy * dy) + 1e-9).groupBy(*by, "cx", "cy").agg(F.collect_list("s").alias("near"))
 
 
 def covered(segments: DataFrame, size: int, stroke: float, by: list[str], cell: int = 32) -> DataFrame:
     """(by..., y, x, alpha) of the pixels that aren't empty: each looks only at the segments of its cell, so that work
     grows with the strokes' length and not with pixels times segments."""
-    inside = F.sequence(F.lit(0), F.lit(cell - 1))
-    rows = grid(segments, size, stroke, by, cell).select("*", F.explode(F.transform(inside, lambda i: i + F.col("cy") * cell)).alias("y"))
-    rows = rows.select("*", F.explode(F.transform(inside, lambda i: i + F.col("cx") * cell)).alias("x")).where((F.col("x") < size) & (F.col("y") < size))
-    return rows.select(*by, "y", "x", coverage(F.col("near"), F.col("x"), F.col("y"), size, stroke).alias("alpha")).where("alpha > 0")
+    # Rows of a pixel and a segment, as lambdas over a pixel's segments are interpreted, at microseconds a pixel; a pixel
+    # has the largest of its alphas, and its cell's rows are in one partition already, so nothing is shuffled again. What
+    # depends on the segment or the line only is worked out before the next explode: it keeps the generated code of a
+    # pixel below the size that the JVM compiles, and filters aren't moved below an explode.
+    half, c = stroke / 2, F.col
+    line = lambda at, k: (c(at) * cell + c(k)).cast("int")
+    ends = [x for k in "xy" for x in (c(f"s.a{k}").alias(f"a{k}"), (c(f"s.b{k}") - c(f"s.a{k}")).alias(f"d{k}"), (F.least(f"s.a{k}", f"s.b{k}") - half).alias(f"low{k}"), (F.greatest(f"s.a{k}", f"s.b{k}") + half).alias(f"high{k}"))]
+    rows = grid(segments, size, stroke, by, cell).select(*by, "cx", "cy", F.explode("near").alias("s")).select(*by, "cx", "cy", *ends)
+    rows = rows.withColumn("length", c("dx") * c("dx") + c("dy") * c("dy"))
+    offsets = F.explode(F.sequence(F.lit(0), F.lit(cell - 1)))
+    for k in "yx":
+        rows = rows.select("*", offsets.alias("i")).withColumn(k, line(f"c{k}", "i")).drop("i").where(c(k) < size)
+        rows = rows.withColumn(f"p{k}", (c(k) + 0.5) / size).where((c(f"p{k}") >= c(f"low{k}")) & (c(f"p{k}") <= c(f"high{k}")))
+    rows = rows.select(*by, "cx", "cy", "y", "x", *("px", "py", "ax", "ay", "dx", "dy"), F.explode_outer(F.array(_along(c("px"), c("py"), c("ax"), c("ay"), c("dx"), c("dy"), c("length")))).alias("t"))
+    rows = rows.select(*by, "cx", "cy", "y", "x", F.explode_outer(F.array(_apart(c("px"), c("py"), c("ax"), c("ay"), c("dx"), c("dy"), c("t")))).alias("squared"))
+    # beyond this, alpha is 0 even before it is rounded
+    near = rows.where(c("squared") <= (half + 1 / size) ** 2)
+    return near.groupBy(*by, "cx", "cy", "y", "x").agg(F.min("squared").alias("squared")).select(*by, "y", "x", _alpha(c("squared"), size, half).alias("alpha")).where("alpha > 0")
 
 
 def downsample_covered(pixels: DataFrame, size: int, target: int, by: list[str]) -> DataFrame:

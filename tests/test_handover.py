@@ -157,3 +157,16 @@ def test_a_run_is_stored_once(spark, tmp_path):
     assert {(r.run_id, r.n, r.d) for r in stored.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("name").alias("d")).collect()} == {("r1", 40, 40), ("r2", 3, 3)}
     files = stored.where("run_id = 'r1'").groupBy(F.input_file_name().alias("f")).agg(F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("f").collect()
     assert all(x.b < y.a for x, y in zip(files, files[1:]))
+
+
+def test_cells_that_a_stroke_reaches(spark):
+    """A diagonal's box touches every cell, its stroke a band of them; pixels where strokes cross keep the larger alpha."""
+    lines = spark.createDataFrame([(1, 0.1, 0.1, 0.9, 0.9), (2, 0.1, 0.9, 0.9, 0.1), (2, 0.1, 0.1, 0.9, 0.9), (3, 0.5, 0.5, 0.5, 0.5), (3, 0.5, 0.5, 0.5, 0.5)], "k int, ax double, ay double, bx double, by double")
+    size, stroke = 64, 0.1
+    n = {r.k: r.n for r in raster.grid(lines, size, stroke, ["k"], 8).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert n[1] < 40 and n[2] < 64 and n[3] == 4
+    all_of = lines.groupBy("k").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("all")).select("k", "all", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("i")).selectExpr("k", "all", "CAST(i div 64 AS INT) AS y", "i % 64 AS x")
+    direct = all_of.select("k", "y", "x", raster.coverage(F.col("all"), F.col("x"), F.col("y"), size, stroke).alias("alpha")).where("alpha > 0")
+    found = raster.covered(lines, size, stroke, ["k"], 8)
+    assert found.exceptAll(direct).count() == 0 == direct.exceptAll(found).count() and found.groupBy("k", "y", "x").count().where("count > 1").count() == 0
+    assert "ArrayTransform" not in found._jdf.queryExecution().optimizedPlan().toString() and "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
