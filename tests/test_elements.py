@@ -161,3 +161,23 @@ def test_counts_of_sweeps_have_the_source(spark):
     pages = spark.createDataFrame([(1, BASE, html), (2, BASE, html), (3, BASE, '<img src="https://h.example/a.png">')], "page_id long, url string, html string")
     assert {(r.label, r.n_new) for r in scan.sweep_counts(sweeps.occurrences(pages)).collect()} == {("img", 3), ("raw source", 4)}
     assert [r.label for r in scan.sweep_counts(sweeps.occurrences(pages.where("page_id = 3"))).collect()] == ["img"]
+
+
+def test_python_holds_a_slice_of_a_batch():
+    """A batch of 10,000 rows of URLs is Python objects 64 rows at a time, and parsing and resolving need no pandas."""
+    import subprocess
+    import sys
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, k = 10_000, 20
+    urls = pa.array([[f"a{j}.png" for j in range(k)] if i % 100 else [] for i in range(n)])
+    given = urls, pa.array([[0] * len(u) for u in urls]), pa.array([[f"https://h{i}.example/"] for i in range(n)])
+    tracemalloc.start()
+    out = U.resolved.func(*given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == n and out[0].as_py() == [] and out[9_999].as_py() == [f"https://h9999.example/a{j}.png" for j in range(k)]
+    assert peak < 4e6 and len(U.resolved.func(*[c.slice(0, 0) for c in given])) == 0
+    assert subprocess.run([sys.executable, "-c", "import pagelens.sources.html, sys; sys.exit('pandas' in sys.modules)"], check=False).returncode == 0
