@@ -181,3 +181,16 @@ def test_python_holds_a_slice_of_a_batch():
     assert len(out) == n and out[0].as_py() == [] and out[9_999].as_py() == [f"https://h9999.example/a{j}.png" for j in range(k)]
     assert peak < 4e6 and len(U.resolved.func(*[c.slice(0, 0) for c in given])) == 0
     assert subprocess.run([sys.executable, "-c", "import pagelens.sources.html, sys; sys.exit('pandas' in sys.modules)"], check=False).returncode == 0
+
+
+def test_no_box_without_a_background(spark):
+    """The box of an element is worked out only where there is a picture behind it."""
+    from pagelens.functions import styles
+
+    fails = F.struct(F.raise_error(F.lit("a box was worked out")).cast("map<string,string>").alias("attrs"))
+    none = F.array().cast(f"array<struct<root:int,nth:int,specificity:int,declared:array<{styles.DECLARED}>>>")
+    rows = spark.createDataFrame([("width:3px",), ("background:none",), ("background:url(a.png)",)], "style string")
+    of = lambda e, c: rows.where(c).select("style", styles.background(e, none, styles.declarations(F.col("style"))).alias("b")).collect()
+    assert [(r.b.urls, r.b.sprite) for r in of(fails, "style NOT LIKE '%url%'")] == [([], False)] * 2
+    attrs = F.struct(F.create_map(F.lit("width"), F.lit("9"), F.lit("height"), F.lit("9")).alias("attrs"))
+    assert [(r.b.urls, r.b.sprite) for r in of(attrs, "style LIKE '%url%'")] == [(["a.png"], True)]
