@@ -22,6 +22,9 @@ bucket by itself, as a phrase of 20 bytes in ever other surroundings does: its w
 name, to the bucket of their own name, so that no bucket grows with the corpus. Texts are dealt to chunks once; each
 step recomputes the chunk's anchors rather than shuffle them.
 
+A chunk and a bucket share a row. Above ``even`` bytes of text both grow with the root of the corpus, so that rows grow
+as the corpus does, and a task's memory as its root; a bucket's windows are ranked a part at a time, which doesn't grow.
+
 Null and odd input: a null text has no bytes. Rows with equal doc_id are one document and never remove each other's
 bytes. A null doc_id counts as smaller than every other. Texts below ``length`` bytes stay whole. An empty table gives
 an empty result. Extra columns are left out.
@@ -30,6 +33,7 @@ an empty result. Extra columns are left out.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,9 +55,16 @@ class Repeats:
     #: bytes of text to a chunk, and bytes of the corpus to a bucket of names, about
     chunk_bytes: int = 2 << 20
     bucket_bytes: int = 4 << 20
+    #: bytes of the corpus above which chunks and buckets both grow, with its root
+    even: int = 1 << 30
     #: runs of an anchor above which its windows are dealt by their own names
     hot: int = 20_000
 
+    def dealt(self, total: int) -> tuple[int, int, int]:
+        """Chunks, buckets and the parts of a bucket, for so many bytes of text."""
+        grown = max(1.0, math.sqrt(total / self.even))
+        return 1 + int(total / (self.chunk_bytes * grown)), 1 + int(total / (self.bucket_bytes * grown)), math.ceil(grown)
+
 
 #: A long text is searched in slices of so many windows; an index into a slice has to fit the low bits of a key.
 SLICE, LOW = 1 << 19, np.uint64((1 << 20) - 1)
@@ -103,6 +114,15 @@ def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _by_bucket(x: np.ndarray, buckets: int, parts: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(bucket, which names are in it, part by part; how many are in each of its parts)."""
+    fine = _bucket(x, buckets * parts)
+    order = np.argsort(fine, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(fine[order] // parts)) + 1) if len(order) else []:
+        b = int(fine[own[0]]) // parts
+        yield b, own, np.bincount(fine[own] - b * parts, minlength=parts).astype(np.int32).tobytes()
+
+
 class Chunk:
     """The documents of a chunk in a fixed order, with their anchors."""
 
@@ -132,22 +152,23 @@ class Chunk:
         np.maximum.at(high, self.where, ids)
         return low < high
 
-    def pieces(self, flags: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[tuple], "Hot"]:
-        """flags: (bucket, which names survive, which texts are copies, which names are hot), for all buckets.
+    def flags(self, ranked: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which names survive, which texts are copies, which names are hot. ranked: (bucket, these as bits), for all buckets."""
+        ranked = sorted(ranked)
+        counts = lambda x: dict(zip(*(c.tolist() for c in np.unique(_bucket(x, self.buckets), return_counts=True)), strict=True))
+        of_names, of_texts = counts(self.every), counts(self.digest)
+        bits = lambda k, n: np.concatenate([_unpacked(f[k], n.get(f[0], 0)) for f in ranked]) if ranked else np.zeros(0, bool)
+        return bits(1, of_names), bits(2, of_texts), bits(3, of_names)
+
+    def pieces(self, alive: np.ndarray, copies: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple], "Hot"]:
+        """The arguments are what `flags` returns.
 
         Returns the documents that are copies; the runs that go on and the runs that stand for them, equal ones of a
-        chunk being sent once, by the least document; by bucket (bucket, runs, their bytes, their lengths); and the
-        windows of the runs of hot names.
+        chunk being sent once, by the least document; by bucket (bucket, runs, their bytes, their lengths, how many are
+        in each part); and the windows of the runs of hot names.
         """
-        flags = sorted(flags)
-        bits = lambda k, n: np.concatenate([np.unpackbits(np.frombuffer(f[k], np.uint8))[:m] for f, m in zip(flags, n, strict=True)]).astype(bool) if flags else np.zeros(0, bool)
-        spread = lambda x: np.unique(_bucket(x, self.buckets), return_counts=True)
-        used, n_names = spread(self.every)
-        used2, n_texts = spread(self.digest)
-        count = lambda u, n: [dict(zip(u.tolist(), n.tolist(), strict=True)).get(f[0], 0) for f in flags]
-        alive, copied = bits(1, count(used, n_names)), np.zeros(len(self.raw), bool)
-        copied[np.array(self.long, np.int64)[self.digest_order]] = bits(2, count(used2, n_texts))
-        hot = bits(3, count(used, n_names))
+        copied = np.zeros(len(self.raw), bool)
+        copied[np.array(self.long, np.int64)[self.digest_order]] = copies
         go = np.flatnonzero(alive[self.where] & ~copied[self.of]) if len(alive) else np.zeros(0, np.int64)
         whole = [self.raw[d][a : b + self.spec.length] for d, a, b in zip(self.of[go].tolist(), self.first[go].tolist(), self.last[go].tolist(), strict=True)]
         seen: dict[bytes, int] = {}
@@ -157,14 +178,16 @@ class Chunk:
         is_hot = hot[self.where[go[heads]]] if len(heads) else np.zeros(0, bool)
         singles = Hot(heads[is_hot], [whole[i] for i in heads[is_hot].tolist()], np.array(self.ids, np.int64)[self.of[go[heads[is_hot]]]], self.spec)
         heads = heads[~is_hot]
-        bucket = _bucket(self.name[go[heads]], self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        for bucket, part, counts in _by_bucket(self.name[go[heads]], self.buckets, self.parts):
             own = heads[part]
-            out.append((int(bucket[part[0]]), own, b"".join(whole[i] for i in own.tolist()), np.array([len(whole[i]) for i in own.tolist()], np.uint8)))
+            out.append((bucket, own, b"".join(whole[i] for i in own.tolist()), np.array([len(whole[i]) for i in own.tolist()], np.uint8), counts))
         return copied, np.stack([go, lead]) if len(go) else np.zeros((2, 0), np.int64), out, singles
 
-    buckets = 1
+    buckets, parts = 1, 1
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8))[:n].astype(bool)
 
 
 class Hot:
@@ -180,12 +203,9 @@ class Hot:
         self.least = np.full(len(self.pair), 2**63 - 1)
         np.minimum.at(self.least, self.where, ids[self.run])
 
-    def sent(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(bucket, the strings in it, by number)."""
-        bucket = _bucket(self.pair[:, 0], buckets)
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            yield int(bucket[part[0]]), part
+    def sent(self, buckets: int, parts: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+        """(bucket, the strings in it, by number; how many are in each of its parts)."""
+        return _by_bucket(self.pair[:, 0], buckets, parts)
 
     def masks(self, earlier: np.ndarray) -> np.ndarray:
         """For each run, a bit for each window that a smaller document holds. earlier: strings held outside by one smaller still."""
@@ -196,9 +216,9 @@ class Hot:
         return out
 
 
-def _chunk(t: pa.Table, spec: Repeats, buckets: int) -> Chunk:
+def _chunk(t: pa.Table, spec: Repeats, buckets: int, parts: int = 1) -> Chunk:
     c = Chunk(t, spec)
-    c.buckets = buckets
+    c.buckets, c.parts = buckets, parts
     return c
 
 
@@ -261,41 +281,67 @@ def _rank_names(t: pa.Table, spec: Repeats) -> pa.Table:
     return _rows(rows, _BACK_KINDS, _BACK_NAMES)
 
 
-def _flags(t: pa.Table, kind: int) -> list[tuple[int, bytes, bytes, bytes]]:
-    return [(b, x, y, z) for k, b, x, y, z in zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "c")), strict=True) if k == kind]
+def _of_kind(t: pa.Table, kind: int, columns: str = "abc") -> list[tuple]:
+    """(bucket, columns...) of the rows of a kind."""
+    return [x for k, *x in zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", *columns)), strict=True) if k == kind]
 
 
-def _send_windows(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int) -> pa.Table:
-    """Kind 1: runs of windows with their bytes, by anchor. Kind 2: windows of hot anchors, by their own names."""
+def _send_windows(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int, parts: int) -> pa.Table:
+    """Kind 0: the chunk's flags, for its last step. Kind 1: runs of windows with their bytes, by anchor. Kind 2: windows of hot anchors, by their own names."""
     out = []
     if docs.num_rows:
-        c, chunk = _chunk(docs, spec, buckets), docs.column("chunk")[0].as_py()
-        _, (go, _), parts, hot = c.pieces(_flags(back, 0))
+        c, chunk = _chunk(docs, spec, buckets, parts), docs.column("chunk")[0].as_py()
+        flags = c.flags(_of_kind(back, 0))
+        _, (go, _), runs_, hot = c.pieces(*flags)
         ids = np.array(c.ids, np.int64)
-        out = [(b, chunk, 1, raw, size.tobytes(), ids[c.of[go[own]]].tobytes(), b"", b"", b"") for b, own, raw, size in parts]
-        out += [(b, chunk, 2, hot.pair[own, 0].tobytes(), hot.pair[own, 1].tobytes(), hot.least[own].tobytes(), b"", b"", b"") for b, own in hot.sent(buckets)]
+        out = [(chunk % buckets, chunk, 0, *(np.packbits(x).tobytes() for x in flags), b"", b"", b"")]
+        out += [(b, chunk, 1, raw, size.tobytes(), ids[c.of[go[own]]].tobytes(), counts, b"", b"") for b, own, raw, size, counts in runs_]
+        out += [(b, chunk, 2, hot.pair[own, 0].tobytes(), hot.pair[own, 1].tobytes(), hot.least[own].tobytes(), counts, b"", b"") for b, own, counts in hot.sent(buckets, parts)]
     return _rows(out, _SENT_KINDS, _SENT_NAMES)
 
 
+def _part_by_part(t: pa.Table, kind: int) -> Iterator[pa.Table]:
+    """A bucket's rows of a kind, cut to one of its parts after the other."""
+    a, b, c, d = (t.column(x).to_pylist() for x in "abcd")
+    counts = np.array([np.frombuffer(x, np.int32) for x in d], np.int64)
+    stop = np.cumsum(counts, axis=1)
+    wide = [8, 8, 8] if kind == 2 else [1, 1, 8]
+    ends = [np.append(0, np.cumsum(np.frombuffer(x, np.uint8), dtype=np.int64)) for x in b] if kind == 1 else []
+    for k in range(counts.shape[1]):
+        lo, hi = (stop - counts)[:, k].tolist(), stop[:, k].tolist()
+        first = zip((e[i] for e, i in zip(ends, lo, strict=True)), (e[j] for e, j in zip(ends, hi, strict=True)), strict=True) if kind == 1 else zip(lo, hi, strict=True)
+        cut = [[x[i * w : j * w] for x, (i, j) in zip(col, at, strict=True)] for col, w, at in zip((a, b, c), wide, (first, zip(lo, hi, strict=True), zip(lo, hi, strict=True)), strict=True)]
+        yield pa.table([pa.array(x, pa.binary()) for x in cut], names=["a", "b", "c"])
+
+
 def _rank_windows(t: pa.Table, spec: Repeats) -> pa.Table:
-    """For each run of a bucket, a bit for each window that a smaller document holds too; for each window of a hot anchor, the same."""
-    kinds, rows = np.array(t.column("kind").to_pylist()), []
+    """For each run of a bucket, a bit for each window that a smaller document holds too; for each window of a hot anchor, the same.
+
+    A chunk's flags pass through.
+    """
+    kinds = np.array(t.column("kind").to_pylist())
+    held = t.filter(pa.array(kinds == 0))
+    rows = [(chunk, 0, *x) for chunk, x in zip(held.column("chunk").to_pylist(), _of_kind(held, 0), strict=True)]
     for kind, rank in ((1, _rank_runs), (2, _rank_hot)):
         own = t.filter(pa.array(kinds == kind))
         if own.num_rows:
-            rows += [(c, kind, b, x, b"", b"") for c, b, x in zip(own.column("chunk").to_pylist(), own.column("bucket").to_pylist(), rank(own, spec), strict=True)]
+            found = zip(*(rank(part, spec) for part in _part_by_part(own, kind)), strict=True)  # by row
+            masks = (b"".join(x) if kind == 1 else np.packbits(np.concatenate(x)).tobytes() for x in found)
+            rows += [(c, kind, b, x, b"", b"") for c, b, x in zip(own.column("chunk").to_pylist(), own.column("bucket").to_pylist(), masks, strict=True)]
     return _rows(rows, _BACK_KINDS, _BACK_NAMES)
 
 
-def _rank_hot(t: pa.Table, spec: Repeats) -> list[bytes]:
+def _rank_hot(t: pa.Table, spec: Repeats) -> list[np.ndarray]:
     a, b, ids = ([np.frombuffer(x, k) for x in t.column(c).to_pylist()] for c, k in (("a", np.uint64), ("b", np.uint64), ("c", np.int64)))
     h, low, own = np.concatenate(a), np.concatenate(b), np.concatenate(ids)
+    if not len(h):  # an empty part
+        return [np.zeros(0, bool) for _ in a]
     order = np.lexsort((low, h))
     new = np.append(True, (h[order][1:] != h[order][:-1]) | (low[order][1:] != low[order][:-1]))
     least = np.minimum.reduceat(own[order], np.flatnonzero(new))
     hit = np.zeros(len(h), bool)
     hit[order] = own[order] > least[np.cumsum(new) - 1]
-    return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum([len(x) for x in a])[:-1])]
+    return np.split(hit, np.cumsum([len(x) for x in a])[:-1])
 
 
 def _rank_runs(t: pa.Table, spec: Repeats) -> list[bytes]:
@@ -303,6 +349,8 @@ def _rank_runs(t: pa.Table, spec: Repeats) -> list[bytes]:
     sizes = [np.frombuffer(x, np.uint8).astype(np.int64) for x in t.column("b").to_pylist()]
     raw = np.frombuffer(b"".join(t.column("a").to_pylist()), np.uint8)
     size, ids = np.concatenate(sizes), np.concatenate([np.frombuffer(x, np.int64) for x in t.column("c").to_pylist()])
+    if not len(size):  # an empty part
+        return [b""] * len(sizes)
     start = np.cumsum(size) - size
     width = np.arange(widest)
     found, run, step = [], [], 5_000
@@ -341,17 +389,18 @@ def _rank_runs(t: pa.Table, spec: Repeats) -> list[bytes]:
 _OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, stop: bigint>>, kept binary"
 
 
-def _finish(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
+def _finish(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int, parts: int) -> Iterator[tuple[int | None, bytes, np.ndarray, np.ndarray]]:
     """(doc_id, text, starts, stops) of each document's removed spans."""
-    c = _chunk(docs, spec, buckets)
-    copied, (go, lead), parts, hot = c.pieces(_flags(back, 0))
-    masks, bits = ({b: x for b, x, _, _ in _flags(back, kind)} for kind in (1, 2))
+    c = _chunk(docs, spec, buckets, parts)
+    ((_, *flags),) = _of_kind(back, 0)
+    copied, (go, lead), runs_, hot = c.pieces(*(_unpacked(x, n) for x, n in zip(flags, (len(c.every), len(c.digest), len(c.every)), strict=True)))
+    masks, bits = (dict(_of_kind(back, kind, "a")) for kind in (1, 2))
     of_head = np.zeros(len(go), np.uint64)
-    for b, own, _, _ in parts:
+    for b, own, *_ in runs_:
         of_head[own] = np.frombuffer(masks[b], np.uint64)
     earlier = np.zeros(len(hot.pair), bool)
-    for b, own in hot.sent(buckets):
-        earlier[own] = np.unpackbits(np.frombuffer(bits[b], np.uint8))[: len(own)]
+    for b, own, _ in hot.sent(buckets, parts):
+        earlier[own] = _unpacked(bits[b], len(own))
     of_head[hot.heads] = hot.masks(earlier)
     ids = np.array(c.ids, np.int64)
     hit = of_head[lead]
@@ -375,9 +424,9 @@ def _finish(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int) -> Iter
         yield None if c.ids[d] == NO_ID else c.ids[d], raw, turn[::2], turn[1::2]
 
 
-def _cut(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int, digest: bool) -> pa.Table:
+def _cut(docs: pa.Table, back: pa.Table, spec: Repeats, buckets: int, parts: int, digest: bool) -> pa.Table:
     out: tuple[list, list, list, list] = ([], [], [], [])
-    for doc, raw, start, stop in _finish(docs, back, spec, buckets) if docs.num_rows else ():
+    for doc, raw, start, stop in _finish(docs, back, spec, buckets, parts) if docs.num_rows else ():
         kept = b"".join(raw[a:b] for a, b in zip([0, *stop.tolist()], [*start.tolist(), len(raw)], strict=True))
         out[0].append(doc)
         out[1].append(len(raw))
@@ -394,15 +443,14 @@ def remove_repeats(docs: DataFrame, spec: Repeats = Repeats(), digest: bool = Fa
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = 1 + total // spec.chunk_bytes, 1 + total // spec.bucket_bytes
+    chunks, buckets, parts = spec.dealt(total)
     # the text is in the key only to deal rows without doc_id; equal rows share a chunk either way
     dealt = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).alias("chunk"), "doc_id", "text")
     named = dealt.groupBy("chunk").applyInArrow(lambda t: _send_names(t, spec, buckets), _SENT)
     flags = named.groupBy("bucket").applyInArrow(lambda t: _rank_names(t, spec), _BACK)
-    windows = dealt.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(lambda x, y: _send_windows(x, y, spec, buckets), _SENT)
+    windows = dealt.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(lambda x, y: _send_windows(x, y, spec, buckets, parts), _SENT)
     masks = windows.groupBy("bucket").applyInArrow(lambda t: _rank_windows(t, spec), _BACK)
-    back = flags.union(masks)
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda x, y: _cut(x, y, spec, buckets, digest), _OUT)
+    return dealt.groupBy("chunk").cogroup(masks.groupBy("chunk")).applyInArrow(lambda x, y: _cut(x, y, spec, buckets, parts, digest), _OUT)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

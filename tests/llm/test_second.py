@@ -51,6 +51,37 @@ def test_repeats(spark, docs, spec):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_repeats_with_buckets_in_parts(spark, docs, hot):
+    spec, rows = suffixes.Repeats(chunk_bytes=3000, bucket_bytes=5000, even=9000, hot=hot), [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(1000 + i, rows[i][1][: 20 * i] + "-" * (40 + i) + "=" * 70 + (rows[i + 1][1] or "")[:90]) for i in range(40)]
+    assert spec.dealt(sum(len((t or "").encode()) for _, t in rows))[2] > 2
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), spec).collect()
+    assert sorted(((r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in got), key=str) == brute_repeats(rows)
+
+
+def test_rows_between_chunks_and_buckets_grow_as_the_text():
+    rows = lambda gb: (d := suffixes.Repeats().dealt(gb << 30))[0] * d[1]
+    assert all(rows(gb) < 1.1 * gb * rows(1) for gb in (2, 10, 100, 1000))
+
+
+def test_many_buckets_are_put_together_in_one_pass(monkeypatch):
+    """Names are counted by bucket a fixed number of times, however many buckets there are."""
+    import pyarrow as pa
+
+    text = random.Random(5).randbytes(30_000).hex()
+    docs = pa.table({"chunk": [7, 7], "doc_id": [1, 2], "text": [text, text[:20_000]]})
+    spec, buckets, calls = suffixes.Repeats(), 2000, []
+    named = suffixes._send_names(docs, spec, buckets)
+    ranked = [suffixes._rank_names(named.slice(i, 1), spec) for i in range(named.num_rows)]
+    back = pa.concat_tables(ranked)
+    assert back.num_rows > 1500
+    monkeypatch.setattr(suffixes, "dict", lambda *a: calls.append(1) or dict(*a), raising=False)
+    c = suffixes._chunk(docs, spec, buckets)
+    alive, copies, hot = c.flags(suffixes._of_kind(back, 0))
+    assert len(alive) == len(c.every) == len(hot) and len(copies) == 2 and alive.any() and not hot.any() and len(calls) < 10
+
+
 def test_slices_of_long_texts_agree(monkeypatch):
     text = np.frombuffer(random.Random(2).randbytes(400).hex().encode(), np.uint8)
     whole = [x.tolist() for x in suffixes.runs(text, suffixes.Repeats())]
