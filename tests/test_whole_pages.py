@@ -8,10 +8,11 @@ from pagelens.plans import queries, sql
 
 #: More elements than the limit, some of them bold; more matches than the limit, of no one's interest.
 BOLD = "<p><b>x</b></p>" * (DEFAULT.styled_elements // 2 + 50)
+NAMED = "<p>https://many.example.com/x.png</p>" * (DEFAULT.source_matches + 50)
 ASSETS = "<p>https://h.example.com/rsrc.php/z.png</p>" * (DEFAULT.source_matches + 50)
 
 
-@pytest.mark.parametrize("name,html", [("chained_selectors", BOLD), ("styled_backgrounds", BOLD), ("payload_sizes", BOLD + ASSETS), ("extract_images", BOLD + ASSETS), ("sweep_counts", BOLD + ASSETS)])
+@pytest.mark.parametrize("name,html", [("chained_selectors", BOLD), ("styled_backgrounds", BOLD), ("payload_sizes", BOLD + ASSETS), ("extract_images", BOLD + ASSETS), ("sweep_counts", BOLD + ASSETS), ("ui_asset_skips", NAMED), ("occurrence_counts", BOLD), ("trace_lines", BOLD)])
 def test_whole_pages(spark, tmp_path, name, html):
     rows = [(i, f"https://h.example/{i}/", html if i % 2 else "<p>x</p>") for i in range(12)] + [(i, f"https://h.example/{i}/", html) for i in (20, 22, 24, 28)]
     rows.append((30, "https://h.example/30/", html * 9))  # what comes next is beyond element 32,768
